@@ -1,0 +1,81 @@
+"""Heading candidates, the outline they form, and the sections between headings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..config import DEFAULT, Config
+from ..functions.text import HEADING_BAD_TAIL, strip
+
+# Fixed values that results depend on.
+MARKDOWN = r"^(#{1,6})\s+(\S.*)$"
+NUMBERED = r"^(\d+(?:\.\d+){0,3})\.?\s+(\S.*)$"
+ALL_CAPS = r"^[A-Z0-9][A-Z0-9 \-—:,'/&()]{2,}$"
+ALPHABETIC_WORD = r"(?<![A-Za-z0-9])[A-Za-z]{3,}(?![A-Za-z0-9])"
+CONTENTS_LINE = r"\.{3,}|\s\d+\s*$"
+
+
+def line_offsets(texts: DataFrame) -> DataFrame:
+    """doc_id, n, start (of the line's first character that isn't blank), line."""
+    rows = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    before = F.coalesce(F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.select("doc_id", "n", (before + F.length(F.regexp_extract("line", r"^\s*", 0))).alias("start"), "line")
+
+
+def heading_candidates(texts: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """doc_id, start, text, kind, number: lines that look like a heading, the rules in their order."""
+    s, title = F.col("s"), F.regexp_extract("s", NUMBERED, 2)
+    number = F.transform(F.split(F.regexp_extract("s", NUMBERED, 1), r"\."), lambda x: x.try_cast("int"))
+    words = F.split(s, r"\s+")
+    out = (s == "") | F.lower(s).contains("http") | s.rlike(CONTENTS_LINE)
+    shape = (F.length(s) > config.heading_max_chars) | (F.size(words) > config.heading_max_words) | s.rlike("[.,;]$") | F.lower(F.element_at(words, -1)).isin(HEADING_BAD_TAIL)
+    first = F.substring(title, 1, 1)
+    numbered = s.rlike(NUMBERED) & F.forall(number, lambda x: x.isNotNull()) & (F.get(number, 0) <= config.heading_max_number) & (first != F.lower(first)) & title.rlike(ALPHABETIC_WORD) & ~F.lower(title).rlike("^(figure|table|eq)")
+    caps = s.rlike(ALL_CAPS) & ~s.contains(":") & (F.size(F.regexp_extract_all(s, F.lit(ALPHABETIC_WORD), F.lit(0))) >= 2)
+    kind = F.when(out, None).when(s.rlike(MARKDOWN), "markdown").when(shape, None).when(numbered, "numbered").when(caps, "caps")
+    lines = line_offsets(texts).withColumn("s", strip(F.col("line"))).withColumn("kind", kind).where(F.col("kind").isNotNull())
+    text = F.when(F.col("kind") == "markdown", strip(F.regexp_extract("s", MARKDOWN, 2))).otherwise(s)
+    return lines.select("doc_id", "start", text.alias("text"), "kind", F.when(F.col("kind") == "numbered", number).alias("number"))
+
+
+def follows(earlier: Column, later: Column, step: int = DEFAULT.outline_step) -> Column:
+    """Whether one section number can come right after another: a level opens near 1, or one level
+    moves on by a small step and closes those below it."""
+    n, m = F.size(earlier), F.size(later)
+    opens = (F.slice(later, 1, n) == earlier) & F.get(later, n).between(1, step)
+    moves = F.exists(F.sequence(F.lit(1), m), lambda d: F.coalesce((F.slice(later, 1, d - 1) == F.slice(earlier, 1, d - 1)) & (F.get(later, d - 1) - F.get(earlier, d - 1)).between(1, step), F.lit(False)))
+    return F.when(later <= earlier, False).when(m > n, opens).otherwise(moves)
+
+
+def outline(candidates: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The unnumbered candidates and, of each document's numbered ones, the longest chain of
+    follow-on steps: earliest predecessor and earliest end among equals.
+
+    The dynamic programme folds over the document's numbered candidates. It is quadratic in their
+    number, so documents with thousands of them are its limit.
+    """
+    item = "struct<start:bigint,number:array<int>,best:int,prev:int>"
+    listed = candidates.where("kind = 'numbered'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "number"))).alias("c"))
+
+    def add(acc: Column, c: Column) -> Column:
+        reach = F.transform(acc, lambda a, i: F.struct(F.when(follows(a["number"], c["number"], config.outline_step), a["best"]).otherwise(0).alias("b"), (-i).alias("i")))
+        top = F.coalesce(F.array_max(reach), F.struct(F.lit(0).alias("b"), F.lit(0).alias("i")))
+        return F.array_append(acc, F.struct(c["start"].alias("start"), c["number"].alias("number"), (top["b"] + 1).alias("best"), F.when(top["b"] > 0, -top["i"]).otherwise(-1).alias("prev")).cast(item))
+
+    chained = listed.select("doc_id", F.aggregate("c", F.array().cast(f"array<{item}>"), add).alias("d"))
+    end = -F.array_max(F.transform("d", lambda a, i: F.struct(a["best"].alias("b"), (-i).alias("i"))))["i"]
+    start = F.struct(end.alias("at"), F.array().cast("array<bigint>").alias("kept"))
+    back = F.aggregate(F.sequence(F.lit(1), F.size("d")), start, lambda acc, _: F.when(acc["at"] < 0, acc).otherwise(F.struct(F.get(F.col("d"), acc["at"])["prev"].alias("at"), F.array_append(acc["kept"], F.get(F.col("d"), acc["at"])["start"]).alias("kept"))), lambda acc: acc["kept"])
+    kept = chained.select("doc_id", F.explode(back).alias("start"))
+    numbered = candidates.where("kind = 'numbered'").join(kept, ["doc_id", "start"], "left_semi")
+    return candidates.where("kind <> 'numbered'").unionByName(numbered)
+
+
+def sections(texts: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """doc_id, section_index, header, start, end; text before the first heading is section 0."""
+    heads = outline(heading_candidates(texts, config), config).select("doc_id", F.col("start").cast("int").alias("start"), F.col("text").alias("header"))
+    size = texts.select("doc_id", F.length("text").alias("size"))
+    front = size.join(heads.groupBy("doc_id").agg(F.min("start").alias("first")), "doc_id", "left").where(F.col("first").isNull() | (F.col("first") > 0)).select("doc_id", F.lit(0).alias("start"), F.lit(None).cast("string").alias("header"))
+    w = Window.partitionBy("doc_id").orderBy("start")
+    return front.unionByName(heads).join(size, "doc_id").select("doc_id", (F.row_number().over(w) - 1).alias("section_index"), "header", "start", F.coalesce(F.lead("start").over(w), F.col("size")).alias("end"))
