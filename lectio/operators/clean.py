@@ -56,7 +56,7 @@ def strip_furniture(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
     kept = furniture_lines(pages, config).groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("drop"), F.struct("n", "line")))), lambda x: x["line"]), "\n").alias("_clean"))
     both = pages.join(kept, ["doc_id", "page_number"])
     total = Window.partitionBy("doc_id")
-    share = F.sum(F.length("text") - F.length("_clean")).over(total) / F.sum(F.length("text")).over(total)
+    share = F.try_divide(F.sum(F.length("text") - F.length("_clean")).over(total), F.sum(F.length("text")).over(total))
     return both.select("doc_id", "page_number", F.when(share > config.furniture_max_document_fraction, F.col("text")).otherwise(F.col("_clean")).alias("text"))
 
 
