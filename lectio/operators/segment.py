@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.text import dot, sentences, strip, token_count, word_start
+from ..sources.staging import stage
 
 
 def sentence_spans(sections: DataFrame, texts: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def semantic_spans(sections: DataFrame, texts: DataFrame, embedder=None, config:
     body = sections.join(texts.select("doc_id", "text"), "doc_id")
     alone = F.col("header").isNotNull() & (strip(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))) == F.col("header"))
     kept = body.where(~F.coalesce(alone, F.lit(False))).select(*sections.columns)
-    spans = sentence_spans(kept, texts)
+    spans = stage(sentence_spans(kept, texts), "sentences")
     try:
         vector = embedder.embed(strip(F.col("sentence"))) if embedder is not None else None
     except EmbeddingError:
@@ -129,6 +130,7 @@ def semantic_spans(sections: DataFrame, texts: DataFrame, embedder=None, config:
         grouped = spans.withColumn("topic", F.lit(0))
     else:
         grouped = topic_groups(neighbour_distance(spans.withColumn("vector", vector), keys, "i"), keys, "i", config).drop("vector", "dist")
+        grouped = stage(grouped, "topics")  # used twice below; the vectors are made once
     packed = pack_sentences(grouped, keys, config)
     runs = packed.groupBy(*keys, "pack").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("hard").alias("hard"))
     runs = runs.join(texts.select("doc_id", "text"), "doc_id").join(kept.select(*keys, F.col("start").alias("_section")), keys)
@@ -150,8 +152,8 @@ def chunk_table(documents: DataFrame, pages: DataFrame, embedder=None, config: C
     from .clean import attribute_pages, document_text, page_spans
     from .outline import sections
 
-    texts = document_text(pages)
-    parts = sections(texts, config)
+    texts = stage(document_text(pages), "texts")
+    parts = stage(sections(texts, config), "sections")
     spans = semantic_spans(parts, texts, embedder, config) if config.semantic_chunking else fixed_spans(parts, texts, config)
     body = spans.join(texts.select("doc_id", "text"), "doc_id").join(parts.select("doc_id", "section_index", "header"), ["doc_id", "section_index"])
     body = body.withColumn("chunk_text", strip(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))).where("chunk_text <> ''").drop("text")

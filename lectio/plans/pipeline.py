@@ -12,6 +12,7 @@ from ..operators.answer import context_budget, conversation_prompt, format_conte
 from ..operators.retrieval import hybrid_search, rerank
 from ..operators.segment import chunk_table
 from ..sources.files import load, scan_files
+from ..sources.staging import stage
 from ..sources.store import Index
 
 # Own wording throughout.
@@ -28,7 +29,8 @@ TRANSFORMS = {
 def index_files(files: DataFrame, index: Index, embedder, extractors=None, config: Config = DEFAULT) -> tuple[int, DataFrame]:
     """Number of chunks added, and the failures."""
     documents, pages, failures = load(files, extractors)
-    return index.add(chunk_table(documents, pages, embedder if config.semantic_chunking else None, config), embedder), failures
+    chunks = stage(chunk_table(documents, pages, embedder if config.semantic_chunking else None, config), "chunks")
+    return index.add(chunks, embedder), failures
 
 
 def bootstrap(index: Index, folder: str, embedder, config: Config = DEFAULT) -> int:
@@ -60,16 +62,18 @@ def answer(questions: DataFrame, index: Index, embedder, chat=None, judge=None,
         raise ValueError("a question must not be empty")
     mode = mode or config.query_transform
     asked = condense(questions if "conv_id" in questions.columns else questions.withColumn("conv_id", F.lit(None).cast("long")), turns, chat, config)
+    asked = stage(asked, "questions")  # models are asked once, whatever reads their replies
     reply = chat_udf(chat, TRANSFORMS[mode])(F.col("standalone")) if chat is not None and mode in TRANSFORMS else F.lit(None).cast("string")
-    texts = search_texts(asked.select("query_id", F.col("standalone").alias("question"), F.lit(mode).alias("mode"), reply.alias("reply")), config)
+    texts = stage(search_texts(stage(asked.select("query_id", F.col("standalone").alias("question"), F.lit(mode).alias("mode"), reply.alias("reply")), "replies"), config), "search-texts")
     chunks = index.chunks.select("chunk_id", "ord", F.col("chunk_text").alias("text"))
     numbered = chunks.select(F.col("ord").alias("chunk_id"), "ord", "text")
     vectors = index.vectors.join(index.chunks.select("chunk_id", "ord"), "chunk_id").select(F.col("ord").alias("chunk_id"), "ord", "vector")
     dense = texts.where("side = 'dense'").select("query_id", "variant_no", embedder.embed(F.col("text")).alias("vector"))
-    found = hybrid_search(dense, texts.where("side = 'sparse'").select("query_id", "variant_no", "text"), vectors, numbered, config=config).withColumnRenamed("chunk_id", "ord")
+    found = hybrid_search(stage(dense, "query-vectors"), texts.where("side = 'sparse'").select("query_id", "variant_no", "text"), vectors, numbered, config=config).withColumnRenamed("chunk_id", "ord")
+    found = stage(found, "candidates")
     body = found.join(index.chunks, "ord").join(asked.select("query_id", F.col("standalone").alias("question")), "query_id")
     kept = rerank(body.withColumnRenamed("chunk_text", "text"), scorer, config=config).withColumnRenamed("text", "chunk_text")
-    context = context_budget(kept.drop("rank").withColumnRenamed("final_rank", "rank"), config).withColumn("marker", F.col("rank"))
+    context = stage(context_budget(kept.drop("rank").withColumnRenamed("final_rank", "rank"), config).withColumn("marker", F.col("rank")), "context")
     gathered = context.groupBy("query_id").agg(F.count("*").alias("n_context"), F.collect_list("chunk_text").alias("context"))
     rows = asked.join(gathered, "query_id", "left").join(format_context(context).withColumnRenamed("context", "excerpts"), "query_id", "left")
     rows = rows.join(found.groupBy("query_id").agg(F.count("*").alias("retrieved_k")), "query_id", "left").join(texts.select("query_id", F.col("mode").alias("used_mode")).distinct(), "query_id", "left")
@@ -77,8 +81,9 @@ def answer(questions: DataFrame, index: Index, embedder, chat=None, judge=None,
     prompt = F.when(F.col("n_context") > 0, F.concat_ws("\n\n", "excerpts", "standalone"))
     said = chat_udf(chat, ANSWER, "raise")(prompt) if chat is not None else F.lit(None).cast("string")
     rows = rows.withColumn("answer", normalize_citations(F.coalesce(F.nullif(F.trim(said), F.lit("")), F.lit(REFUSAL))))
+    rows = stage(rows, "answers")
     verdict = chat_udf(judge, JUDGE)(F.concat_ws("\n\n", "answer", "excerpts")) if judge is not None else F.lit(None).cast("string")
-    done = grounding(rows.withColumn("reply", verdict), config)
+    done = stage(grounding(stage(rows.withColumn("reply", verdict), "verdicts"), config), "grounded")
     cites = mark_citations(context, done.select("query_id", F.col("final_answer").alias("answer")))
     listed = cites.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("marker", "source_file", "doc_id", "page_number", "section_header", "cited", F.col("chunk_text").alias("snippet")))).alias("citations"))
     return done.join(listed, "query_id", "left").select("query_id", "question", F.nullif("standalone", "question").alias("standalone_question"), F.col("final_answer").alias("answer"), "citations", F.col("score").alias("faithfulness_score"), F.col("method").alias("grounding_method"), "confidence", F.col("used_mode").alias("used_query_transform"), "retrieved_k", F.col("n_context").alias("final_k"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import document_id
 from ..operators.clean import paginate, preprocess
+from .staging import stage
 
 PDF_SUFFIXES = [".pdf"]
 TEXT_SUFFIXES = [".txt", ".md", ".markdown"]
@@ -85,7 +86,7 @@ def load(files: DataFrame, extractors: list[PdfExtractor] | None = None) -> tupl
         unread = got.join(first, "doc_id", "left_anti").groupBy("name").agg(F.max("message").alias("message")).select("name", F.lit("ExtractionError").alias("error"), "message")
     else:
         unread = pdf.select("name", F.lit("ExtractionError").alias("error"), F.lit("no PDF extractor is configured").alias("message"))
-    pages = preprocess(raw)
+    pages = stage(preprocess(stage(raw, "raw-pages")), "pages")
     readable = named.where("kind <> 'unsupported'").join(unread, "name", "left_anti")
     empty = readable.join(pages, "doc_id", "left_anti").select("name", F.lit("EmptyDocumentError").alias("error"), F.lit("no extractable text").alias("message"))
     documents = named.join(pages, "doc_id", "left_semi").select("doc_id", F.col("name").alias("source_file")).distinct()
