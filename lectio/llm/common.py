@@ -49,18 +49,18 @@ def held_out(doc_id: str, mod: int, rest: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % mod == rest
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most per_class labelled texts of each class for which `keep` holds, to the driver.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: tuple[int, int], max_chars: int) -> list[tuple[str, int]]:
+    """At most per_class[label] labelled texts of each class for which `keep` holds, to the driver.
 
     The ids are picked from the label table alone by a hash order, so that only a bounded id list
-    meets the documents (a broadcast of 2 * per_class rows). Texts over max_chars aren't used for
+    meets the documents (a broadcast of sum(per_class) rows). Texts over max_chars aren't used for
     fitting; scoring always reads whole texts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if keep is None else keep)).select(F.col("doc_id").alias("_i"), F.col(label).cast("int").alias("_y"))
     order = F.xxhash64(F.col("_i"), F.col("_y"))
     picked = None
     for y in (0, 1):
-        part = known.where(F.col("_y") == y).orderBy(order, "_i").limit(per_class)
+        part = known.where(F.col("_y") == y).orderBy(order, "_i").limit(per_class[y])
         picked = part if picked is None else picked.unionByName(part)
     rows = picked.dropDuplicates(["_i", "_y"])
     found = (

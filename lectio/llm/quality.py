@@ -198,7 +198,7 @@ def by_size(group: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, keep=None, *, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    return fit(training_rows(docs, labels, "quality", keep, per_class, max_chars))
+    return fit(training_rows(docs, labels, "quality", keep, (per_class, per_class), max_chars))
 
 
 def _score(model: Model, group: list[str], kept: dict) -> np.ndarray:

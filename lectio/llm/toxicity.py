@@ -8,7 +8,7 @@ shorter than a window is one window). Only texts are labelled, so training is mu
 of a toxic text the window that scores highest counts as toxic, of another text all windows count
 as clean, and after a first pass the currently highest ones are trained on. Word and character
 vectors start from smoothed log-odds of the training texts. The labelled sample is bounded by
-`per_class`, whatever the data; every document is scored over its whole text.
+`per_class` (clean, toxic), whatever the data; every document is scored over its whole text.
 
 Defined cases: a null or empty text has no window and gets the score of an empty window, below any
 toxic one; without labelled rows of both classes every score is the share of label 1 (0 if there
@@ -33,7 +33,7 @@ from .quality import by_size, sum_by, word_features
 WINDOW, STRIDE = 32, 16
 HIDDEN, DIM, POOL = 8, 6, 8
 BUCKETS, GRAMS = 1 << 16, (3, 4, 5, 6)
-PER_CLASS, MAX_CHARS, EPOCHS, ROUNDS, RATE = 900, 16_000, 6, 3, 0.01
+PER_CLASS, MAX_CHARS, EPOCHS, ROUNDS, RATE = (1400, 700), 16_000, 4, 3, 0.01
 REMEMBERED = 150_000
 _SPLIT = re.compile(r"\w+")
 
@@ -313,7 +313,7 @@ class Scorer:
         return np.where(np.isneginf(best), self.none, self._probability(np.where(np.isneginf(best), 0, best)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, *, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, *, per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     return fit(training_rows(docs, labels, "toxic", keep, per_class, max_chars))
 
 
