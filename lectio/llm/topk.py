@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, stage
 from .tiles import each_group
 
 K, SCALE = 5, 256
@@ -93,9 +93,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("_v")).where(F.col("vec_id").isNotNull() & F.coalesce(v.isNotNull() & sound, F.lit(False)))
     rows = rows.select("vec_id", F.transform("_v", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("x"), F.coalesce(is_query, F.lit(False)).alias("_q"))
-    # a name for each row, so that a query leaves out itself but not rows that repeat its id
-    rows = rows.withColumn("_same", F.row_number().over(Window.partitionBy("vec_id").orderBy("x")))
-    rows = rows.withColumn("_row", F.when(F.col("_same") == 1, F.xxhash64("vec_id")).otherwise(F.xxhash64("vec_id", "_same")))
+    # a name for each row, fixed by the written table: a query leaves out itself, not rows that repeat its id
+    rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "vectors")
     n, queries = rows.agg(F.count("*"), F.count_if("_q")).first()
     blocks, bands = max(1, -(-n // block)), max(1, -(-queries // band))
     cols = ["_band", "_block", "_side", F.size("x").alias("_w"), "_row", "vec_id", "x"]
