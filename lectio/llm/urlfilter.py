@@ -3,7 +3,7 @@
 Reversed hosts ("org.example.www.") turn "this host and its subdomains" into a prefix, that is an
 interval of sorted keys, and the intervals of all rules are nested or disjoint. So urls and rules
 are sorted together and one sweep keeps a stack of the rule hosts that contain the current key;
-a url looks its path up in the stack's few entries. Key ranges come from a bounded hash-picked
+a url looks its path up in the stack's few entries. Key ranges come from a bounded row
 sample that includes the path and the row's own hash, so a host with a third of all rows, or one
 url repeated, is spread over many ranges; a rule is copied into each range that its interval meets.
 
@@ -107,7 +107,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", *, p
 
     ranges = min(MOST_RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     share = max(1, parsed.count() // (SAMPLE_PER_RANGE * ranges))  # about SAMPLE_PER_RANGE * ranges keys come back
-    sample = sorted(r[0] for r in parsed.select("place").where(F.pmod(F.xxhash64(F.lit(7), "place"), F.lit(share)) == 0).collect())
+    sample = sorted(r[0] for r in parsed.select("place").sample(1.0 / share, seed=7).collect())
     bounds = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
