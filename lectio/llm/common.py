@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +26,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     session's file system closes.
     """
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_STAGE).rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = LOCAL_STAGE
+    root = root.rstrip("/")
     path = f"{root}/lectio/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
@@ -44,6 +51,30 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def by_size(group: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+    """Consecutive groups of texts of about so many characters, one text at least."""
+    part: list[str] = []
+    total = 0
+    for t in group:
+        if part and total + len(t) > chars:
+            yield part
+            part, total = [], 0
+        part.append(t)
+        total += len(t)
+    if part:
+        yield part
+
+
+#: A longer word counts as several, so that features of a word need little memory.
+LONGEST_WORD = 1000
+
+
+def bounded_words(words: list[str]) -> list[str]:
+    if max(map(len, words), default=0) <= LONGEST_WORD:
+        return words
+    return [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
+
+
 def held_out(doc_id: str, mod: int, rest: int):
     """Whether crc32 of the id as text leaves `rest`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % mod == rest

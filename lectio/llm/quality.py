@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table, texts, training_rows
+from .common import bounded_words, by_size, held_out, read_table, texts, training_rows
 
 BUCKETS, DIM, GRAMS = 1 << 16, 12, (2, 3, 4)
 PER_CLASS, MAX_CHARS, EPOCHS, RATE = 600, 16_000, 4, 0.5
@@ -91,7 +91,7 @@ class Model:
 
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Feature buckets of a text and their weights, which add up to 1."""
-    words = text.split()
+    words = bounded_words(text.split())
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.float32)
     known: dict[str, int] = {}
@@ -150,7 +150,7 @@ class Scorer:
     def scores(self, group: list[str]) -> np.ndarray:
         if self.model.constant is not None:
             return np.full(len(group), self.model.constant)
-        split = [t.split() for t in group]
+        split = [bounded_words(t.split()) for t in group]
         fresh = {w for words in split for w in words if w not in self.known}
         if len(self.known) + len(fresh) > REMEMBERED:  # the batch's own words all have to be known
             self.known, self.table = {}, np.empty((0, DIM + 1), np.float32)
@@ -174,8 +174,7 @@ class Scorer:
     def _learn(self, words: list[str]) -> None:
         at = len(self.known)
         rows = []
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
+        for part in by_size(words, 200_000):
             f, own = word_features(part)
             size = np.bincount(own, minlength=len(part)).astype(np.float32)[:, None]
             rows.append(np.concatenate([sum_by(own, self.model.vectors[f], len(part)), size], axis=1))
@@ -183,20 +182,6 @@ class Scorer:
         self.known.update(zip(words, range(at, at + len(words)), strict=True))
 
 
-def by_size(group: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
-    """Consecutive groups of texts of about so many characters, one text at least."""
-    part: list[str] = []
-    total = 0
-    for t in group:
-        if part and total + len(t) > chars:
-            yield part
-            part, total = [], 0
-        part.append(t)
-        total += len(t)
-    if part:
-        yield part
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, keep=None, *, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     return fit(training_rows(docs, labels, "quality", keep, (per_class, per_class), max_chars))
 

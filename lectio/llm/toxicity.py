@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table, texts, training_rows
-from .quality import by_size, sum_by, word_features
+from .common import bounded_words, by_size, held_out, read_table, texts, training_rows
+from .quality import sum_by, word_features
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, DIM, POOL = 8, 6, 8
@@ -39,7 +39,7 @@ _SPLIT = re.compile(r"\w+")
 
 
 def words_of(text: str) -> list[str]:
-    return _SPLIT.findall(text.lower())
+    return bounded_words(_SPLIT.findall(text.lower()))
 
 
 def starts(n: int) -> list[int]:
@@ -280,8 +280,7 @@ class Scorer:
 
     def _learn(self, words: list[str]) -> None:
         rows = []
-        for k in range(0, len(words), 10_000):
-            part = words[k : k + 10_000]
+        for part in by_size(words, 100_000):
             rows.append(project(self.model.par, inputs(self.model, word_features(part, BUCKETS, GRAMS), len(part))))
         at = len(self.table)
         self.table = np.concatenate([self.table, *rows])
