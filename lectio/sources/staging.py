@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,12 @@ def stage(df: DataFrame, label: str = "step") -> DataFrame:
     """df written as Parquet and read again: later steps read one result instead of running its
     plan once for each use, and a lost executor costs unfinished tasks only."""
     spark, schema = df.sparkSession, df.schema
-    root = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = LOCAL
+    root = root.rstrip("/")
     path = f"{root}/lectio/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
