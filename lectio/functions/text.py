@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 
+# Fixed values that results depend on: patterns, then word lists.
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 SENTENCE_END = r"""([.!?]["')\]]*\s+|\n{2,})"""
 EXOTIC_SPACES = r"[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 ROMAN = "^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 EDGE_SPACE = r"^\s+|\s+$"
-
-# Fixed values that results depend on.
+_ALONE_BEFORE, _ALONE_AFTER = r"(?<![\p{L}\p{N}_-])", r"(?![\p{L}\p{N}_-])"
+STANDALONE = f"{_ALONE_BEFORE}([A-Za-z]{{2,}}){_ALONE_AFTER}"
+COMPOUND = f"{_ALONE_BEFORE}([A-Za-z]+-[A-Za-z]+){_ALONE_AFTER}"
+HYPHEN_BREAK = r"([A-Za-z]+)-\n([a-z][A-Za-z]*)"
+CITATION_ANY_BRACKET = r"[【〔［]\s*([\d\s,]+?)\s*[】〕］]"
+CITATION = r"\[\s*([\d\s,]+?)\s*\]"
+CITATION_STRICT = r"\[\d+(?:\s*,\s*\d+)*\]"
 FUNCTION_WORDS = (
     "a an and are as at be been but by for from had has have in into is it its "
     "of on or that the this to was were which with not no than then they their "
@@ -34,7 +40,8 @@ REFERRING_WORDS = (
 ).split()
 CONTINUATIONS = ["and", "but", "or", "so", "then", "also", "plus"]
 HEADING_BAD_TAIL = ["and", "or", "the", "of", "a", "an", "with", "to", "for", "is", "are"]
-REFUSAL = "I could not find this in the provided documents."
+#: The answer that says there is none.
+REFUSAL = "The documents at hand hold no answer to this question."
 
 
 def words_literal(words: list[str]) -> Column:
@@ -90,12 +97,6 @@ def words_ran_together(c: Column, config: Config = DEFAULT) -> Column:
     return (F.size(words) > 0) & (long > config.runon_max_fraction * F.size(words))
 
 
-_ALONE_BEFORE, _ALONE_AFTER = r"(?<![\p{L}\p{N}_-])", r"(?![\p{L}\p{N}_-])"
-STANDALONE = f"{_ALONE_BEFORE}([A-Za-z]{{2,}}){_ALONE_AFTER}"
-COMPOUND = f"{_ALONE_BEFORE}([A-Za-z]+-[A-Za-z]+){_ALONE_AFTER}"
-HYPHEN_BREAK = r"([A-Za-z]+)-\n([a-z][A-Za-z]*)"
-
-
 def standalone_words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(STANDALONE), F.lit(1)))
 
@@ -130,11 +131,6 @@ def needs_condensing(c: Column, config: Config = DEFAULT) -> Column:
     )
 
 
-CITATION_ANY_BRACKET = r"[【〔［]\s*([\d\s,]+?)\s*[】〕］]"
-CITATION = r"\[\s*([\d\s,]+?)\s*\]"
-CITATION_STRICT = r"\[\d+(?:\s*,\s*\d+)*\]"
-
-
 def normalize_citations(c: Column) -> Column:
     return each_match(c, CITATION_ANY_BRACKET, lambda m: F.concat(F.lit("["), squeeze(F.regexp_extract(m, CITATION_ANY_BRACKET, 1)), F.lit("]")))
 

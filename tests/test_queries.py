@@ -1,4 +1,4 @@
-"""Every registered query of the reference's operators against its SQL."""
+"""Every registered q_ query against its SQL."""
 
 import pytest
 
