@@ -223,9 +223,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     names = docs.columns
     packed = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_key"))
     judged = ngram_jaccard_join(docs)
-    stays = judged.where("kept").groupBy("doc_id", "key").agg(F.count("*").alias("_n"), F.max("n_links").alias("_l"))
+    stays = stage(judged.where("kept").groupBy("doc_id", "key").agg(F.count("*").alias("_n"), F.max("n_links").alias("_l")), "stays")
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))
     alone = packed.join(stays.where("_n = 1 or _l = 0"), same, "left_semi").select("_row.*")
+    if stays.where("_n > 1 and _l > 0").isEmpty():  # no row repeats a kept one: its texts need not move again
+        return alone
     again = packed.join(stays.where("_n > 1 and _l > 0"), same).groupBy("_id", "_key").agg(F.first("_row").alias("_row")).select("_row.*")
     return alone.unionByName(again)
 
