@@ -4,9 +4,10 @@ Documents are tokenized once and written as pieces (id, place, length). Only the
 piece lengths, `capacity` numbers at most whatever the data, goes to the driver. There the bins are
 found as patterns (lengths that share a bin, and how often): best-fit decreasing gives the first
 incumbent; bin completion (Korf, "A New Algorithm for Optimal Bin Packing", 2002) then enumerates
-undominated fillings around the largest piece left, applies each as often as the counts allow,
-backtracks where the waste so far exceeds what a better packing could have, and stops at the
-Martello-Toth lower bound or after `nodes` nodes. Pieces find their places in the patterns by their
+undominated fillings of any number of pieces around the largest piece left, from a table of subset
+sums, applies each as often as the counts allow, backtracks where the waste so far exceeds what a
+better packing could have, and stops at the Martello-Toth lower bound or after `nodes` nodes beside
+those of one whole path. Single paths that differ in their rule come first, for better incumbents. Pieces find their places in the patterns by their
 rank among the pieces of equal length: local ranks from the tokenizing tasks plus the sums of the
 tasks before, so no length, however common, is gathered in one task.
 
@@ -21,8 +22,9 @@ import json
 import sys
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,15 @@ from .common import read_table, stage, texts
 
 CAPACITY = 2048
 END_ID = 0
-#: Nodes of the branch and bound after which the incumbent stands.
+#: Nodes of the branch and bound, beside those of one whole path, after which the incumbent stands.
 NODES = 2_000
-#: Fillings kept for a node.
+#: Fillings made for a node at a time; more follow when these are tried.
 WIDTH = 4
+#: Shares of the pieces at which dives change their rule.
+BORDERS = 12
+#: Pieces up to which dominance is tried in full, fillings that a new one is held against, and
+#: dominated ones left out at a node (trying one all the same costs time only).
+FEW, REMEMBERED, SKIPPED = 4, 64, 256
 
 
 # ---------------------------------------------------------------- tokens
@@ -180,47 +187,169 @@ def dominated(small: tuple[int, ...], by: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(counts: np.ndarray, room: int, waste: int, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` with up to three of the pieces left, least waste first.
+def componentwise(small: tuple[int, ...], by: tuple[int, ...]) -> bool:
+    """Whether `by` has a piece of at least its size for each of `small` (both descending)."""
+    return len(small) <= len(by) and all(x <= y for x, y in zip(small, by, strict=False))
+
+
+def subset_sums(sizes: list[int], counts: list[int], room: int) -> list[int]:
+    """Bit t of entry i: whether pieces of sizes[: i + 1] (ascending) can fill exactly t."""
+    table, sums, mask = [], 1, (1 << room + 1) - 1
+    for s, c in zip(sizes, counts, strict=True):
+        c, step = min(c, room // s), 1
+        while c:
+            step = min(step, c)
+            sums |= sums << s * step & mask
+            c, step = c - step, 2 * step
+        table.append(sums)
+    return table
+
+
+def exact_fillings(sizes: list[int], counts: list[int], table: list[int], target: int) -> Iterator[tuple[int, ...]]:
+    """All choices of pieces that fill `target`, the largest pieces first; no step is a dead end."""
+    todo = [(target, len(sizes) - 1, -1, ())]
+    while todo:
+        t, i, k, chosen = todo.pop()
+        if not t:
+            yield chosen
+            continue
+        while True:
+            if k < 0:
+                i = min(i, bisect_right(sizes, t) - 1)
+                k = min(counts[i], t // sizes[i])
+            below = table[i - 1] if i else 1
+            while k and not below >> t - k * sizes[i] & 1:
+                k -= 1
+            if k:
+                todo += [(t, i, k - 1, chosen), (t - k * sizes[i], i - 1, -1, chosen + (sizes[i],) * k)]
+                break
+            if not below >> t & 1:
+                break
+            i, k = i - 1, -1
+
+
+def fillings(counts: np.ndarray, room: int, waste: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of `room` with any number of the pieces left, least waste first.
 
     The empty filling comes only if nothing fits. Fillings that waste more than `waste` are left
     out, but for the best one, on which the caller prunes.
     """
-    sizes = np.arange(len(counts))
-    fits = np.maximum.accumulate(np.where(counts > 0, sizes, 0))[: room + 1]  # largest piece that fits
-    if not room or not fits[room]:
-        return [()]
-    one = int(fits[room])
-    found = [(one,)]
-    have = np.flatnonzero(counts[: room + 1] > 0)
-    a = have[have > 0][::-1]
-    limit = np.minimum(a, room - a)
-    b = fits[limit]
-    twice = (b == a) & (counts[a] < 2)
-    b = np.where(twice, fits[np.minimum(a - 1, limit)], b)
-    pairs = np.flatnonzero(b > 0)
-    order = pairs[np.argsort(-(a[pairs] + b[pairs]), kind="stable")][: 4 * width]
-    found += [(int(a[i]), int(b[i])) for i in order]
-    if max(map(sum, found)) < room:  # two can't fill it exactly
-        top = a[:16]
-        for x in top:
-            rest = a[a <= min(int(x), room - int(x))]
-            z = fits[np.minimum(rest, room - int(x) - rest)]
-            need = (rest == x).astype(int) + 1 + (z == rest) + ((z == x) & (rest != x))
-            good = np.flatnonzero((z > 0) & (counts[rest] >= np.where(rest == x, 2, 1) + (z == rest)) & ((z != x) | (counts[x] >= need)))
-            if len(good):
-                i = good[np.argmax(rest[good] + z[good])]
-                found.append((int(x), int(rest[i]), int(z[i])))
-    found.sort(key=lambda f: (-sum(f), len(f)))
+    sizes = np.flatnonzero(counts[: room + 1] > 0).tolist()
+    have = counts[sizes].tolist()
+    table = subset_sums(sizes, have, room)
+    if not table:
+        yield ()
+        return
     kept: list[tuple[int, ...]] = []
-    for f in found:
-        if len(kept) < width and (not kept or room - sum(f) <= waste) and f not in kept and not any(dominated(f, k) for k in kept):
-            kept.append(f)
-    return kept
+    sums, skipped = table[-1], 0
+    while sums > 1:
+        target = sums.bit_length() - 1
+        sums ^= 1 << target
+        if kept and room - target > waste:
+            return
+        # what still fits beside a filling is part of it, or another filling holds this one
+        small = bisect_right(sizes, room - target)
+        left = target - sum(s * c for s, c in zip(sizes[:small], have[:small], strict=True))
+        if left < 0:
+            return
+        within = tuple(s for s, c in zip(sizes[:small], have[:small], strict=True) for _ in range(c))[::-1]
+        rest = subset_sums(sizes[small:], have[small:], left) if small else table
+        if left and not (rest and rest[-1] >> left & 1):
+            continue
+        for f in exact_fillings(sizes[small:], have[small:], rest, left):
+            f += within
+            if skipped < SKIPPED and any(componentwise(f, k) or (len(f) <= FEW and dominated(f, k)) for k in kept):
+                skipped += 1
+                continue
+            if len(kept) < REMEMBERED:
+                kept.append(f)
+            yield f
+
+
+def largest_first(counts: np.ndarray, room: int) -> tuple[int, ...]:
+    """The filling that takes the largest piece that fits, again and again."""
+    out: tuple[int, ...] = ()
+    for s in np.flatnonzero(counts[: room + 1] > 0)[::-1].tolist():
+        k = min(int(counts[s]), room // s)
+        out += (s,) * k
+        room -= k * s
+    return out
+
+
+class _Path:
+    """Patterns applied one after the other to a histogram, each as often as the counts allow."""
+
+    def __init__(self, counts: np.ndarray, capacity: int):
+        self.counts, self.capacity = counts.copy(), capacity
+        self.patterns: Patterns = []
+        self.wasted, self.used = 0, 0
+
+    def apply(self, pattern: tuple[int, ...]) -> None:
+        sizes, mult = np.unique(pattern, return_counts=True)
+        times = int((self.counts[sizes] // mult).min())
+        self.counts[sizes] -= mult * times
+        self.wasted += (self.capacity - sum(pattern)) * times
+        self.used += times
+        self.patterns.append((pattern, times))
+
+    def undo(self) -> None:
+        pattern, times = self.patterns.pop()
+        np.add.at(self.counts, list(pattern), times)
+        self.wasted -= (self.capacity - sum(pattern)) * times
+        self.used -= times
+
+    def around_largest(self, fill) -> list[tuple[int, ...]]:
+        """The largest piece left with each of the fillings that fill(counts, room) gives."""
+        largest = int(np.flatnonzero(self.counts)[-1])
+        self.counts[largest] -= 1
+        out = [(largest, *f) for f in fill(self.counts, self.capacity - largest)]
+        self.counts[largest] += 1
+        return out
+
+
+def dive(counts: np.ndarray, capacity: int, above: int, bins: int) -> tuple[Patterns, int] | None:
+    """One path to the end, if it takes fewer than `bins` bins: pieces longer than `above` are
+    joined by the largest that fit, the others by the filling of least waste."""
+    path = _Path(counts, capacity)
+    allowed = (bins - 1) * capacity - int((counts * np.arange(capacity + 1)).sum())
+    while path.counts.any():
+        if path.wasted > allowed:
+            return None
+        long = int(np.flatnonzero(path.counts)[-1]) > above
+        path.apply(path.around_largest(lambda c, room: [largest_first(c, room)] if long else islice(fillings(c, room, capacity), 1))[0])  # noqa: B023
+    return (path.patterns, path.used) if path.used < bins else None
+
+
+def dives(counts: np.ndarray, capacity: int, bins: int, bound: int) -> Iterator[tuple[Patterns, int]]:
+    """Ever better packings by dives that differ in how long the pieces are that take the largest.
+
+    Filling every bin exactly can use up the short pieces that others need (of pieces of 350 to 500
+    in 2048, five fit only if short), so the border is tried at even shares of the pieces, then
+    between the best one and its neighbours.
+    """
+    rank = np.cumsum(counts)
+    at = lambda share: int(np.searchsorted(rank, share * rank[-1] / BORDERS))
+    best, step = float(BORDERS), 1.0
+    shares = [float(x) for x in range(BORDERS, 0, -1)]
+    tried: set[int] = set()
+    while bins > bound and step > 1 / 64:
+        for share in shares:
+            if bins > bound and at(share) not in tried:
+                tried.add(at(share))
+                found = dive(counts, capacity, at(share), bins)
+                if found:
+                    bins, best = found[1], share
+                    yield found
+        step /= 2
+        shares = [best - step, best + step]
 
 
 def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> tuple[Patterns, int]:
-    """The best packing found, as patterns, and the lower bound."""
+    """The best packing found, as patterns, and the lower bound.
+
+    Beside `nodes`, the search may take the nodes of one path to the end: a pattern applied leaves
+    fewer pieces of some length than it holds, the next one at most half of them.
+    """
     counts = np.array(counts, dtype=np.int64)
     if not counts.sum():
         return [], 0
@@ -228,49 +357,38 @@ def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> tup
     best = best_fit_decreasing(counts, capacity)
     bins = sum(t for _, t in best)
     total = int((counts * np.arange(capacity + 1)).sum())
-    path: list[tuple[tuple[int, ...], int]] = []  # patterns applied so far
-    choices: list[list[tuple[int, ...]]] = []  # what is untried at each depth
-    wasted, used = 0, 0
-
-    def apply(pattern: tuple[int, ...]) -> None:
-        nonlocal wasted, used
-        sizes, mult = np.unique(pattern, return_counts=True)
-        times = int((counts[sizes] // mult).min())
-        counts[sizes] -= mult * times
-        wasted += (capacity - sum(pattern)) * times
-        used += times
-        path.append((pattern, times))
-
-    def undo() -> None:
-        nonlocal wasted, used
-        pattern, times = path.pop()
-        np.add.at(counts, list(pattern), times)
-        wasted -= (capacity - sum(pattern)) * times
-        used -= times
-
-    for _ in range(nodes):
+    for best, bins in dives(counts, capacity, bins, bound):  # noqa: B020
+        pass
+    path = _Path(counts, capacity)
+    choices: list[list] = []  # at each depth: what is untried, how many were made, whether there are more
+
+    def more(made: int) -> list:
+        """The node's next fillings; its counts are those of the path."""
+        waste = (bins - 1) * capacity - total - path.wasted
+        todo = path.around_largest(lambda c, room: islice(fillings(c, room, waste), made, made + WIDTH))
+        return [todo[::-1], made + len(todo), len(todo) == WIDTH]
+
+    for _ in range(nodes + sum(2 + (capacity // int(s)).bit_length() for s in np.flatnonzero(counts))):
         if bins <= bound:
             break
-        allowed = (bins - 1) * capacity - total  # what a better packing may waste
-        if not counts.any():
-            if used < bins:
-                best, bins = list(path), used
-            todo = []
-        elif wasted > allowed:
-            todo = []
+        if not path.counts.any():
+            if path.used < bins:
+                best, bins = list(path.patterns), path.used
+            choices.append([[], 0, False])
+        elif path.wasted > (bins - 1) * capacity - total:  # more than a better packing may waste
+            choices.append([[], 0, False])
         else:
-            largest = int(np.flatnonzero(counts)[-1])
-            counts[largest] -= 1
-            todo = [(largest, *f) for f in fillings(counts, capacity - largest, allowed - wasted)]
-            counts[largest] += 1
-        choices.append(todo[::-1])
-        while choices and not choices[-1]:
+            choices.append(more(0))
+        while choices and not choices[-1][0]:
+            if choices[-1][2] and path.wasted <= (bins - 1) * capacity - total:
+                choices[-1] = more(choices[-1][1])
+                continue
             choices.pop()
-            if path:
-                undo()
+            if path.patterns:
+                path.undo()
         if not choices:
             break
-        apply(choices[-1].pop())
+        path.apply(choices[-1][0].pop())
     return best, bound
 
 

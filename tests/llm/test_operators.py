@@ -256,6 +256,28 @@ def test_bins():
     assert packing.dominated((3, 2), (5,)) and not packing.dominated((3, 3), (5,)) and packing.bin_completion(np.zeros(31, int), 30) == ([], 0)
 
 
+@pytest.mark.parametrize(("low", "high", "most"), [(200, 400, 2950), (250, 340, 2896), (350, 500, 4300)])
+def test_bins_of_short_pieces(low, high, most):
+    counts = np.bincount(np.random.default_rng(1).integers(low, high + 1, 20_000), minlength=2049)
+    patterns, bound = packing.bin_completion(counts, 2048)
+    check_patterns(patterns, counts, 2048)
+    bins = sum(t for _, t in patterns)
+    assert bound <= bins <= most < sum(t for _, t in packing.best_fit_decreasing(counts, 2048))
+
+
+def test_fillings_of_any_number_of_pieces():
+    rng = random.Random(5)
+    for _ in range(200):
+        sizes = sorted(rng.randrange(3, 12) for _ in range(rng.randrange(1, 9)))
+        counts, room = np.bincount(sizes, minlength=31), rng.randrange(31)
+        subsets = {tuple(s for k, s in enumerate(sizes[::-1]) if m >> k & 1) for m in range(1 << len(sizes))}
+        fit = sorted((f for f in subsets if sum(f) <= room), key=sum)
+        got = list(packing.fillings(counts, room, room))
+        assert len(set(got)) == len(got) and set(got) <= set(fit) and sum(got[0]) == sum(fit[-1])
+        assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+        assert all(any(packing.dominated(f, g) for g in got) for f in fit if f)
+
+
 def check_packed(rows, texts, capacity=packing.CAPACITY):
     from tokenizers import Tokenizer
 
