@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
 LOCAL_STAGE = "file:///tmp/checkpoints"
@@ -83,21 +84,34 @@ def held_out(doc_id: str, mod: int, rest: int):
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: tuple[int, int], max_chars: int) -> list[tuple[str, int]]:
     """At most per_class[label] labelled texts of each class for which `keep` holds, to the driver.
 
-    The ids are picked from the label table alone by a hash order, so that only a bounded id list
-    meets the documents (a broadcast of sum(per_class) rows). Texts over max_chars aren't used for
-    fitting; scoring always reads whole texts.
+    Ids are picked by a hash order among the labelled documents, for which ids and lengths alone are
+    joined; only the bounded list of picks (sum(per_class) rows) meets the texts, as a broadcast.
+    Texts of at most max_chars come first. Where a class lacks them, longer ones follow, the shortest
+    first and whole, as long as the class stays within per_class * max_chars characters. One text is
+    taken at least, its first per_class * max_chars characters if it alone is longer. Scoring
+    always reads whole texts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if keep is None else keep)).select(F.col("doc_id").alias("_i"), F.col(label).cast("int").alias("_y"))
-    order = F.xxhash64(F.col("_i"), F.col("_y"))
+    long = F.greatest(F.col("_l"), F.lit(max_chars))
+    texts_of = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).where(F.col("_t").isNotNull())
+    lengths = texts_of.select("_d", F.length("_t").alias("_l")).join(known, F.col("_d") == F.col("_i")).groupBy("_i", "_y").agg(F.min("_l").alias("_l"))
+    lengths = lengths.select("_i", "_y", "_l", long.alias("_o"), F.xxhash64("_i", "_y").alias("_h"))
     picked = None
     for y in (0, 1):
-        part = known.where(F.col("_y") == y).orderBy(order, "_i").limit(per_class[y])
+        part = lengths.where(F.col("_y") == y).orderBy("_o", "_h", "_i").limit(per_class[y])
         picked = part if picked is None else picked.unionByName(part)
-    rows = picked.dropDuplicates(["_i", "_y"])
+    rows, room = [], [n * max_chars for n in per_class]
+    full = list(room)
+    for r in sorted(picked.collect(), key=lambda r: (r["_y"], r["_o"], r["_h"], r["_i"])):
+        if r["_l"] <= room[r["_y"]] or room[r["_y"]] == full[r["_y"]]:
+            rows.append((r["_i"], r["_y"], r["_o"]))
+            room[r["_y"]] -= r["_l"]
+    if not rows:
+        return []
+    chosen = docs.sparkSession.createDataFrame(rows, StructType([*known.schema.fields, StructField("_o", IntegerType())]))
     found = (
-        docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t"))
-        .where(F.col("_t").isNotNull() & (F.length("_t") <= max_chars))
-        .join(F.broadcast(rows), F.col("_d") == F.col("_i"))
-        .select("_d", "_t", "_y")
+        texts_of.join(F.broadcast(chosen), F.col("_d") == F.col("_i"))
+        .where(F.length("_t") <= F.col("_o"))
+        .select("_d", F.substring("_t", F.lit(1), F.when(F.col("_y") == 0, full[0]).otherwise(full[1])).alias("_t"), "_y")
     )
     return [(r[1], r[2]) for r in sorted(found.collect(), key=lambda r: (r[0], r[2], r[1]))]

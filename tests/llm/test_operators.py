@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectio.llm import bpe, graph, ngram_join, packing, pii, quality, sharding, tiles, topk, toxicity, urlfilter, vecdedup
+from lectio.llm import bpe, common, graph, ngram_join, packing, pii, quality, sharding, tiles, topk, toxicity, urlfilter, vecdedup
 
 LONG = "wordy " * 20_000
 AWKWARD = [(1, None), (2, ""), (3, "the cat sat on the mat today"), (4, "the cat sat on the mat today"), (4, "the cat sat on the mat today"), (5, LONG), (None, "mail a.b@c.org or +1 (555) 010-9999 now"), (6, " \n "), (7, "x" * 30_000), (8, "Tür 日本 <|endoftext|> \x1c\x85")]
@@ -532,6 +532,19 @@ def test_toxicity_windows_cover_the_text():
         assert at[0] == 0 and at[-1] + min(n, toxicity.WINDOW) == n and all(0 < b - a <= toxicity.STRIDE for a, b in zip(at, at[1:]))
 
 
+def test_long_texts_are_fitted_too(spark):
+    rows = [(i, f"t{i} " * (20 if i % 2 else 5)) for i in range(40)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    pick = lambda per_class, max_chars: common.training_rows(docs, labels, "toxic", None, per_class, max_chars)
+    got = pick((8, 10), 40)  # class 1 has long texts only: whole ones up to 10 * 40 characters
+    assert sum(y == 0 for _, y in got) == 8 and 5 <= sum(y for _, y in got) <= 7 and all(t in dict(rows).values() for t, _ in got)
+    assert {y for _, y in pick((1, 1), 10)} == {0, 1} and all(len(t) <= 10 for t, _ in pick((1, 1), 10))
+    mixed = docs.withColumn("text", F.when(F.col("doc_id") >= 20, F.col("text")).otherwise(F.repeat(F.lit("long "), 100)))
+    got = common.training_rows(mixed, labels, "toxic", None, (8, 8), 100)  # the short ones fill the classes
+    assert [sum(y == k for _, y in got) for k in (0, 1)] == [8, 8]
+    assert common.training_rows(docs.limit(0), labels, "toxic", None, (1, 1), 10) == []
+
+
 def test_toxicity_gradient():
     rng = np.random.default_rng(3)
     par = {k: v.astype(np.float64) for k, v in toxicity.new_model(rng).par.items()}
