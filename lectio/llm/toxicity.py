@@ -3,7 +3,7 @@
 A word's input is its learned hashed word vector beside the mean of its learned hashed character
 n-gram vectors. Two gated recurrent layers (Cho et al., 2014) read a window of `WINDOW` words from
 both ends; attention pools their states; a logistic layer scores the window. A text's score is the
-highest over all its windows, which overlap by half (the last one ends with the text; a text
+highest over all its windows, one from each word on that has a whole window after it (a text
 shorter than a window is one window). Only texts are labelled, so training is multiple-instance:
 of a toxic text the window that scores highest counts as toxic, of another text all windows count
 as clean, and after a first pass the currently highest ones are trained on. Word and character
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import bounded_words, by_size, held_out, read_table, texts, training_rows
 from .quality import sum_by, word_features
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 1
 HIDDEN, DIM, POOL = 8, 6, 8
 BUCKETS, GRAMS = 1 << 16, (3, 4, 5, 6)
 PER_CLASS, MAX_CHARS, EPOCHS, ROUNDS, RATE = (1400, 700), 16_000, 4, 3, 0.01
@@ -159,17 +159,18 @@ def fit(rows: list[tuple[str, int]], seed: int = 11, epochs: int = EPOCHS, round
     model.word[:, 0] += odds[0]
     model.char[:, 0] += odds[1]
     # windows of equal width: short texts are filled up by a word without features
-    spans = [(i, s) for i, x in enumerate(ids) for s in starts(len(x))]
-    owner = np.array([i for i, _ in spans])
-    windows = np.full((len(spans), WINDOW), pad)
-    for k, (i, s) in enumerate(spans):
-        part = ids[i][s : s + WINDOW]
-        windows[k, : len(part)] = part
+    # a window is its first place in `line`, so that only the windows at hand are ever laid out
+    line = np.concatenate([np.r_[x, np.full(max(0, WINDOW - len(x)), pad)] for x in ids]).astype(np.int32)
+    firsts = np.cumsum([0, *[max(WINDOW, len(x)) for x in ids[:-1]]])
+    places = [np.array(starts(len(x))) for x in ids]
+    owner = np.repeat(np.arange(len(ids)), [len(p) for p in places])
+    begin = np.concatenate([p + f for p, f in zip(places, firsts, strict=True)])
+    lay = lambda part: line[part[:, None] + np.arange(WINDOW)]
     adam: dict = {}
     steps = 0
     for turn in range(rounds):
         x = np.vstack([inputs(model, feats, n), np.zeros((1, 2 * DIM), np.float32)])
-        score = x[:, [0, DIM]].sum(axis=1)[windows].max(axis=1) if turn == 0 else _window_logits(model, x, windows)
+        score = _word_maxima(x, lay, begin) if turn == 0 else _window_logits(model, x, lay, begin)
         order = np.lexsort((-score, owner))
         top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]  # the highest window of each text
         clean = np.flatnonzero(labels[owner] == 0)
@@ -180,7 +181,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 11, epochs: int = EPOCHS, round
             for at in range(0, len(perm), 64):
                 pick = perm[at : at + 64]
                 steps += 1
-                _train(model, feats, n, windows[chosen[pick]], target[pick], adam, steps, rate * (0.5**turn))
+                _train(model, feats, n, lay(begin[chosen[pick]]), target[pick], adam, steps, rate * (0.5**turn))
     return model
 
 
@@ -203,9 +204,15 @@ def _log_odds(feats, ids: list[np.ndarray], labels: np.ndarray, n: int) -> list[
     return out
 
 
-def _window_logits(model: Model, x: np.ndarray, windows: np.ndarray, block: int = 2048) -> np.ndarray:
+def _word_maxima(x: np.ndarray, lay, begin: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """The highest log-odds of a word in each window."""
+    odds = x[:, [0, DIM]].sum(axis=1)
+    return np.concatenate([np.empty(0, np.float32), *[odds[lay(begin[at : at + block])].max(axis=1) for at in range(0, len(begin), block)]])
+
+
+def _window_logits(model: Model, x: np.ndarray, lay, begin: np.ndarray, block: int = 2048) -> np.ndarray:
     gates = project(model.par, x)
-    return np.concatenate([np.empty(0, np.float32), *[forward(model.par, window_gates(gates, windows[at : at + block])) for at in range(0, len(windows), block)]])
+    return np.concatenate([np.empty(0, np.float32), *[forward(model.par, window_gates(gates, lay(begin[at : at + block]))) for at in range(0, len(begin), block)]])
 
 
 def project(par: dict, x: np.ndarray) -> np.ndarray:
@@ -303,12 +310,15 @@ class Scorer:
                 ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
                 rows, owner = by_width.setdefault(min(len(words), WINDOW), ([], []))
                 at = np.array(starts(len(words)))
-                rows.append(ids[at[:, None] + np.arange(min(len(words), WINDOW))])
+                rows.append((ids, at))
                 owner.append(np.full(len(at), i))
-        for rows, owner in by_width.values():
-            windows, own = np.concatenate(rows), np.concatenate(owner)
-            for k in range(0, len(windows), 2048):
-                np.maximum.at(best, own[k : k + 2048], forward(self.model.par, window_gates(self.table, windows[k : k + 2048])))
+        for width, (rows, owner) in by_width.items():
+            line, own = np.concatenate([ids for ids, _ in rows]), np.concatenate(owner)
+            firsts = np.cumsum([0, *[len(ids) for ids, _ in rows[:-1]]])
+            begin = np.concatenate([at + f for (_, at), f in zip(rows, firsts, strict=True)])
+            for k in range(0, len(begin), 2048):
+                windows = line[begin[k : k + 2048, None] + np.arange(width)]
+                np.maximum.at(best, own[k : k + 2048], forward(self.model.par, window_gates(self.table, windows)))
         return np.where(np.isneginf(best), self.none, self._probability(np.where(np.isneginf(best), 0, best)))
 
 

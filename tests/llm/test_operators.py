@@ -532,6 +532,14 @@ def test_toxicity_windows_cover_the_text():
         assert at[0] == 0 and at[-1] + min(n, toxicity.WINDOW) == n and all(0 < b - a <= toxicity.STRIDE for a, b in zip(at, at[1:]))
 
 
+def test_toxicity_scores_every_window():
+    model = toxicity.fit(toy(200, 1, insult))
+    words = " ".join(t for t, _ in toy(4, 2, insult)).split()[:100]
+    scorer = toxicity.Scorer(model)
+    each = [scorer.scores([" ".join(words[i : i + 32])])[0] for i in range(len(words) - 31)]
+    assert np.isclose(scorer.scores([" ".join(words)])[0], max(each), atol=1e-6) and toxicity.starts(100) == list(range(69))
+
+
 def test_long_texts_are_fitted_too(spark):
     rows = [(i, f"t{i} " * (20 if i % 2 else 5)) for i in range(40)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
