@@ -175,8 +175,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ngram_jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_links (documents linked directly, copies included), component_id (the smallest
-    doc_id that links reach, its own included), kept (whether that is its own), and `key`, the
-    text's digest: one row per row of docs."""
+    doc_id that links reach, its own included), kept (whether that is its own and, of texts with
+    that id, its text has the smallest digest), and `key`, the text's digest: one row per row of docs."""
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).select("doc_id", "_text", F.md5("_text").alias("key"))
     rows = stage(named.select("key", F.col("doc_id").alias("rep"), "_text", F.length("_text").cast("long").alias("chars")).mapInArrow(_signatures, "key string, rep long, sig binary, chars long"), "signatures")
     classes = rows.groupBy("key").agg(F.min("rep").alias("rep"), F.count("*").alias("copies"), F.max("sig").alias("sig"), F.max("chars").alias("chars"))
@@ -206,19 +206,20 @@ def ngram_jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     links = verified.where(F.col("key").isNotNull()).groupBy("key").agg(F.sum("links").alias("links"))
     linked = components(verified.where(F.col("a").isNotNull()).select("a", "b"))
     linked = stage(linked.select(F.col("node").alias("key"), "component").join(classes.select("key", "rep"), "key"), "linked")
-    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    answer = linked.join(least, "component").join(links, "key").select("key", "component_id", "links")
+    # a component's smallest member by (id, text), null ids last, so that one text leads where ids repeat or lack
+    least = linked.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("_m"))
+    answer = linked.join(least, "component").join(links, "key").select("key", F.col("_m.rep").alias("component_id"), (F.col("key") == F.col("_m.key")).alias("_leads"), "links")
     whole = rows.select("key", F.col("rep").alias("doc_id")).join(
-        classes.join(answer, "key", "left").select("key", F.col("sig").isNull().alias("_bare"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "key"
+        classes.join(answer, "key", "left").select("key", F.col("sig").isNull().alias("_bare"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("_leads", F.lit(True)).alias("_leads")), "key"
     )
     own = lambda bare, other: F.when(F.col("_bare"), bare).otherwise(other)
-    out = whole.select("doc_id", own(F.lit(0).cast("long"), F.col("n_links")).alias("n_links"), own(F.col("doc_id"), F.col("component_id")).alias("component_id"), "key")
-    return out.select("doc_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "key")
+    out = whole.select("doc_id", own(F.lit(0).cast("long"), F.col("n_links")).alias("n_links"), own(F.col("doc_id"), F.col("component_id")).alias("component_id"), "_leads", "key")
+    return out.select("doc_id", "n_links", "component_id", (F.col("_leads") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), "key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays, and one
-    row of those that repeat it; texts without words all stay. Columns are unchanged."""
+    """docs without near copies: of each component the row with the smallest doc_id, then digest,
+    stays (null ids last), and one row of those that repeat it; texts without words all stay. Columns are unchanged."""
     # rows get names of their own, so that of repeated rows exactly one stays
     names = docs.columns
     packed = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_key"))

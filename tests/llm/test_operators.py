@@ -372,6 +372,19 @@ def test_ngram_join(spark, monkeypatch, block):
         assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == sorted(repr(k[:2]) for k in want)
 
 
+def test_one_text_stays_where_ids_lack_or_repeat(spark):
+    words = [f"w{i}" for i in range(80)]
+    near = [" ".join([*words[:79], f"x{k}"]) for k in range(4)]
+    far = [" ".join([*words[::-1][:79], f"y{k}"]) for k in range(3)]
+    rows = [(None, t) for t in near] + [(None, near[0])] + [(7, t) for t in far] + [(9, far[0]), (None, "alone here"), (7, "alone too")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = ngram_join.keep_one(table).collect()
+    assert sorted(repr(r.doc_id) for r in kept) == ["7", "7", "None", "None"]
+    assert sum(r.text in near for r in kept) == sum(r.text in far for r in kept) == 1
+    judged = ngram_join.ngram_jaccard_join(table).collect()
+    assert len({r.key for r in judged if r.kept}) == 4 and [r.kept for r in judged if r.doc_id == 9] == [False]
+
+
 def test_ngram_join_on_the_corpus(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     got = ngram_join.ngram_jaccard_join(documents).collect()
