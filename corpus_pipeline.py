@@ -1,7 +1,16 @@
 """The corpus pipeline: documents without toxic ones, bad ones, near copies and personal data, packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet
-into the shared checkpoint folder and hands the reread table to the next stage.
+into the shared checkpoint folder and hands the reread table to the next stage. The last table holds
+the pieces' token ids, so that the training sequences can be built from the result alone.
+
+Defined cases, for every stage and run(): a null or empty text is no toxic one, has the quality that
+the classifier's bias gives, is never a near copy, holds no personal data and is packed as its end
+id alone; very long texts are read whole; a text without any word stays beside its like, of rows that
+repeat a text with words one stays (the smallest doc_id, then digest; null ids last); a null doc_id
+is kept as it is; an empty table gives an empty result; without labels of both classes the classifiers
+score the share of label 1 (toxicity 0, quality 0.5 if there are none); further columns of documents
+go through all stages but the last unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +44,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: pieces and their places in training sequences."""
-    return packing.pack_documents(docs)
+    """Operator 1: pieces, their token ids and their places in training sequences."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def join_by_size(rows: DataFrame, side: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows.join(side, keys), where side has one row per key and says in `size` how many rows have it.
+
+    Keys with more than a 10,000th of all `total` rows are met by broadcast (there are fewer than
+    10,000 such), so that no task gets all rows of a common key. side should be a written table.
+    """
+    common = F.col(size) > max(1000, total // 10_000)
+    large = F.broadcast(side.where(common))
+    return rows.join(large, keys).unionByName(rows.join(large.select(*keys), keys, "left_anti").join(side.where(~common), keys))
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes written tables whose consumers are all written themselves."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def slices(df: DataFrame, groups: int, rows: int = 50_000, least: int = 128) -> int:
     """How many slices cut each of `groups` even groups of df to about `rows` rows."""
     return max(least, -(-df.count() // (rows * groups)))
@@ -66,30 +86,20 @@ def by_size(group: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
         yield part
 
 
-#: A longer word counts as several, so that features of a word need little memory.
-LONGEST_WORD = 1000
-
-
-def bounded_words(words: list[str]) -> list[str]:
-    if max(map(len, words), default=0) <= LONGEST_WORD:
-        return words
-    return [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
-
-
 def held_out(doc_id: str, mod: int, rest: int):
     """Whether crc32 of the id as text leaves `rest`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % mod == rest
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: tuple[int, int], max_chars: int) -> list[tuple[str, int]]:
-    """At most per_class[label] labelled texts of each class for which `keep` holds, to the driver.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: tuple[int, int], max_chars: int) -> DataFrame:
+    """(text, label): at most per_class[label] labelled texts of each class for which `keep` holds, one of each id.
 
     Ids are picked by a hash order among the labelled documents, for which ids and lengths alone are
-    joined; only the bounded list of picks (sum(per_class) rows) meets the texts, as a broadcast.
-    Texts of at most max_chars come first. Where a class lacks them, longer ones follow, the shortest
-    first and whole, as long as the class stays within per_class * max_chars characters. One text is
-    taken at least, its first per_class * max_chars characters if it alone is longer. Scoring
-    always reads whole texts.
+    joined; only the bounded list of picks (sum(per_class) ids) reaches the driver and meets the texts,
+    as a broadcast. Texts of at most max_chars come first. Where a class lacks them, longer ones follow,
+    the shortest first and whole, as long as the class stays within per_class * max_chars characters.
+    One text is taken at least, its first per_class * max_chars characters if it alone is longer.
+    Scoring always reads whole texts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if keep is None else keep)).select(F.col("doc_id").alias("_i"), F.col(label).cast("int").alias("_y"))
     long = F.greatest(F.col("_l"), F.lit(max_chars))
@@ -106,12 +116,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column |
         if r["_l"] <= room[r["_y"]] or room[r["_y"]] == full[r["_y"]]:
             rows.append((r["_i"], r["_y"], r["_o"]))
             room[r["_y"]] -= r["_l"]
-    if not rows:
-        return []
     chosen = docs.sparkSession.createDataFrame(rows, StructType([*known.schema.fields, StructField("_o", IntegerType())]))
     found = (
         texts_of.join(F.broadcast(chosen), F.col("_d") == F.col("_i"))
         .where(F.length("_t") <= F.col("_o"))
         .select("_d", F.substring("_t", F.lit(1), F.when(F.col("_y") == 0, full[0]).otherwise(full[1])).alias("_t"), "_y")
     )
-    return [(r[1], r[2]) for r in sorted(found.collect(), key=lambda r: (r[0], r[2], r[1]))]
+    return found.groupBy("_d", "_y").agg(F.min("_t").alias("text")).select("_d", "text", F.col("_y").alias("label"))
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[list[tuple[str, int]]], object]) -> object:
+    """fit's model of the (bounded) training rows, made in one task, so that a lost executor costs a
+    repeated task and the driver holds the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for b in batches for r in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found))], pa.binary())], ["model"])
+
+    one = rows.repartition(1).sortWithinPartitions("_d", "label", "text").select("text", "label")
+    made = one.mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else fit([])

@@ -1,11 +1,13 @@
 """Quality classifier with supervised subword embeddings (in the manner of Joulin et al., "Bag of
 Tricks for Efficient Text Classification", 2016).
 
-A word is the mean of the learned vectors of its hashed whole form, its hashed character n-grams,
-and, where it repeats the word before, one vector that stands for "repeated". A document is the
-mean of its words; a softmax layer gives the probability. Vectors and layer are trained by
-stochastic gradient descent in numpy on a bounded number of labelled texts (`per_class` of each
-class, a fixed bound whatever the data); every document is scored over its whole text.
+A word is the mean of the learned vectors of its hashed whole form and its hashed character n-grams.
+Two neighbouring words are a word bigram: the mean of two learned vectors, of the hashed pair of whole
+forms and of the hashed pair of word ends (the last `ENDING` bytes), which speaks of pairs never
+seen as a whole. A document is the mean of its words and bigrams; a softmax layer gives the
+probability. Vectors and layer are trained by stochastic gradient descent in numpy on a bounded
+number of labelled texts (`per_class` of each class, a fixed bound whatever the data), in one task;
+every document is scored over its whole text.
 
 Defined cases: a null or empty text has no words and scores the layer's bias alone; without
 labelled rows of both classes the score is the share of label 1 among them (0.5 if there are none);
@@ -17,69 +19,50 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_words, by_size, held_out, read_table, texts, training_rows
+from .common import by_size, fit_in_task, held_out, read_table, texts, training_rows
+from .subword import Vocabulary, bucket, mix, scattered, sum_by
 
-BUCKETS, DIM, GRAMS = 1 << 16, 12, (2, 3, 4)
-PER_CLASS, MAX_CHARS, EPOCHS, RATE = 600, 16_000, 4, 0.5
-#: Word vectors that a worker remembers.
+#: Vectors of whole words and n-grams come first, those of bigrams after them.
+BUCKETS, PAIRS, DIM, GRAMS, ENDING = 1 << 16, 1 << 16, 12, (2, 3, 4), 1
+PER_CLASS, MAX_CHARS, EPOCHS, RATE = 600, 16_000, 6, 1.0
+#: Words whose vectors a worker remembers.
 REMEMBERED = 150_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x * _MIX
-    return x ^ (x >> np.uint64(29))
-
-
-def word_features(words: list[str], buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """(feature buckets, word number of each feature) of many words at once.
-
-    Each word is written between two boundary bytes; its features are the whole form and all byte
-    n-grams. Bucket 0 is left to "repeated".
-    """
-    raw = [b"\x02" + w.encode("utf8", "surrogatepass") + b"\x03" for w in words]
-    length = np.fromiter(map(len, raw), np.int64, len(raw))
-    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(raw)), length)
-    start = np.cumsum(length) - length
-    place = np.arange(len(data)) - start[owner]
-    room = length[owner] - place
-    feats, owners = [], []
-    powers = _mix(_mix(data + np.uint64(257)) + place.astype(np.uint64))
-    whole = np.add.reduceat(powers, start) if len(raw) else np.empty(0, np.uint64)
-    feats.append(_mix(whole + np.uint64(1)))
-    owners.append(np.arange(len(raw)))
-    for n in grams:
-        at = np.flatnonzero(room >= n)
-        h = np.full(len(at), n, np.uint64)
-        for k in range(n):
-            h = _mix(h + data[at + k])
-        feats.append(h)
-        owners.append(owner[at])
-    f = (np.concatenate(feats) >> np.uint64(20)) % np.uint64(buckets - 1) + np.uint64(1)
-    return f.astype(np.int64), np.concatenate(owners)
-
-
-def sum_by(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Row sums of `values` by owner, without a slow scattered add."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    if len(owner):
-        order = np.argsort(owner, kind="stable")
-        own = owner[order]
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        out[own[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
+
+
+def ending(word: str) -> bytes:
+    return word[-ENDING:].encode("utf8", "surrogatepass")[-ENDING:]
+
+
+class Words(Vocabulary):
+    """A vocabulary that knows the hashes of word ends too."""
+
+    def __init__(self):
+        super().__init__(BUCKETS, GRAMS)
+        self.ends = np.empty(0, np.uint64)
+
+    def _make(self) -> None:
+        super()._make()
+        if len(self.ends) < len(self):
+            fresh = np.array([int.from_bytes(ending(w), "little") for w in islice(self.known, len(self.ends), None)], np.uint64)
+            self.ends = np.concatenate([self.ends, mix(mix(fresh + np.uint64(1)) + np.uint64(2))])
+
+    def bigrams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the pairs of whole forms and of the pairs of ends of neighbouring words."""
+        self._make()
+        pair = lambda h, of: BUCKETS + bucket(mix(mix(h[ids[:-1]] + np.uint64(of)) + h[ids[1:]]), PAIRS)
+        return pair(self.hashes, 3), pair(self.ends, 4)
 
 
 @dataclass
 class Model:
-    vectors: np.ndarray  # buckets x dim
+    vectors: np.ndarray  # (buckets + pairs) x dim
     weights: np.ndarray  # dim x 2
     bias: np.ndarray
     constant: float | None = None  # the score if nothing could be fitted
@@ -89,40 +72,37 @@ class Model:
         return 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -60, 60)))
 
 
-def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Feature buckets of a text and their weights, which add up to 1."""
-    words = bounded_words(text.split())
-    if not words:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
-    known: dict[str, int] = {}
-    ids = np.array([known.setdefault(w, len(known)) for w in words])
-    f, own = word_features(list(known))
-    count = np.bincount(ids, minlength=len(known))
-    again = np.bincount(ids[1:][ids[1:] == ids[:-1]], minlength=len(known))
-    size = np.bincount(own, minlength=len(known))
-    fresh, second = (count - again) / size, again / (size + 1)
-    weight = (fresh + second)[own] / len(words)
-    f, w = np.r_[f, 0], np.r_[weight, second.sum() / len(words)]
-    f, back = np.unique(f, return_inverse=True)
-    return f, np.bincount(back, w).astype(np.float32)
+def _bag(words: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a text's vectors and their weights, which add up to 1."""
+    used, count = np.unique(ids, return_counts=True)
+    whole, grams, owner = words.features(used)
+    share = count / (1 + np.bincount(owner, minlength=len(used)))
+    pairs = np.concatenate(words.bigrams(ids))
+    rows = np.concatenate([whole, grams, pairs])
+    weight = np.concatenate([share, share[owner], np.full(len(pairs), 0.5)]) / (2 * len(ids) - 1)
+    rows, back = np.unique(rows, return_inverse=True)
+    return rows, np.bincount(back, weight).astype(np.float32)
 
 
 def fit(rows: list[tuple[str, int]], seed: int = 7, epochs: int = EPOCHS, rate: float = RATE, batch: int = 16) -> Model:
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) * np.float32(0.5 / DIM)
+    vectors = rng.uniform(-1, 1, (BUCKETS + PAIRS, DIM)).astype(np.float32) * np.float32(0.5 / DIM)
     model = Model(vectors, np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32))
-    labels = np.array([y for _, y in rows], np.int64)
+    words = Words()
+    split = [(words.add(t.split()), y) for t, y in rows]
+    split = [(ids, y) for ids, y in split if len(ids)]
+    labels = np.array([y for _, y in split], np.int64)
     if len(set(labels.tolist())) < 2:
         model.constant = float(labels.mean()) if len(labels) else 0.5
         return model
     model.weights[:] = rng.normal(0, 0.5, (DIM, 2))
-    bags = [_bag(t) for t, _ in rows]
+    bags = [_bag(words, ids) for ids, _ in split]
     share = np.bincount(labels, minlength=2) / len(labels)
     gain = (0.5 / share)[labels].astype(np.float32)  # classes weigh the same
-    steps, done = epochs * -(-len(rows) // batch), 0
+    steps, done = epochs * -(-len(bags) // batch), 0
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), batch):
+        order = rng.permutation(len(bags))
+        for at in range(0, len(bags), batch):
             pick = order[at : at + batch]
             f = np.concatenate([bags[i][0] for i in pick])
             w = np.concatenate([bags[i][1] for i in pick])
@@ -135,7 +115,8 @@ def fit(rows: list[tuple[str, int]], seed: int = 7, epochs: int = EPOCHS, rate:
             back = grad @ model.weights.T
             model.weights -= lr * (mean.T @ grad) / len(pick)
             model.bias -= lr * grad.mean(axis=0)
-            np.subtract.at(model.vectors, f, (lr * 40) * w[:, None] * back[own] / len(pick))
+            used, total = scattered(f, w[:, None] * back[own], len(model.vectors))
+            model.vectors[used] -= lr * 40 / len(pick) * total
             done += 1
     return model
 
@@ -144,46 +125,45 @@ class Scorer:
     """Scores texts; word vectors are remembered, boundedly, across batches."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-        self.table = np.empty((0, DIM + 1), np.float32)
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.learned, self.table = Words(), 0, np.empty((1 << 14, DIM), np.float32)
 
     def scores(self, group: list[str]) -> np.ndarray:
         if self.model.constant is not None:
             return np.full(len(group), self.model.constant)
-        split = [bounded_words(t.split()) for t in group]
-        fresh = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(fresh) > REMEMBERED:  # the batch's own words all have to be known
-            self.known, self.table = {}, np.empty((0, DIM + 1), np.float32)
-            fresh = {w for words in split for w in words}
-        if fresh:
-            self._learn(sorted(fresh))
+        split = [t.split() for t in group]
+        if len(self.words) + sum(map(len, split)) > REMEMBERED and len(self.words) + len(self.words.unknown(split)) > REMEMBERED:
+            self._forget()
+        ids = [self.words.add(w) for w in split]
+        self._learn()
         means = np.zeros((len(group), DIM), np.float32)
-        for i, words in enumerate(split):
-            if not words:
-                continue
-            ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            again = np.r_[False, ids[1:] == ids[:-1]]
-            rows = self.table[ids]
-            total, size = rows[:, :DIM], rows[:, DIM:]
-            if again.any():
-                total = total + again[:, None] * self.model.vectors[0]
-                size = size + again[:, None]
-            means[i] = (total / size).mean(axis=0)
+        vectors = self.model.vectors
+        for i, own in enumerate(ids):
+            if len(own):
+                total = self.table[own].sum(axis=0, dtype=np.float64)
+                for k in range(0, len(own) - 1, 1 << 16):
+                    for rows in self.words.bigrams(own[k : k + (1 << 16) + 1]):
+                        total += 0.5 * vectors[rows].sum(axis=0, dtype=np.float64)
+                means[i] = total / (2 * len(own) - 1)
         return self.model.probability(means)
 
-    def _learn(self, words: list[str]) -> None:
-        at = len(self.known)
-        rows = []
-        for part in by_size(words, 200_000):
-            f, own = word_features(part)
-            size = np.bincount(own, minlength=len(part)).astype(np.float32)[:, None]
-            rows.append(np.concatenate([sum_by(own, self.model.vectors[f], len(part)), size], axis=1))
-        self.table = np.concatenate([self.table, *rows])
-        self.known.update(zip(words, range(at, at + len(words)), strict=True))
+    def _learn(self) -> None:
+        if len(self.words) > len(self.table):  # room is doubled as words come in
+            room = np.empty((max(2 * len(self.table), len(self.words)), DIM), np.float32)
+            room[: self.learned] = self.table[: self.learned]
+            self.table = room
+        for part in self.words.parts(self.learned):
+            whole, grams, owner = self.words.features(part)
+            size = 1 + np.bincount(owner, minlength=len(part)).astype(np.float32)[:, None]
+            self.table[part] = (self.model.vectors[whole] + sum_by(owner, self.model.vectors[grams], len(part))) / size
+        self.learned = len(self.words)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, keep=None, *, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    return fit(training_rows(docs, labels, "quality", keep, (per_class, per_class), max_chars))
+    return fit_in_task(training_rows(docs, labels, "quality", keep, (per_class, per_class), max_chars), fit)
 
 
 def _score(model: Model, group: list[str], kept: dict) -> np.ndarray:
@@ -195,7 +175,7 @@ def _score(model: Model, group: list[str], kept: dict) -> np.ndarray:
 def score_quality(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score: the probability that the quality label is 1."""
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size, about 3 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size, about 6 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}

@@ -1,19 +1,27 @@
 """Toxicity with a bidirectional gated recurrent network and attention pooling, in numpy.
 
-A word's input is its learned hashed word vector beside the mean of its learned hashed character
-n-gram vectors. Two gated recurrent layers (Cho et al., 2014) read a window of `WINDOW` words from
-both ends; attention pools their states; a logistic layer scores the window. A text's score is the
-highest over all its windows, one from each word on that has a whole window after it (a text
-shorter than a window is one window). Only texts are labelled, so training is multiple-instance:
-of a toxic text the window that scores highest counts as toxic, of another text all windows count
-as clean, and after a first pass the currently highest ones are trained on. Word and character
-vectors start from smoothed log-odds of the training texts. The labelled sample is bounded by
-`per_class` (clean, toxic), whatever the data; every document is scored over its whole text.
-
-Defined cases: a null or empty text has no window and gets the score of an empty window, below any
-toxic one; without labelled rows of both classes every score is the share of label 1 (0 if there
-are none); repeated rows give repeated scores; an empty table an empty result; further columns are
-ignored (or, by drop_toxic, kept unchanged).
+A word's input is its learned hashed word vector beside the scaled sum of its learned hashed character
+n-gram vectors. Two gated recurrent layers (Cho et al., 2014) read a text from both ends; attention
+pools their states over every window of `WINDOW` words, one from each word on (a text shorter than a
+window is one window), and a logistic layer scores each. A text's score is that of its highest window,
+rescaled (below).
+
+The layers read stretches of `STRETCH` words that overlap by 2 * `CONTEXT`: a state belongs to the middle
+words of its stretch, so it has read at least `CONTEXT` words on either side where the text has them,
+and the windows share the states of their words instead of reading them 32 times. Pooling is a ratio
+of sums over a window, which running sums give for all windows of a text at once.
+
+Only texts are labelled, so training is multiple-instance: a text's logit is the soft maximum
+log(mean(exp(beta * z))) / beta of its windows' logits, with a beta that grows by epoch. All weights and
+vectors start at random and are trained by gradients alone (Adam; Adagrad for the vectors). Of a long text an epoch takes
+`TAKEN` random stretches; afterwards two numbers, scale and shift of the highest window's logit, are
+fitted on whole texts. The labelled sample is bounded by `per_class` (clean, toxic), whatever the
+data; it is fitted in one task. Every document is scored over its whole text.
+
+Defined cases: a null or empty text has no window and scores as a text that no window speaks
+against, below any toxic one; without labelled rows of both classes every score is the share of
+label 1 (0 if there are none); repeated rows give repeated scores; an empty table an empty result;
+further columns are ignored (or, by drop_toxic, kept unchanged).
 """
 
 from __future__ import annotations
@@ -27,28 +35,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_words, by_size, held_out, read_table, texts, training_rows
-from .quality import sum_by, word_features
+from .common import by_size, fit_in_task, held_out, read_table, texts, training_rows
+from .subword import Vocabulary, scattered, sum_by
 
-WINDOW, STRIDE = 32, 1
-HIDDEN, DIM, POOL = 8, 6, 8
+WINDOW, STRETCH, CONTEXT = 32, 96, 16
+STEP = STRETCH - 2 * CONTEXT
+HIDDEN, DIM, POOL = 16, 16, 8
 BUCKETS, GRAMS = 1 << 16, (3, 4, 5, 6)
-PER_CLASS, MAX_CHARS, EPOCHS, ROUNDS, RATE = (1400, 700), 16_000, 4, 3, 0.01
-REMEMBERED = 150_000
+PER_CLASS, MAX_CHARS = (1400, 700), 16_000
+EPOCHS, BATCH, TAKEN, RATE, VECTOR_RATE = 6, 24, 6, 0.01, 0.1
+#: Hardness of the soft maximum in the first and the last epoch.
+BETA = (1.0, 8.0)
+#: Words whose gate inputs a worker remembers, and stretches that are read at a time.
+REMEMBERED, BLOCK = 100_000, 256
+#: Update gate's input for places outside a text: the state stays as it is.
+_STAY = 1e4
 _SPLIT = re.compile(r"\w+")
 
 
 def words_of(text: str) -> list[str]:
-    return bounded_words(_SPLIT.findall(text.lower()))
+    return _SPLIT.findall(text.lower())
 
 
-def starts(n: int) -> list[int]:
-    """Window starts of a text of n words."""
-    return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def stretches(n: int) -> np.ndarray:
+    """Places of the stretches of a text of n words; those below 0 or from n on are outside it."""
+    return np.arange(0, max(n, 1), STEP)[:, None] - CONTEXT + np.arange(STRETCH)
 
 
 @dataclass
@@ -56,6 +67,9 @@ class Model:
     word: np.ndarray  # BUCKETS x DIM
     char: np.ndarray  # BUCKETS x DIM
     par: dict[str, np.ndarray] = field(default_factory=dict)
+    scale: float = 1.0
+    shift: float = 0.0
+    floor: float = 0.0  # stands for the highest window's logit of a text without words
     constant: float | None = None
 
 
@@ -63,267 +77,321 @@ def new_model(rng: np.random.Generator) -> Model:
     d, h = 2 * DIM, HIDDEN
     make = lambda *s: (rng.normal(0, 1, s) / np.sqrt(s[-2])).astype(np.float32)
     par = {
-        "W": make(2, d, 3 * h),  # of each direction: input to update, reset and candidate
-        "U": make(2, h, 3 * h),
-        "b": np.zeros((2, 1, 3 * h), np.float32),
+        # update, reset and candidate x the two directions
+        "W": make(3, 2, d, h),
+        "U": make(3, 2, h, h),
+        "b": np.zeros((3, 2, 1, h), np.float32),
         "A": make(2 * h, POOL),
         "v": make(POOL, 1)[:, 0],
         "o": make(2 * h, 1)[:, 0],
         "c": np.zeros(1, np.float32),
     }
-    small = lambda: rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
+    small = lambda: rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     return Model(small(), small(), par)
 
 
-def inputs(model: Model, feats: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """n words' input vectors; feats of word_features: the whole form comes first, n times."""
-    f, own = feats
-    chars = own[n:]
-    size = np.maximum(np.bincount(chars, minlength=n), 1).astype(np.float32)[:, None]
-    return np.concatenate([model.word[f[:n]], sum_by(chars, model.char[f[n:]], n) / size], axis=1)
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def forward(par: dict, gates: np.ndarray, keep: bool = False):
-    """Window scores from the input parts of the gates, 2 (directions) x time x windows x 3h.
+# ------------------------------------------------------------------ the network
 
-    The second direction's time runs from the end.
-    """
-    _, steps, count, _ = gates.shape
+
+def word_inputs(model: Model, words: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Input vectors of words of the vocabulary, and what their gradients need."""
+    whole, grams, owner = words.features(ids)
+    size = np.sqrt(np.maximum(np.bincount(owner, minlength=len(ids)), 1)).astype(np.float32)[:, None]
+    return np.concatenate([model.word[whole], sum_by(owner, model.char[grams], len(ids)) / size], axis=1), (whole, grams, owner, size)
+
+
+def project(par: dict, x: np.ndarray) -> np.ndarray:
+    """Words' parts of the gates, 3 x 2 x (words + 1) x h; the last row stands for no word."""
+    out = np.zeros((3, 2, len(x) + 1, HIDDEN), x.dtype)
+    np.matmul(x, par["W"], out=out[:, :, :-1])
+    out[:, :, :-1] += par["b"]
+    out[0, :, -1] = _STAY
+    return out
+
+
+def read(par: dict, gates: np.ndarray, at: np.ndarray, keep: bool = False):
+    """States of both directions, steps x rows x 2h, of rows of word numbers (rows x steps)."""
+    rows, steps = at.shape
     h, U = HIDDEN, par["U"]
-    state = np.zeros((2, count, h), np.float32)
-    states = np.empty((steps, 2, count, h), np.float32)
+    state = np.zeros((2, rows, h), gates.dtype)
+    out = np.empty((steps, rows, 2 * h), gates.dtype)
+    r, x = np.empty((3, 2, rows, h), gates.dtype), np.empty((3, 2, rows, h), gates.dtype)
+    order = np.ascontiguousarray(at.T)
     tape = []
     for t in range(steps):
-        x, r = gates[:, t], state @ U
-        zr = _sigmoid(x[..., : 2 * h] + r[..., : 2 * h])
-        z, g = zr[..., :h], zr[..., h:]
-        n = np.tanh(x[..., 2 * h :] + g * r[..., 2 * h :])
+        for d, ids in enumerate((order[t], order[steps - 1 - t])):
+            for g in range(3):
+                np.take(gates[g, d], ids, axis=0, out=x[g, d], mode="clip")
+        np.matmul(state, U, out=r)
+        zg = x[:2]
+        zg += r[:2]
+        zg *= 0.5
+        np.tanh(zg, out=zg)
+        zg *= 0.5
+        zg += 0.5
+        n = x[2]
+        before = r[2].copy() if keep else None
+        r[2] *= zg[1]
+        n += r[2]
+        np.tanh(n, out=n)
         if keep:
-            tape.append((state, z, g, n, r[..., 2 * h :]))
-        state = n + z * (state - n)
-        states[t] = state
-    both = np.concatenate([states[:, 0], states[::-1, 1]], axis=-1)  # time x windows x 2h
-    hidden = np.tanh(both @ par["A"])
-    e = hidden @ par["v"]
-    e = np.exp(e - e.max(axis=0))
-    share = e / e.sum(axis=0)
-    pooled = (share[..., None] * both).sum(axis=0)
-    logit = pooled @ par["o"] + par["c"]
-    return (logit, tape, both, hidden, share, pooled) if keep else logit
-
-
-def backward(par: dict, gates_shape, off: np.ndarray, saved) -> tuple[dict, np.ndarray]:
-    """Gradients of the parameters and of the gates' input parts; off: by the logits."""
-    _, tape, both, hidden, share, pooled = saved
+            tape.append((state.copy(), zg[0].copy(), zg[1].copy(), n.copy(), before))
+        state -= n
+        state *= zg[0]
+        state += n
+        out[t, :, :h] = state[0]
+        out[steps - 1 - t, :, h:] = state[1]
+    return (out, tape) if keep else out
+
+
+def pool_terms(par: dict, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each state: attention weight, contribution to the logit, hidden layer of the attention."""
+    hidden = np.tanh(states @ par["A"])
+    return np.exp(hidden @ par["v"]), states @ par["o"], hidden
+
+
+def window_logits(weight: np.ndarray, value: np.ndarray, size: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of all windows of consecutive texts of size[i] words, their texts, begins and ends.
+
+    Pooling and the logistic layer are one weighted mean: sum(weight * value) / sum(weight) + c.
+    """
+    count = np.maximum(size - WINDOW, 0) + 1
+    owner = np.repeat(np.arange(len(size)), count)
+    first = np.cumsum(size) - size
+    begin = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
+    end = begin + np.minimum(size, WINDOW)[owner]
+    total = np.r_[0.0, np.cumsum(weight, dtype=np.float64)]
+    product = np.r_[0.0, np.cumsum(weight.astype(np.float64) * value)]
+    return (product[end] - product[begin]) / (total[end] - total[begin]) + c, owner, begin, end
+
+
+def backward(par: dict, gates: np.ndarray, at: np.ndarray, saved, d_out: np.ndarray, used: int) -> tuple[dict, np.ndarray]:
+    """Gradients of U and of the words' parts of the gates (3 x 2 x used x h); d_out: by the states."""
+    _, tape = saved
+    rows, steps = at.shape
     h, U = HIDDEN, par["U"]
-    grad = {"o": pooled.T @ off, "c": off.sum(keepdims=True)}
-    d_pool = off[:, None] * par["o"]
-    d_both = share[..., None] * d_pool
-    d_share = (both * d_pool).sum(-1)
-    d_e = share * (d_share - (share * d_share).sum(axis=0))
-    grad["v"] = np.einsum("tbp,tb->p", hidden, d_e)
-    d_hid = d_e[..., None] * par["v"] * (1 - hidden**2)
-    grad["A"] = np.einsum("tbi,tbp->ip", both, d_hid)
-    d_both = d_both + d_hid @ par["A"].T
-    steps = len(tape)
-    d_gates, d_u, d_state = np.empty(gates_shape, np.float32), np.zeros_like(U), np.zeros((2, gates_shape[2], h), np.float32)
+    back = U.transpose(0, 1, 3, 2)
+    d_gates = np.empty((3, 2, steps, rows, h), gates.dtype)
+    d_u, d_state = np.zeros_like(U), np.zeros((2, rows, h), gates.dtype)
     for t in range(steps - 1, -1, -1):
         before, z, g, n, rn = tape[t]
-        d_state = d_state + np.stack([d_both[t, :, :h], d_both[steps - 1 - t, :, h:]])
-        d_n = d_state * (1 - z) * (1 - n**2)
-        d_z = d_state * (before - n) * z * (1 - z)
-        d_g = d_n * rn * g * (1 - g)
-        d_gates[:, t] = np.concatenate([d_z, d_g, d_n], axis=-1)
-        d_r = np.concatenate([d_z, d_g, d_n * g], axis=-1)
+        d_state[0] += d_out[t, :, :h]
+        d_state[1] += d_out[steps - 1 - t, :, h:]
+        d = d_gates[:, :, t]
+        d_n = d_state * (1 - z)
+        d_n *= 1 - n * n
+        d[0] = d_state * (before - n) * z * (1 - z)
+        d[1] = d_n * rn * g * (1 - g)
+        d[2] = d_n
+        d_r = np.stack([d[0], d[1], d_n * g])
         d_u += before.transpose(0, 2, 1) @ d_r
-        d_state = d_state * z + d_r @ U.transpose(0, 2, 1)
-    grad["U"] = d_u
-    grad["b"] = d_gates.sum(axis=(1, 2))[:, None, :]
-    return grad, d_gates
-
-
-def fit(rows: list[tuple[str, int]], seed: int = 11, epochs: int = EPOCHS, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+        d_state = d_state * z + (d_r @ back).sum(axis=0)
+    flat = np.ascontiguousarray(at.T)
+    d_gates = d_gates.reshape(3, 2, -1, h)
+    by_word = np.empty((3, 2, used, h), gates.dtype)
+    for k, ids in enumerate((flat.ravel(), flat[::-1].ravel())):
+        real = ids < used
+        joined = sum_by(ids[real], d_gates[:, k][:, real].transpose(1, 0, 2).reshape(-1, 3 * h), used)
+        by_word[:, k] = joined.reshape(used, 3, h).transpose(1, 0, 2)
+    return {"U": d_u}, by_word
+
+
+def gradients(par: dict, x: np.ndarray, at: np.ndarray, size: np.ndarray, target: np.ndarray, gain: np.ndarray, beta: float):
+    """Loss and gradients of one batch: by the parameters and by the input vectors x.
+
+    at: word numbers of stretches (len(x) outside a text); size: words of each text among the
+    stretches' middles, text after text.
+    """
+    gates = project(par, x)
+    saved = read(par, gates, at, keep=True)
+    inner = slice(CONTEXT, STRETCH - CONTEXT)
+    places = np.flatnonzero((at[:, inner] < len(x)).ravel())  # row by row, as texts run on
+    states = saved[0][inner].transpose(1, 0, 2).reshape(-1, 2 * HIDDEN)[places]
+    weight, value, hidden = pool_terms(par, states)
+    z, owner, begin, end = window_logits(weight, value, size, float(par["c"][0]))
+    # soft maximum over the windows of a text
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    top = np.maximum.reduceat(z, first)
+    e = np.exp(beta * (z - top[owner]))
+    total = np.add.reduceat(e, first)
+    count = np.bincount(owner)
+    logit = top + np.log(total / count) / beta
+    loss = float((gain * (np.logaddexp(0, logit) - target * logit)).sum() / len(target))
+    d_z = (gain * (1 / (1 + np.exp(-logit)) - target) / len(target))[owner] * e / total[owner]
+    # a window's weighted mean: d value = weight / sum, d weight = (value - mean) / sum
+    sums = np.r_[0.0, np.cumsum(weight, dtype=np.float64)]
+    share = d_z / (sums[end] - sums[begin])
+    spread = lambda y: np.cumsum(np.bincount(begin, y, len(weight) + 1) - np.bincount(end, y, len(weight) + 1))[:-1]
+    a, b = spread(share), spread(share * (z - float(par["c"][0])))
+    d_value, d_weight = (weight * a), (value * a - b)
+    d_e = (d_weight * weight).astype(x.dtype)
+    d_value = d_value.astype(x.dtype)
+    grad = {"c": np.array([d_z.sum()], x.dtype), "o": states.T @ d_value, "v": hidden.T @ d_e}
+    d_hidden = d_e[:, None] * par["v"] * (1 - hidden * hidden)
+    grad["A"] = states.T @ d_hidden
+    d_states = d_value[:, None] * par["o"] + d_hidden @ par["A"].T
+    d_out = np.zeros((STRETCH, len(at), 2 * HIDDEN), x.dtype)
+    inside = np.zeros((len(at) * STEP, 2 * HIDDEN), x.dtype)
+    inside[places] = d_states
+    d_out[inner] = inside.reshape(len(at), STEP, -1).transpose(1, 0, 2)
+    more, d_gates = backward(par, gates, at, saved, d_out, len(x))
+    grad |= more
+    grad["b"] = d_gates.sum(axis=2, keepdims=True)
+    grad["W"] = x.T @ d_gates
+    return loss, grad, (d_gates @ par["W"].transpose(0, 1, 3, 2)).sum(axis=(0, 1))
+
+
+# ------------------------------------------------------------------ training
+
+
+def fit(rows: list[tuple[str, int]], seed: int = 11, epochs: int = EPOCHS) -> Model:
     rng = np.random.default_rng(seed)
     model = new_model(rng)
-    split = [(words_of(t), y) for t, y in rows]
-    split = [(w, y) for w, y in split if w]
+    words = Vocabulary(BUCKETS, GRAMS)
+    split = [(words.add(words_of(t)), y) for t, y in rows]
+    split = [(ids, y) for ids, y in split if len(ids)]
     labels = np.array([y for _, y in split], np.int64)
     if len(set(labels.tolist())) < 2:
         model.constant = float(labels.mean()) if len(labels) else 0.0
         return model
-    known: dict[str, int] = {}
-    ids = [np.array([known.setdefault(w, len(known)) for w in words]) for words, _ in split]
-    pad, n = len(known), len(known)
-    feats = word_features(list(known), BUCKETS, GRAMS)
-    odds = _log_odds(feats, ids, labels, n)
-    model.word[:, 0] += odds[0]
-    model.char[:, 0] += odds[1]
-    # windows of equal width: short texts are filled up by a word without features
-    # a window is its first place in `line`, so that only the windows at hand are ever laid out
-    line = np.concatenate([np.r_[x, np.full(max(0, WINDOW - len(x)), pad)] for x in ids]).astype(np.int32)
-    firsts = np.cumsum([0, *[max(WINDOW, len(x)) for x in ids[:-1]]])
-    places = [np.array(starts(len(x))) for x in ids]
-    owner = np.repeat(np.arange(len(ids)), [len(p) for p in places])
-    begin = np.concatenate([p + f for p, f in zip(places, firsts, strict=True)])
-    lay = lambda part: line[part[:, None] + np.arange(WINDOW)]
+    gain = (0.5 / (np.bincount(labels, minlength=2) / len(labels)))[labels]  # classes weigh the same
     adam: dict = {}
-    steps = 0
-    for turn in range(rounds):
-        x = np.vstack([inputs(model, feats, n), np.zeros((1, 2 * DIM), np.float32)])
-        score = _word_maxima(x, lay, begin) if turn == 0 else _window_logits(model, x, lay, begin)
-        order = np.lexsort((-score, owner))
-        top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]  # the highest window of each text
-        clean = np.flatnonzero(labels[owner] == 0)
-        chosen = np.unique(np.r_[top, rng.choice(clean, min(len(clean), len(top)), replace=False)])
-        target = labels[owner[chosen]].astype(np.float32)
-        for _ in range(epochs):
-            perm = rng.permutation(len(chosen))
-            for at in range(0, len(perm), 64):
-                pick = perm[at : at + 64]
-                steps += 1
-                _train(model, feats, n, lay(begin[chosen[pick]]), target[pick], adam, steps, rate * (0.5**turn))
+    squares = (np.full(BUCKETS, 1e-6, np.float32), np.full(BUCKETS, 1e-6, np.float32))
+    steps, done = epochs * -(-len(split) // BATCH), 0
+    for _ in range(epochs):
+        order = rng.permutation(len(split))
+        for k in range(0, len(order), BATCH):
+            pick = order[k : k + BATCH]
+            part = done / max(1, steps - 1)
+            done += 1
+            _train(model, words, [split[i][0] for i in pick], labels[pick], gain[pick], BETA[0] * (BETA[1] / BETA[0]) ** part, adam, squares, done, 1 - 0.9 * part, rng)
+    _calibrate(model, [t for t, _ in rows], np.array([y for _, y in rows], np.float64))
     return model
 
 
-def _log_odds(feats, ids: list[np.ndarray], labels: np.ndarray, n: int) -> list[np.ndarray]:
-    """Starting values of the word and the character buckets: smoothed log-odds of document counts."""
-    f, own = feats
-    order = np.argsort(own, kind="stable")
-    first = np.searchsorted(own[order], np.arange(n + 1))
-    out = []
-    counts = np.zeros((2, 2, BUCKETS))
-    for x, y in zip(ids, labels, strict=True):
-        seen = np.unique(x)
-        counts[0, y][np.unique(f[:n][seen])] += 1
-        take = np.concatenate([order[first[w] : first[w + 1]] for w in seen])
-        counts[1, y][np.unique(f[take[take >= n]])] += 1
-    share = np.bincount(labels, minlength=2) / len(labels)
-    for c in counts:
-        toxic, clean = c[1] / share[1] / 2, c[0] / share[0] / 2
-        out.append((np.log((toxic + 10) / (clean + 10)) / 2).astype(np.float32))
-    return out
-
-
-def _word_maxima(x: np.ndarray, lay, begin: np.ndarray, block: int = 1 << 16) -> np.ndarray:
-    """The highest log-odds of a word in each window."""
-    odds = x[:, [0, DIM]].sum(axis=1)
-    return np.concatenate([np.empty(0, np.float32), *[odds[lay(begin[at : at + block])].max(axis=1) for at in range(0, len(begin), block)]])
-
-
-def _window_logits(model: Model, x: np.ndarray, lay, begin: np.ndarray, block: int = 2048) -> np.ndarray:
-    gates = project(model.par, x)
-    return np.concatenate([np.empty(0, np.float32), *[forward(model.par, window_gates(gates, lay(begin[at : at + block]))) for at in range(0, len(begin), block)]])
-
-
-def project(par: dict, x: np.ndarray) -> np.ndarray:
-    """Words' input parts of the gates, words x 2 x 3h: once for each word, not for each window."""
-    return (np.einsum("nd,kdj->nkj", x, par["W"]) + par["b"][:, 0]).astype(np.float32)
-
-
-def window_gates(gates: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    t = windows.T
-    return np.stack([gates[:, 0][t], gates[:, 1][t[::-1]]])
-
-
-def _train(model: Model, feats, n: int, windows: np.ndarray, target: np.ndarray, adam: dict, step: int, rate: float) -> None:
-    """One step of Adam (Kingma and Ba, 2015) on the parameters, plain descent on the vectors."""
-    used, at = np.unique(windows, return_inverse=True)
-    at = at.reshape(windows.shape)
-    real = used[used < n]
-    f, own = feats
-    order, first = _index(feats, n)
-    take = np.concatenate([order[first[w] : first[w + 1]] for w in real])
-    chars = take[take >= n]
-    place = np.full(n + 1, -1)
-    place[real] = np.arange(len(real))
-    size = np.maximum(np.bincount(place[own[chars]], minlength=len(real)), 1).astype(np.float32)[:, None]
-    x = np.zeros((len(used), 2 * DIM), np.float32)
-    x[: len(real), :DIM] = model.word[f[real]]
-    x[: len(real), DIM:] = sum_by(place[own[chars]], model.char[f[chars]], len(real)) / size
-    par = model.par
-    gates = window_gates(project(par, x), at)
-    saved = forward(par, gates, keep=True)
-    off = (_sigmoid(saved[0]) - target) / len(target)
-    grad, d_gates = backward(par, gates.shape, off.astype(np.float32), saved)
-    flat = at.T.reshape(-1)
-    d_proj = [sum_by(flat, d_gates[0].reshape(-1, d_gates.shape[-1]), len(used)), sum_by(flat, d_gates[1][::-1].reshape(-1, d_gates.shape[-1]), len(used))]
-    grad["W"] = np.stack([x.T @ d for d in d_proj])
-    d_x = sum(d @ w.T for d, w in zip(d_proj, par["W"], strict=True))[: len(real)]
+def _train(model: Model, words: Vocabulary, texts_: list[np.ndarray], target: np.ndarray, gain: np.ndarray, beta: float, adam: dict, squares, step: int, pace: float, rng: np.random.Generator) -> None:
+    """One step of Adam (Kingma and Ba, 2015) on the parameters, of Adagrad on the vectors."""
+    rows, size = [], []
+    for ids in texts_:
+        places = stretches(len(ids))
+        if len(places) > TAKEN:
+            places = places[np.sort(rng.choice(len(places), TAKEN, replace=False))]
+        out = (places < 0) | (places >= len(ids))
+        rows.append(np.where(out, -1, ids[np.where(out, 0, places)]))
+        size.append(int((~out[:, CONTEXT : STRETCH - CONTEXT]).sum()))
+    at = np.concatenate(rows)
+    used, back = np.unique(at, return_inverse=True)
+    back = back.reshape(at.shape)
+    if used[0] < 0:
+        used, back = used[1:], np.where(back == 0, len(used) - 1, back - 1)
+    x, (whole, grams, owner, norm) = word_inputs(model, words, used)
+    _, grad, d_x = gradients(model.par, x, back, np.array(size), target, gain, beta)
     for k, g in grad.items():
-        m, v = adam.setdefault(k, (np.zeros_like(par[k]), np.zeros_like(par[k])))
-        m += 0.1 * (g.reshape(par[k].shape) - m)
-        v += 0.001 * (g.reshape(par[k].shape) ** 2 - v)
-        par[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    np.subtract.at(model.word, f[real], rate * 10 * d_x[:, :DIM])
-    np.subtract.at(model.char, f[chars], rate * 10 * (d_x[:, DIM:] / size)[place[own[chars]]])
-
-
-_indexed: dict = {}
-
-
-def _index(feats, n: int):
-    """Features by word, made once for a training run."""
-    if _indexed.get("of") is not feats:
-        order = np.argsort(feats[1], kind="stable")
-        _indexed.update(of=feats, made=(order, np.searchsorted(feats[1][order], np.arange(n + 1))))
-    return _indexed["made"]
+        p = model.par[k]
+        m, v = adam.setdefault(k, (np.zeros_like(p), np.zeros_like(p)))
+        g = g.reshape(p.shape).astype(p.dtype)
+        m += 0.1 * (g - m)
+        v += 0.001 * (g * g - v)
+        p -= (pace * RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(p.dtype)
+    _adagrad(model.word, squares[0], whole, d_x[:, :DIM], pace)
+    _adagrad(model.char, squares[1], grams, (d_x[:, DIM:] / norm)[owner], pace)
+
+
+def _adagrad(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.ndarray, pace: float) -> None:
+    """One step on the rows used; a row has one accumulated square (Duchi et al., 2011)."""
+    used, total = scattered(rows, grad, len(table))
+    squares[used] += (total * total).mean(axis=1)
+    table[used] -= np.float32(pace * VECTOR_RATE) * total / np.sqrt(squares[used])[:, None]
+
+
+def _calibrate(model: Model, group: list[str], labels: np.ndarray, rounds: int = 40) -> None:
+    """Scale and shift of the highest logits, by Newton's method on the (regularised) logistic loss."""
+    z = Scorer(model).logits(group)
+    good = np.isfinite(z)
+    z, y = z[good], labels[good]
+    middle, width = z.mean(), max(float(z.std()), 1e-6)
+    X = np.stack([(z - middle) / width, np.ones(len(z))], axis=1)
+    w = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
+        curve = (X * (p * (1 - p))[:, None]).T @ X + np.diag([1.0, 1e-3])
+        move = np.linalg.solve(curve, X.T @ (p - y) + np.array([1.0, 1e-3]) * w)
+        w -= move * min(1.0, 4 / max(1e-9, float(np.abs(move).max())))
+    model.scale, model.shift = max(float(w[0]) / width, 1e-6), float(w[1] - w[0] * middle / width)
+    model.floor = float(z.min())
+
+
+# ------------------------------------------------------------------ scoring
 
 
 class Scorer:
-    """Scores whole texts; the words' gate inputs are remembered, boundedly, across batches."""
+    """Scores whole texts; the words' parts of the gates are remembered, boundedly, across batches."""
 
     def __init__(self, model: Model):
         self.model = model
         self._forget()
-        self.none = 0.0 if model.constant is not None else float(self._probability(forward(model.par, window_gates(self.table[:1], np.zeros((1, 1), np.int64))))[0])
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.table = project(self.model.par, np.zeros((1, 2 * DIM), np.float32))  # row 0: no word
-
-    @staticmethod
-    def _probability(logit: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -60, 60)))
-
-    def _learn(self, words: list[str]) -> None:
-        rows = []
-        for part in by_size(words, 100_000):
-            rows.append(project(self.model.par, inputs(self.model, word_features(part, BUCKETS, GRAMS), len(part))))
-        at = len(self.table)
-        self.table = np.concatenate([self.table, *rows])
-        self.known.update(zip(words, range(at, at + len(words)), strict=True))
-
-    def scores(self, group: list[str]) -> np.ndarray:
-        if self.model.constant is not None:
-            return np.full(len(group), self.model.constant)
+        self.words, self.learned = Vocabulary(BUCKETS, GRAMS), 0
+        # number 0 stands for no word, word i has number i + 1; room is doubled as words come in
+        self.gates = np.zeros((3, 2, 1 << 14, HIDDEN), np.float32)
+        self.gates[0, :, 0] = _STAY
+
+    def _learn(self) -> None:
+        if len(self.words) >= self.gates.shape[2]:
+            room = np.zeros((3, 2, max(2 * self.gates.shape[2], len(self.words) + 1), HIDDEN), np.float32)
+            room[:, :, : self.learned + 1] = self.gates[:, :, : self.learned + 1]
+            self.gates = room
+        for part in self.words.parts(self.learned):
+            self.gates[:, :, part[0] + 1 : part[-1] + 2] = project(self.model.par, word_inputs(self.model, self.words, part)[0])[:, :, :-1]
+        self.learned = len(self.words)
+
+    def logits(self, group: list[str]) -> np.ndarray:
+        """The highest window's logit of each text, minus infinity for texts without words."""
         split = [words_of(t) for t in group]
-        fresh = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(fresh) > REMEMBERED:
+        if len(self.words) + sum(map(len, split)) > REMEMBERED and len(self.words) + len(self.words.unknown(split)) > REMEMBERED:
             self._forget()
-            fresh = {w for words in split for w in words}
-        if fresh:
-            self._learn(sorted(fresh))
+        ids = [self.words.add(w) for w in split]
+        self._learn()
+        size = np.array([len(i) for i in ids])
         best = np.full(len(group), -np.inf)
-        by_width: dict[int, tuple[list, list]] = {}
-        for i, words in enumerate(split):
-            if words:
-                ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-                rows, owner = by_width.setdefault(min(len(words), WINDOW), ([], []))
-                at = np.array(starts(len(words)))
-                rows.append((ids, at))
-                owner.append(np.full(len(at), i))
-        for width, (rows, owner) in by_width.items():
-            line, own = np.concatenate([ids for ids, _ in rows]), np.concatenate(owner)
-            firsts = np.cumsum([0, *[len(ids) for ids, _ in rows[:-1]]])
-            begin = np.concatenate([at + f for (_, at), f in zip(rows, firsts, strict=True)])
-            for k in range(0, len(begin), 2048):
-                windows = line[begin[k : k + 2048, None] + np.arange(width)]
-                np.maximum.at(best, own[k : k + 2048], forward(self.model.par, window_gates(self.table, windows)))
-        return np.where(np.isneginf(best), self.none, self._probability(np.where(np.isneginf(best), 0, best)))
+        have = np.flatnonzero(size)
+        if not len(have):
+            return best
+        line = np.concatenate([ids[i] for i in have]).astype(np.int64)
+        first = np.repeat(np.cumsum(size[have]) - size[have], -(-size[have] // STEP))
+        until = np.repeat(np.cumsum(size[have]), -(-size[have] // STEP))
+        begin = np.concatenate([np.arange(0, n, STEP) for n in size[have]]) + first - CONTEXT
+        weight, value = np.empty(len(line), np.float32), np.empty(len(line), np.float32)
+        done = 0
+        for k in range(0, len(begin), BLOCK):
+            places = begin[k : k + BLOCK, None] + np.arange(STRETCH)
+            out = (places < first[k : k + BLOCK, None]) | (places >= until[k : k + BLOCK, None])
+            at = np.where(out, 0, line[np.where(out, 0, places)] + 1)
+            states = read(self.model.par, self.gates, at)[CONTEXT : STRETCH - CONTEXT].transpose(1, 0, 2)
+            states = states[~out[:, CONTEXT : STRETCH - CONTEXT]]
+            weight[done : done + len(states)], value[done : done + len(states)] = pool_terms(self.model.par, states)[:2]
+            done += len(states)
+        z, owner, _, _ = window_logits(weight, value, size[have], float(self.model.par["c"][0]))
+        best[have] = np.maximum.reduceat(z, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]))
+        return best
+
+    def scores(self, group: list[str]) -> np.ndarray:
+        m = self.model
+        if m.constant is not None:
+            return np.full(len(group), m.constant)
+        z = self.logits(group)
+        z = np.where(np.isfinite(z), z, m.floor)
+        # rounded, as sums differ in their last digits by the rows that are read together
+        return 1 / (1 + np.exp(-np.clip(np.round(m.scale * z + m.shift, 3), -60, 60)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, *, per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    return fit(training_rows(docs, labels, "toxic", keep, per_class, max_chars))
+    return fit_in_task(training_rows(docs, labels, "toxic", keep, per_class, max_chars), fit)
 
 
 def _score(model: Model, group: list[str], kept: dict) -> np.ndarray:
@@ -334,7 +402,7 @@ def _score(model: Model, group: list[str], kept: dict) -> np.ndarray:
 
 def score_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score: the probability that the text's worst window is toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size, about 3 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size, about 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}

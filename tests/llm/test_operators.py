@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectio.llm import bpe, common, graph, ngram_join, packing, pii, quality, sharding, tiles, topk, toxicity, urlfilter, vecdedup
+from lectio.llm import bpe, common, graph, ngram_join, packing, pii, quality, sharding, subword, tiles, topk, toxicity, urlfilter, vecdedup
 
 LONG = "wordy " * 20_000
 AWKWARD = [(1, None), (2, ""), (3, "the cat sat on the mat today"), (4, "the cat sat on the mat today"), (4, "the cat sat on the mat today"), (5, LONG), (None, "mail a.b@c.org or +1 (555) 010-9999 now"), (6, " \n "), (7, "x" * 30_000), (8, "Tür 日本 <|endoftext|> \x1c\x85")]
@@ -398,6 +398,48 @@ def test_forest_depth_and_empty(spark, empty):
     assert ngram_join.ngram_jaccard_join(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
 
 
+def test_prefixes_are_shortened_until_the_target():
+    rng = random.Random(3)
+    levels, top = ngram_join.LEVELS, ngram_join.depth()
+    seen = set()
+    for _ in range(200):
+        runs = [sorted(rng.random() for _ in range(levels - top + 1)) for _ in range(rng.randrange(ngram_join.TREES + 1))]
+        depths = ngram_join.choose_depths(runs, ngram_join.TREES - len(runs))
+        miss = (1 - 0.8**top) ** (ngram_join.TREES - len(runs)) * np.prod([1 - 0.8**d for d in depths])
+        assert miss <= 1 - ngram_join.TARGET + 1e-12 and all(top <= d <= levels for d in depths)
+        seen |= set(depths)
+        if any(d < levels for d in depths):  # no shorter than needed: the last step was one too few before
+            j = max((j for j, d in enumerate(depths) if d < levels), key=lambda j: runs[j][levels - depths[j]])
+            assert miss / (1 - 0.8 ** depths[j]) * (1 - 0.8 ** (depths[j] + 1)) > 1 - ngram_join.TARGET
+    assert seen == set(range(top, levels + 1))
+
+
+def test_runs_are_cut_at_their_own_depth(spark):
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 2, (300, ngram_join.TREES, ngram_join.LEVELS)).astype("<u2")  # crowded tries
+    sig[200:, :10] = rng.integers(0, 1 << 16, sig[200:, :10].shape)  # the second kind is alone in ten trees
+    classes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sig)], "node long, sig binary")
+    run_of = {}
+    for r in ngram_join._matched(classes).collect():
+        run_of.setdefault(r.run, set()).add(r.node)
+    lengths = set()
+    for members in run_of.values():  # a run is all texts that share a prefix in one tree
+        members = sorted(members)
+        fits = [(j, d) for j in range(ngram_join.TREES) for d in range(ngram_join.LEVELS, ngram_join.depth() - 1, -1) if set(members) == set(np.flatnonzero((sig[:, j, :d] == sig[members[0], j, :d]).all(axis=1)).tolist())]
+        assert fits
+        lengths.add(max(d for _, d in fits))
+    assert len(lengths) > 1
+    for i in range(300):  # each text reaches the target by the depths of its runs, alone counting as the shortest
+        depths = []
+        for j in range(ngram_join.TREES):
+            runs = [m for m in run_of.values() if i in m and any(set(m) == set(np.flatnonzero((sig[:, j, :d] == sig[i, j, :d]).all(axis=1)).tolist()) for d in range(ngram_join.depth(), ngram_join.LEVELS + 1))]
+            sizes = [set(np.flatnonzero((sig[:, j, :d] == sig[i, j, :d]).all(axis=1)).tolist()) for d in range(ngram_join.depth(), ngram_join.LEVELS + 1)]
+            depths.append(min([d + ngram_join.depth() for d, m in enumerate(sizes) if m in runs], default=ngram_join.LEVELS if len(sizes[0]) > 1 else ngram_join.depth()))
+        assert np.prod([1 - 0.8**d for d in depths]) <= 1 - ngram_join.TARGET + 1e-12
+        if i > 20:
+            break
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
@@ -479,11 +521,11 @@ def plain_top(rows, query, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("block", "band"), [(8192, 1024), (50, 3)])
-def test_top_k(spark, block, band):
-    rows = [r for r in vector_rows() if r[0] not in (910,)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"x": F.lit(1), "score": F.lit(2), "_row": F.lit(3), "rank": F.lit(4)})
-    got = topk.top_k(table, F.col("vec_id") % 50 == 0, block=block, band=band)
+@pytest.mark.parametrize(("block", "band", "span"), [(4096, 8192, 16), (50, 3, 2), (7, 100, 1)])
+def test_top_k(spark, block, band, span):
+    rows = [r for r in vector_rows() if r[0] != 910]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"x": F.lit(1), "score": F.lit(2), "_row": F.lit(3), "rank": F.lit(4), "side": F.lit(5), "name": F.lit(6)})
+    got = topk.top_k(table, F.col("vec_id") % 50 == 0, block=block, band=band, span=span)
     assert sorted(map(tuple, got.collect())) == plain_top(rows, lambda i: i % 50 == 0, 5)
 
 
@@ -492,16 +534,55 @@ def test_top_k_edges(spark):
     assert topk.top_k(spark.createDataFrame([], schema), F.lit(True)).count() == 0
     few = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [3.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5])]
     assert sorted(map(tuple, topk.top_k(spark.createDataFrame(few, schema), F.col("vec_id") % 50 == 0).collect())) == plain_top(few, lambda i: i % 50 == 0, 5)
+    bare = [(0, []), (3, []), (50, []), (None, [])]
+    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(bare, schema), F.col("vec_id") % 50 == 0).collect())) == [(0, 1, 3, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 3, 0)]
+
+
+def test_top_k_of_huge_numbers(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) * s).astype(np.float32).tolist()) for i, s in enumerate(np.repeat([1, 1e4, 1e9, 1e16, 1e30, 1e37], 20))]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0, block=30).collect()
+    whole = [[int(np.floor(256 * np.float64(a))) for a in v] for _, v in rows]
+    want = []
+    for i in range(0, len(rows), 10):
+        best = sorted((-sum(a * b for a, b in zip(whole[i], whole[j])), j) for j in range(len(rows)) if j != i)[:5]
+        want += [(i, n, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_segment_bounds():
     rng = np.random.default_rng(2)
-    x, y = rng.integers(-300, 300, (80, 24)).astype(float), rng.integers(-300, 300, (90, 24)).astype(float)
-    last = None
-    for parts in topk.LEVELS:
-        bound = topk.statistics(x, parts) @ topk.statistics(y, parts).T
-        assert (bound >= x @ y.T - 1e-6).all()
-        last = bound
+    for width in (1, 3, 24, 32):
+        x, y = rng.integers(-300, 300, (80, width)).astype(float), rng.integers(-300, 300, (90, width)).astype(float)
+        a, b = topk.Levels(x), topk.Levels(y)
+        last = np.full((80, 90), np.inf)
+        for k, end in enumerate(a.ends):
+            bound = a.all[:, :end] @ b.all[:, :end].T + a.left[k] @ b.left[k].T
+            assert (bound >= x @ y.T - 1e-6).all() and (k > 2 or (bound <= last + 1e-6).all())
+            last = bound
+        assert np.allclose(bound, x @ y.T)
+    x = rng.normal(size=(5, 16))  # a level's sums and deviations are those of its segments
+    a = topk.Levels(x)
+    for k in range(3):
+        parts = np.stack(np.split(x, 2**k, axis=1), axis=1)
+        m = 16 // 2**k
+        assert np.allclose((a.all[:, : a.ends[k]] ** 2).sum(1), (m * parts.mean(2) ** 2).sum(1)) and np.allclose(a.left[k], np.sqrt(m) * parts.std(2))
+
+
+def test_levels_spare_work():
+    """Smooth rows need a fraction of all multiply-adds, rows without any structure hardly more than all."""
+    rng = np.random.default_rng(7)
+    steps = np.floor(256 * np.cumsum(rng.normal(size=(6000, 64)), axis=1))
+    noise = np.floor(256 * rng.normal(size=(6000, 64)) / 8)
+    for x, most in ((steps, 0.25), (noise, 1.25)):
+        best = topk.Best(x[:256], np.arange(256), 5)
+        for at in range(0, len(x), 3000):
+            best.meet(x[at : at + 3000], np.arange(at, at + 3000), np.arange(at, at + 3000))
+        score = x[:256] @ x.T
+        score[np.arange(256), np.arange(256)] = -np.inf
+        assert all([-s for s, *_ in best.found[i]] == sorted(score[i])[:-6:-1] for i in range(256))
+        print(best.work / score.size / 64)
+        assert best.work < most * score.size * 64
 
 
 # ------------------------------------------------------------------ 4 and 10 classifiers
@@ -539,57 +620,97 @@ def test_toxicity_learns(spark, awkward, empty):
     assert toxicity.Scorer(one).scores(["x", ""]).tolist() == [0, 0] and toxicity.fit([]).constant == 0
 
 
-def test_toxicity_windows_cover_the_text():
-    for n in (1, 31, 32, 33, 48, 100, 1000):
-        at = toxicity.starts(n)
-        assert at[0] == 0 and at[-1] + min(n, toxicity.WINDOW) == n and all(0 < b - a <= toxicity.STRIDE for a, b in zip(at, at[1:]))
+def plain_toxicity(model, text):
+    """The score of one text by loops over stretches, words and windows."""
+    words = toxicity.words_of(text)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    vocabulary = subword.Vocabulary(toxicity.BUCKETS, toxicity.GRAMS)
+    p = {k: v.astype(np.float64) for k, v in model.par.items()}
+    x = []
+    for w in words:
+        whole, grams, _ = vocabulary.features(vocabulary.add([w]))
+        x.append(np.concatenate([model.word[whole[0]], model.char[grams].sum(axis=0) / np.sqrt(len(grams))]).astype(np.float64))
+
+    def walk(d, places):
+        h, out = np.zeros(toxicity.HIDDEN), {}
+        for i in places:
+            z, r = (sig(x[i] @ p["W"][g, d] + p["b"][g, d, 0] + h @ p["U"][g, d]) for g in (0, 1))
+            n = np.tanh(x[i] @ p["W"][2, d] + p["b"][2, d, 0] + r * (h @ p["U"][2, d]))
+            h = n + z * (h - n)
+            out[i] = h
+        return out
+
+    weight, value = np.zeros(len(words)), np.zeros(len(words))
+    for a in range(0, len(words), toxicity.STEP):
+        reach = [i for i in range(a - toxicity.CONTEXT, a + toxicity.STEP + toxicity.CONTEXT) if 0 <= i < len(words)]
+        left, right = walk(0, reach), walk(1, reach[::-1])
+        for i in range(a, min(a + toxicity.STEP, len(words))):
+            h = np.concatenate([left[i], right[i]])
+            weight[i], value[i] = np.exp(np.tanh(h @ p["A"]) @ p["v"]), h @ p["o"]
+    windows = [slice(a, a + toxicity.WINDOW) for a in range(max(len(words) - toxicity.WINDOW, 0) + 1)]
+    z = [(weight[s] * value[s]).sum() / weight[s].sum() + p["c"][0] for s in windows]
+    return sig(model.scale * max(z) + model.shift)
 
 
 def test_toxicity_scores_every_window():
     model = toxicity.fit(toy(200, 1, insult))
-    words = " ".join(t for t, _ in toy(4, 2, insult)).split()[:100]
-    scorer = toxicity.Scorer(model)
-    each = [scorer.scores([" ".join(words[i : i + 32])])[0] for i in range(len(words) - 31)]
-    assert np.isclose(scorer.scores([" ".join(words)])[0], max(each), atol=1e-6) and toxicity.starts(100) == list(range(69))
+    words = " ".join(t for t, _ in toy(8, 2, insult)).split()
+    group = [" ".join(words[a : a + n]) for a, n in ((0, 1), (3, 31), (5, 32), (7, 33), (1, 64), (2, 65), (9, 100), (0, 300))]
+    assert np.allclose(toxicity.Scorer(model).scores(group), [plain_toxicity(model, t) for t in group], atol=5e-4)
+
+
+def test_toxicity_of_a_text_is_its_own(monkeypatch):
+    model = toxicity.fit(toy(100, 1, insult), epochs=1)
+    group = [t for t, _ in toy(30, 5, insult)] + ["", "x" * 300_000, "y " * 5000]
+    want = toxicity.Scorer(model).scores(group)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 60)  # words are forgotten
+    monkeypatch.setattr(toxicity, "BLOCK", 3)
+    small = toxicity.Scorer(model)
+    assert np.allclose(np.concatenate([small.scores([t]) for t in group]), want, atol=5e-4)
+
+
+def test_features_of_long_words(monkeypatch):
+    word = "".join(random.Random(2).choice("abcé") for _ in range(3000))
+    whole, grams, _ = subword.features([word], 1 << 16, (3, 5))
+    monkeypatch.setattr(subword, "PART", 100)
+    h, f, _ = subword.long_features(word, 1 << 16, (3, 5))
+    assert h.tolist() == whole.tolist() and sorted(f.tolist()) == sorted(grams.tolist())
 
 
 def test_long_texts_are_fitted_too(spark):
     rows = [(i, f"t{i} " * (20 if i % 2 else 5)) for i in range(40)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
-    pick = lambda per_class, max_chars: common.training_rows(docs, labels, "toxic", None, per_class, max_chars)
+    pick = lambda per_class, max_chars: [(r.text, r.label) for r in common.training_rows(docs, labels, "toxic", None, per_class, max_chars).collect()]
     got = pick((8, 10), 40)  # class 1 has long texts only: whole ones up to 10 * 40 characters
     assert sum(y == 0 for _, y in got) == 8 and 5 <= sum(y for _, y in got) <= 7 and all(t in dict(rows).values() for t, _ in got)
     assert {y for _, y in pick((1, 1), 10)} == {0, 1} and all(len(t) <= 10 for t, _ in pick((1, 1), 10))
     mixed = docs.withColumn("text", F.when(F.col("doc_id") >= 20, F.col("text")).otherwise(F.repeat(F.lit("long "), 100)))
-    got = common.training_rows(mixed, labels, "toxic", None, (8, 8), 100)  # the short ones fill the classes
+    got = [(r.text, r.label) for r in common.training_rows(mixed.union(mixed), labels, "toxic", None, (8, 8), 100).collect()]  # the short ones fill the classes, each once
     assert [sum(y == k for _, y in got) for k in (0, 1)] == [8, 8]
-    assert common.training_rows(docs.limit(0), labels, "toxic", None, (1, 1), 10) == []
+    assert common.training_rows(docs.limit(0), labels, "toxic", None, (1, 1), 10).count() == 0
+    assert common.fit_in_task(common.training_rows(docs, labels.limit(0), "toxic", None, (1, 1), 10), len) == 0 and common.fit_in_task(common.training_rows(docs, labels, "toxic", None, (3, 4), 400), len) == 7
 
 
 def test_toxicity_gradient():
     rng = np.random.default_rng(3)
     par = {k: v.astype(np.float64) for k, v in toxicity.new_model(rng).par.items()}
-    gates = rng.normal(size=(2, 5, 3, 3 * toxicity.HIDDEN))
-    target = np.array([0.0, 1.0, 1.0])
-
-    def loss(p, g):
-        z = toxicity.forward(p, g).astype(np.float64)
-        return float((np.logaddexp(0, z) - target * z).sum())
-
-    saved = toxicity.forward(par, gates, keep=True)
-    off = 1 / (1 + np.exp(-saved[0].astype(np.float64))) - target
-    grad, d_gates = toxicity.backward(par, gates.shape, off, saved)
-    for name in ("U", "A", "v", "o"):
-        at = tuple(rng.integers(0, s) for s in par[name].shape)
-        up, down = ({k: v.copy() for k, v in par.items()} for _ in range(2))
-        up[name][at] += 1e-2
-        down[name][at] -= 1e-2
-        assert np.isclose((loss(up, gates) - loss(down, gates)) / 2e-2, grad[name][at], rtol=0.03, atol=2e-3), name
-    at = (1, 2, 0, 4)
-    a, b = gates.copy(), gates.copy()
-    a[at] += 1e-2
-    b[at] -= 1e-2
-    assert np.isclose((loss(par, a) - loss(par, b)) / 2e-2, d_gates[at], rtol=0.03, atol=2e-3)
+    x = rng.normal(size=(40, 2 * toxicity.DIM))
+    size = np.array([20, 150])
+    rows = [np.where((p < 0) | (p >= n), len(x), rng.integers(0, len(x), p.shape)) for n in size for p in [toxicity.stretches(n)]]
+    at, target, gain = np.concatenate(rows), np.array([1.0, 0.0]), np.array([1.0, 0.7])
+    loss = lambda p, x: toxicity.gradients(p, x, at, size, target, gain, 2.0)[0]
+    _, grad, d_x = toxicity.gradients(par, x, at, size, target, gain, 2.0)
+    for name in par:
+        for _ in range(3):
+            place = tuple(rng.integers(0, s) for s in par[name].shape)
+            up, down = ({k: v.copy() for k, v in par.items()} for _ in range(2))
+            up[name][place] += 1e-4
+            down[name][place] -= 1e-4
+            assert np.isclose((loss(up, x) - loss(down, x)) / 2e-4, grad[name].reshape(par[name].shape)[place], rtol=1e-3, atol=1e-7), name
+    a, b = x.copy(), x.copy()
+    a[3, 5] += 1e-4
+    b[3, 5] -= 1e-4
+    assert np.isclose((loss(par, a) - loss(par, b)) / 2e-4, d_x[3, 5], rtol=1e-3, atol=1e-7)
 
 
 def shout(rng, words):
@@ -608,6 +729,28 @@ def test_quality_learns(spark, awkward, empty):
     assert quality.fit([]).constant == 0.5 and quality.Scorer(quality.fit([("a", 1)])).scores(["x"]).tolist() == [1.0]
 
 
+def plain_quality(model, text):
+    """The score of one text by loops over words, n-grams and bigrams."""
+    words, parts = text.split(), []
+    h = lambda x: int(subword.bucket(x, quality.BUCKETS)[0])
+    whole = [subword.features([w], quality.BUCKETS, quality.GRAMS) for w in words]
+    ends = [subword.mix(subword.mix(np.array([int.from_bytes(w.encode()[-quality.ENDING :], "little")], np.uint64) + np.uint64(1)) + np.uint64(2)) for w in words]
+    for w, g, _ in whole:
+        parts.append(model.vectors[[h(w), *g]].mean(axis=0))
+    for i in range(1, len(words)):
+        pair = [subword.mix(subword.mix(x[0] + np.uint64(of)) + x[1]) for x, of in (((whole[i - 1][0], whole[i][0]), 3), ((ends[i - 1], ends[i]), 4))]
+        parts.append(model.vectors[[quality.BUCKETS + int(subword.bucket(x, quality.PAIRS)[0]) for x in pair]].mean(axis=0))
+    z = np.mean(parts, axis=0) @ model.weights + model.bias if parts else model.bias
+    e = np.exp(z - z.max())
+    return e[1] / e.sum()
+
+
+def test_quality_scores_words_and_bigrams():
+    model = quality.fit([(t, 1 - y) for t, y in toy(60, 5, shout)], epochs=2)
+    group = ["", "one", "Tür Tür 日本 Tür", *[t for t, _ in toy(6, 6, shout)]]
+    assert np.allclose(quality.Scorer(model).scores(group), [plain_quality(model, t) for t in group], atol=1e-4)
+
+
 def test_quality_memory_is_bounded(monkeypatch):
     model = quality.fit([(t, 1 - y) for t, y in toy(60, 5, shout)], epochs=1)
     group = [t for t, _ in toy(40, 6, shout)]
@@ -617,13 +760,17 @@ def test_quality_memory_is_bounded(monkeypatch):
     assert np.allclose(np.concatenate([small.scores([t]) for t in group]), want, atol=1e-6)
 
 
-@pytest.mark.parametrize(("module", "query", "label"), [(toxicity, toxicity.op4_toxicity, "toxic"), (quality, quality.op10_quality_classifier, "quality")])
-def test_held_out_accuracy(spark, module, query, label):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize(("module", "query", "label", "sf", "least"), [(toxicity, toxicity.op4_toxicity, "toxic", "sf0.1", (0.96, 0.8, 0.97)), (quality, quality.op10_quality_classifier, "quality", "sf0.1", (0.98, 0.97, 0.95))])
+def test_held_out_accuracy(spark, module, query, label, sf, least):
+    """Well above the larger class (0.88 toxic, 0.85 quality) and the best single word's log-odds (0.95 toxic), in each class."""
+    sf = f"/root/testdata/{sf}"
     got = query(spark, sf)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
     _, mod, rest = module.FOLD
     rows = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == rest) and r.predicted == int(r.score >= 0.5) for r in rows)
     held = [r for r in rows if r.held_out]
-    assert sum(r.predicted == r[label] for r in held) / len(held) >= 0.9
+    share = lambda part: sum(r.predicted == r[label] for r in part) / len(part)
+    figures = share(held), share([r for r in held if r[label] == 1]), share([r for r in held if r[label] == 0])
+    print(module.__name__, figures)
+    assert all(a >= b for a, b in zip(figures, least))
