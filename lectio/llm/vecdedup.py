@@ -5,9 +5,11 @@ quantisation error is stored beside it (rounded up). For unit vectors x, y with
 x', y' and errors e: |x.y - x'.y'| <= |ex| |y| + |x'| |ey| <= |ex| + (1 + |ex|) |ey|. A tile
 multiplies int8 codes (as floats that hold all sums exactly) and recomputes in double precision
 only the pairs whose product plus bound reaches the threshold. Equal vectors are one class before
-any product, so copies cost nothing. Classes are dealt to cells by their nearest pivot; two cells
-are compared unless the angles to the pivots prove (triangle inequality) that no pair can reach
-the threshold. A tile returns link sums per class and a spanning forest of its links, never pairs.
+any product, so copies cost nothing. Classes are dealt to cells by their nearest pivot (about the
+square root of the number of blocks); two cells are compared unless the angles to the pivots prove
+(triangle inequality) that no pair can reach the threshold. A cell's vectors are packed into blocks
+once, in single precision where that holds them exactly; a tile gets two whole blocks and
+returns link sums per class and a spanning forest of its links, never pairs.
 
 Defined cases: vectors that are null, zero or hold a null or non-finite component link with nothing
 (n_links 0, their own component); vectors of different widths never link; repeated rows are
@@ -18,20 +20,20 @@ Rows with one vec_id count as separate vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
+from .common import join_by_size, read_table, stage
 from .graph import components
 from .tiles import each_group, forest
 
 THRESHOLD = 0.95
-#: Classes of a block of a cell; a tile holds two blocks.
-BLOCK = 4096
-MOST_PIVOTS = 64
+#: Classes of a block of a cell; a tile holds two blocks. Small tables are cut into `FEW` blocks at least.
+BLOCK, FEW = 16_384, 4
 #: Added to every bound for the rounding of the bound itself.
 SLACK = 1e-6
 
@@ -56,19 +58,25 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, step, error
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) with x[i].y[j] >= threshold, block by block of x."""
-    (cx, sx, ex), (cy, sy, ey) = quantise(x), quantise(y)
-    fy = cy.T.astype(np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64)
+def close_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) with x[i].y[j] >= threshold, block by block of x; without y pairs i < j of x itself."""
+    cx, sx, ex = quantise(x)
+    other, (cy, sy, ey) = (x, (cx, sx, ex)) if y is None else (y, quantise(y))
+    kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    fy = np.ascontiguousarray(cy.T).astype(kind)
     for at in range(0, len(x), rows):
-        part = slice(at, at + rows)
-        near = (cx[part].astype(fy.dtype) @ fy) * (sx[part, None] * sy).astype(fy.dtype)
-        room = ((ex[part] + SLACK)[:, None] + (1 + ex[part])[:, None] * ey + SLACK).astype(fy.dtype)
-        i, j = np.nonzero(near + room >= threshold)
-        i = i + at
+        part, begin = slice(at, at + rows), at if y is None else 0
+        near = cx[part].astype(kind) @ fy[:, begin:]
+        near *= sx[part, None].astype(kind)
+        near *= sy[begin:].astype(kind)
+        near += (ex[part] + 2 * SLACK)[:, None].astype(kind) + (1 + ex[part])[:, None].astype(kind) * ey[begin:].astype(kind)
+        i, j = np.nonzero(near >= threshold)
+        i, j = i + at, j + begin
+        if y is None:
+            i, j = i[i < j], j[i < j]
         for k in range(0, len(i), 200_000):  # full precision for the few that the bound lets through
             a, b = i[k : k + 200_000], j[k : k + 200_000]
-            good = (x[a] * y[b]).sum(axis=1) >= threshold
+            good = (x[a] * other[b]).sum(axis=1) >= threshold
             yield a[good], b[good]
 
 
@@ -76,27 +84,38 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block: its classes' names, copies and vectors."""
+    for t in each_group(batches, ["width", "cell", "s"]):
+        x = _matrix(t.column("e"), t.column("width")[0].as_py())
+        with np.errstate(over="ignore"):
+            single = x.astype("<f4")
+        body = single if (single.astype(np.float64) == x).all() else x.astype("<f8")
+        own = [[t.column(c)[0].as_py()] for c in ("width", "cell", "s")]
+        held = [[t.column(c).to_numpy().astype("<i8").tobytes()] for c in ("node", "copies")]
+        yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.int32()) for v in own], *[pa.array(v, pa.binary()) for v in held], pa.array([body.tobytes()], pa.binary())], ["width", "cell", "s", "nodes", "copies", "body"])
+
+
 def _tile(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = lambda n: pa.nulls(n, pa.int64())
         for t in each_group(batches, ["_tile"]):
-            side = t.column("_side").to_numpy()
-            width = len(t.column("e")[0])
-            x, node, copies = unit(_matrix(t.column("e"), width)), t.column("node").to_numpy(), t.column("copies").to_numpy()
-            first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            same = (side == 2).any()
-            links = np.zeros(len(x), np.int64)
+            blocks = []
+            for r in t.to_pylist():
+                node = np.frombuffer(r["nodes"], "<i8")
+                x = np.frombuffer(r["body"], "<f4" if len(r["body"]) == 4 * len(node) * r["width"] else "<f8").astype(np.float64)
+                blocks.append((node, np.frombuffer(r["copies"], "<i8"), unit(x.reshape(len(node), -1))))
+            node, copies = (np.concatenate([b[k] for b in blocks]) for k in (0, 1))
+            shift = len(blocks[0][0]) if len(blocks) > 1 else 0
+            links = np.zeros(len(node), np.int64)
             pairs: list[tuple[np.ndarray, np.ndarray]] = []
-            for i, j in close_pairs(x[first], x[second], threshold):
-                a, b = first[i], second[j]
-                if same:
-                    a, b = a[a < b], b[a < b]
-                np.add.at(links, a, copies[b])
-                np.add.at(links, b, copies[a])
-                pairs.append(_forest_of(a, b, len(x)))
+            for a, b in close_pairs(blocks[0][2], blocks[1][2] if shift else None, threshold):
+                b = b + shift
+                links += np.bincount(a, copies[b], len(links)).astype(np.int64) + np.bincount(b, copies[a], len(links)).astype(np.int64)
+                pairs.append(_forest_of(a, b, len(node)))
             got = np.flatnonzero(links)
             a, b = (np.concatenate([p[k] for p in pairs] or [np.empty(0, np.int64)]) for k in (0, 1))
-            a, b = _forest_of(a, b, len(x))
-            none = lambda n: pa.nulls(n, pa.int64())
+            a, b = _forest_of(a, b, len(node))
             yield pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(links[got]), none(len(got)), none(len(got))], ["node", "links", "a", "b"])
             yield pa.RecordBatch.from_arrays([none(len(a)), none(len(a)), pa.array(node[a]), pa.array(node[b])], ["node", "links", "a", "b"])
 
@@ -130,7 +149,8 @@ def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, *, vec_id: s
     classes = stage(classes.select("h1", "h2", "rep", "copies", "e", F.size("e").alias("width"), F.monotonically_increasing_id().alias("node")), "vector-classes")
 
     total = classes.count()
-    want = pivots or max(1, min(MOST_PIVOTS, total // block))
+    block = max(1, min(block, -(-total // FEW)))
+    want = pivots or max(1, isqrt(total // block))
     centres: dict[int, np.ndarray] = {}
     for r in classes.orderBy("h1", "h2").limit(want).select("width", "e").collect():  # names are hashes: a fair sample
         centres.setdefault(r[0], []).append(r[1])
@@ -148,6 +168,7 @@ def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, *, vec_id: s
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "copies", "e", "width", "h1")), pa.array(cell), pa.array(angle)], ["node", "copies", "e", "width", "h1", "cell", "angle"])
 
     cells = classes.mapInArrow(to_cells, "node long, copies long, e array<double>, width int, h1 long, cell int, angle double")
+    cells = stage(cells, "vector-cells")
     sizes = cells.groupBy("width", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("far")).collect()  # widths x pivots rows
     reach = np.arccos(threshold) + 1e-9
     plan = []
@@ -162,28 +183,28 @@ def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, *, vec_id: s
             if apart <= reach:
                 np_, nq = -(-p["n"] // block), -(-q["n"] // block)
                 plan.append((p["width"], p["cell"], q["cell"], np_, nq))
-    table = spark.createDataFrame(plan, "width int, c int, d int, nc int, nd int")  # at most pivots^2 rows a width
-
-    # each class goes to every tile of its block; a tile is named by its cells and blocks
-    name = lambda s, t: F.concat_ws(",", "width", "c", "d", s, t)
-    mine = lambda n: F.pmod(F.col("h1"), F.col(n).cast("long")).cast("int")
-    as_c = cells.join(F.broadcast(table), ["width"]).where("cell = c")
-    as_c = as_c.withColumn("s", mine("nc")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("nd") - 1))).where("c <> d or s <= t")
-    as_c = as_c.withColumn("_side", F.when((F.col("c") == F.col("d")) & (F.col("s") == F.col("t")), 2).otherwise(0))
-    as_d = cells.join(F.broadcast(table), ["width"]).where("cell = d")
-    as_d = as_d.withColumn("t", mine("nd")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).where("c <> d or s < t").withColumn("_side", F.lit(1))
-    out = [name("s", "t").alias("_tile"), "_side", "node", "copies", "e"]
-    tiles = as_c.select(*out).unionByName(as_d.select(*out)).repartition("_tile").sortWithinPartitions("_tile")
+    table = spark.createDataFrame(plan, "width int, c int, d int, nc int, nd int")  # about one row per block, if nothing is pruned
+    counts = spark.createDataFrame([(r["width"], r["cell"], -(-r["n"] // block)) for r in sizes], "width int, cell int, blocks int")
+    blocks = cells.join(counts, ["width", "cell"]).withColumn("s", F.pmod(F.col("h1"), F.col("blocks").cast("long")).cast("int"))
+    blocks = blocks.repartition("width", "cell", "s").sortWithinPartitions("width", "cell", "s", "node")
+    blocks = stage(blocks.mapInArrow(_pack, "width int, cell int, s int, nodes binary, copies binary, body binary"), "vector-blocks")
+
+    # each block goes to every tile of its own; a tile is named by its cells and blocks
+    tile = F.concat_ws(",", "width", "c", "d", "s", "t").alias("_tile")
+    cols = [tile, "_side", "width", "nodes", "copies", "body"]
+    as_c = blocks.withColumnRenamed("cell", "c").join(table, ["width", "c"]).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("nd") - 1))).where("c <> d or s <= t")
+    as_d = blocks.withColumnRenamed("cell", "d").withColumnRenamed("s", "t").join(table, ["width", "d"]).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).where("c <> d or s < t")
+    tiles = as_c.withColumn("_side", F.lit(0)).select(*cols).unionByName(as_d.withColumn("_side", F.lit(1)).select(*cols)).repartition("_tile").sortWithinPartitions("_tile", "_side")
     found = stage(tiles.mapInArrow(_tile(threshold), "node long, links long, a long, b long"), "vector-links")
 
     links = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where(F.col("a").isNotNull()).select("a", "b")).withColumnRenamed("component", "root")
     per_class = classes.select("h1", "h2", "rep", "copies", "node").join(links, "node", "left").join(joined, "node", "left")
-    per_class = stage(per_class.select("h1", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "vector-roots")
-    least = per_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    answer = per_class.join(least, "root").select("h1", "h2", "n_links", "component_id")
+    per_class = stage(per_class.select("h1", "h2", "rep", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "vector-roots")
+    least = stage(per_class.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("_n")), "vector-components")
+    answer = stage(join_by_size(per_class, least, ["root"], "_n", total).select("h1", "h2", "copies", "n_links", "component_id"), "vector-answers")
     sound, rest = named.where(F.col("e").isNotNull()).select("vec_id", "h1", "h2"), named.where(F.col("e").isNull()).select("vec_id")
-    done = sound.join(answer, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    done = join_by_size(sound, answer, ["h1", "h2"], "copies", vectors.count()).select("vec_id", "n_links", "component_id")
     done = done.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return done.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
