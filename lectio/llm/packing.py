@@ -7,7 +7,8 @@ incumbent; bin completion (Korf, "A New Algorithm for Optimal Bin Packing", 2002
 undominated fillings of any number of pieces around the largest piece left, from a table of subset
 sums, applies each as often as the counts allow, backtracks where the waste so far exceeds what a
 better packing could have, and stops at the Martello-Toth lower bound or after `nodes` nodes beside
-those of one whole path. Single paths that differ in their rule come first, for better incumbents. Pieces find their places in the patterns by their
+those of one whole path. Single paths that differ in their rule come first, for better incumbents. Pieces
+find their places in the patterns by their
 rank among the pieces of equal length: local ranks from the tokenizing tasks plus the sums of the
 tasks before, so no length, however common, is gathered in one task.
 
@@ -101,6 +102,15 @@ class Tokens:
         return _packed(self.encode(text))
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizers file."""
+    with open(path, encoding="utf8") as file:
+        spec = json.load(file)
+    vocab = spec["model"]["vocab"]
+    ids = vocab.values() if isinstance(vocab, dict) else range(len(vocab))
+    return 1 + max([END_ID, *ids, *(t["id"] for t in spec.get("added_tokens", ()))])
+
+
 _tokens: dict[str, Tokens] = {}
 
 
@@ -423,6 +433,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (, ids)."""
     path = tokenizer or default_tokenizer()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "_rank", "_task"] + ["ids"] * keep_ids
+    wide = 2 if vocabulary_size(path) <= 1 << 16 else 4  # bytes of an id on its way, where ids are kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen, task = load_tokens(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
@@ -436,12 +447,12 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
                     rows.append((doc, i, start, length, zlib.crc32(body), int(seen[length]), task))
                     seen[length] += 1
                     if keep_ids:
-                        bodies.append(np.frombuffer(body, "<u4").astype(np.int32))
+                        bodies.append(np.frombuffer(body, "<u4").astype(f"<u{wide}").tobytes())
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             arrays = [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32()] + [pa.int64()] * 4 + [pa.int32()], strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(bodies, pa.list_(pa.int32()))] * keep_ids, names)
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(bodies, pa.binary())] * keep_ids, names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _rank long, _task int" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _rank long, _task int" + ", ids binary" * keep_ids
     pieces = stage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, schema), "pieces")
     per_task = pieces.groupBy("length", "_task").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -450,11 +461,16 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
         counts[size] = n
     table = layout(bin_completion(counts, capacity, nodes)[0])
 
+    def unpacked(column: pa.Array) -> pa.Array:
+        bodies = column.to_pylist()
+        ends = np.cumsum([0, *map(len, bodies)], dtype=np.int64) // wide
+        return pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(bodies), f"<u{wide}").astype(np.int32)).cast(pa.list_(pa.int32()))
+
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
             sequence, offset = place(table, length, rank)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset), *[b.column(c) for c in ["ids"] * keep_ids]], [*names[:5], "sequence_id", "offset", *["ids"] * keep_ids])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset), *[unpacked(b.column(c)) for c in ["ids"] * keep_ids]], [*names[:5], "sequence_id", "offset", *["ids"] * keep_ids])
 
     ranked = pieces.join(per_task.select("length", "_task", before.alias("_before")), ["length", "_task"]).select(*names[:5], (F.col("_rank") + F.col("_before")).alias("_rank"), *["ids"] * keep_ids)
     return ranked.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * keep_ids)
