@@ -10,6 +10,13 @@ from dataclasses import dataclass, fields
 class Config:
     embedding_provider: str = "hashing"
     embedding_dim: int = 384
+    local_embed_model: str = "sentence-transformers/all-MiniLM-L6-v2"
+    local_embed_dim: int = 384
+    remote_embed_url: str = "http://localhost:8080/v1/embeddings"
+    remote_embed_model: str = "default"
+    remote_embed_dim: int = 768
+    collection: str = "documents"
+    bootstrap: bool = True
     embed_batch_size: int = 64
     embed_max_retries: int = 5
     embed_backoff_s: float = 2.0
@@ -63,11 +70,11 @@ class Config:
 
 
 DEFAULT = Config()
-#: Vector widths by provider.
-DIMENSIONS = {"hashing": DEFAULT.embedding_dim}
 
 
-def embedding_dimension(provider: str) -> int:
-    if provider not in DIMENSIONS:
-        raise ValueError(f"unknown embedding provider {provider!r}; known: {', '.join(sorted(DIMENSIONS))}")
-    return DIMENSIONS[provider]
+def embedding_dimension(provider: str, config: Config = DEFAULT) -> int:
+    """A provider's vector width, without a call to its model."""
+    widths = {"hashing": config.embedding_dim, "local": config.local_embed_dim, "remote": config.remote_embed_dim}
+    if provider not in widths:
+        raise ValueError(f"unknown embedding provider {provider!r}; known: {', '.join(sorted(widths))}")
+    return widths[provider]

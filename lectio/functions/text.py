@@ -105,21 +105,14 @@ def compounds(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(COMPOUND), F.lit(1)))
 
 
-def dehyphenate(c: Column, words: Column, pairs: Column) -> Column:
-    """Words broken at a line end, joined or kept as compounds by what the document writes elsewhere."""
-
-    def decide(hit: Column) -> Column:
-        left, right = F.regexp_extract(hit, HYPHEN_BREAK, 1), F.regexp_extract(hit, HYPHEN_BREAK, 2)
-        l, r = F.lower(left), F.lower(right)
-        joined, kept = F.concat(left, right), F.concat(left, F.lit("-"), right)
-        return (
-            F.when(F.array_contains(words, F.concat(l, r)), joined)
-            .when(F.array_contains(pairs, F.concat(l, F.lit("-"), r)), kept)
-            .when(F.array_contains(words, l) & F.array_contains(words, r), kept)
-            .otherwise(joined)
-        )
-
-    return each_match(c, HYPHEN_BREAK, decide)
+def hyphen_breaks(c: Column) -> Column:
+    """Words broken at a line end, as they stand in the text."""
+    return F.regexp_extract_all(c, F.lit(HYPHEN_BREAK), F.lit(0))
+
+
+def replace_breaks(c: Column, words: Column) -> Column:
+    """The text with its hyphen breaks replaced, in order, by an array of words."""
+    return F.array_join(F.zip_with(F.split(c, HYPHEN_BREAK, -1), words, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def needs_condensing(c: Column, config: Config = DEFAULT) -> Column:

@@ -7,9 +7,14 @@ about the quality that real embeddings, re-rankers or chat models give.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import random
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -64,8 +69,16 @@ class PairScorer(Protocol):
     def score(self, question: Column, text: Column) -> Column: ...
 
 
+@dataclass(frozen=True)
+class Reply:
+    """A chat model's text with the reason why it ended ("length": cut off by the token limit)."""
+
+    text: str
+    finish_reason: str | None = None
+
+
 class ChatModel(Protocol):
-    def invoke(self, system: str, user: str) -> str: ...
+    def invoke(self, system: str, user: str) -> str | Reply: ...
 
 
 class TokenCounter(Protocol):
@@ -100,8 +113,8 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 class HashingEmbedder:
     """Stand-in: signed feature hashing of words (Weinberger et al., 2009) by md5."""
 
-    def __init__(self, dimension: int = DEFAULT.embedding_dim):
-        self.dimension = dimension
+    def __init__(self, dimension: int = DEFAULT.embedding_dim, on_error: str = "raise"):
+        self.dimension, self.on_error = dimension, on_error
 
     def vectors(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
@@ -112,23 +125,117 @@ class HashingEmbedder:
         return unit_rows(out)
 
     def embed(self, text: Column) -> Column:
-        return batched_embedding(self.vectors)(text)
+        return batched_embedding(self.vectors, on_error=self.on_error)(text)
+
+    def or_null(self) -> HashingEmbedder:
+        return type(self)(self.dimension, "null")
 
 
-def batched_embedding(vectors: Callable[[list[str]], np.ndarray], config: Config = DEFAULT):
-    """A Pandas UDF around an embedding call: batches, retries, unit length out."""
+def batched_embedding(vectors: Callable[[list[str]], np.ndarray], config: Config = DEFAULT, on_error: str = "raise"):
+    """A Pandas UDF around an embedding call: batches, retries, unit length out.
+
+    on_error "null": texts of a batch that fails are asked for singly, and those that fail then are null.
+    """
+
+    def ask(texts: list[str]) -> list[list[float] | None]:
+        try:
+            return [list(map(float, r)) for r in unit_rows(np.asarray(with_retry(lambda: vectors(texts), config), np.float64))]
+        except Exception:
+            if on_error != "null":
+                raise
+            return [None] if len(texts) == 1 else [v for t in texts for v in ask([t])]
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in series:
             texts = s.fillna("").tolist()
-            parts = [with_retry(lambda a=a: vectors(texts[a : a + config.embed_batch_size]), config) for a in range(0, len(texts), config.embed_batch_size)]
-            rows = unit_rows(np.concatenate(parts)) if parts else np.empty((0, 1))
-            yield pd.Series([list(map(float, r)) for r in rows])
+            yield pd.Series([v for a in range(0, len(texts), config.embed_batch_size) for v in ask(texts[a : a + config.embed_batch_size])], dtype=object)
 
     run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<double>")
 
 
+class VectorModel:
+    """An embedder around a function that makes a function of texts in the worker, once per task.
+
+    make() is called in the worker, so that models are loaded there and clients needn't be pickled.
+    """
+
+    def __init__(self, make: Callable[[], Callable[[list[str]], np.ndarray]], dimension: int, config: Config = DEFAULT, on_error: str = "raise"):
+        self.make, self.dimension, self.config, self.on_error = make, dimension, config, on_error
+
+    def embed(self, text: Column) -> Column:
+        make, held = self.make, []
+
+        def vectors(texts: list[str]) -> np.ndarray:
+            if not held:
+                held.append(make())
+            return held[0](texts)
+
+        return batched_embedding(vectors, self.config, self.on_error)(text)
+
+    def or_null(self) -> VectorModel:
+        return VectorModel(self.make, self.dimension, self.config, "null")
+
+
+def or_null(embedder):
+    """The embedder, with nulls in place of failures where it knows how."""
+    return embedder.or_null() if hasattr(embedder, "or_null") else embedder
+
+
+def local_vectors(model: str) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A sentence-transformers model from a local folder or cache; the library is needed in the workers only."""
+
+    def make():
+        try:
+            from sentence_transformers import SentenceTransformer
+
+            loaded = SentenceTransformer(model)
+        except Exception as error:
+            raise EmbeddingError(f"the local model {model} can't be loaded: {error}") from error
+        return lambda texts: loaded.encode(texts, convert_to_numpy=True)
+
+    return make
+
+
+def remote_vectors(url: str, model: str, dimension: int, key: str | None) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """An HTTP service that takes {"model", "input", "dimensions"} and returns {"data": [{"embedding"}]}."""
+    if not key:
+        raise EmbeddingError("the remote embedding provider needs an API key; the hashing provider runs without")
+
+    def make():
+        def call(texts: list[str]) -> np.ndarray:
+            body = json.dumps({"model": model, "input": texts, "dimensions": dimension}).encode()
+            asked = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+            with urllib.request.urlopen(asked, timeout=60) as answer:
+                return np.array([d["embedding"] for d in json.load(answer)["data"]])
+
+        return call
+
+    return make
+
+
+#: Embedders by provider: functions of the configuration. More are added by register_embedder.
+EMBEDDERS: dict[str, Callable[[Config], Embedder]] = {
+    "hashing": lambda c: HashingEmbedder(c.embedding_dim),
+    "local": lambda c: VectorModel(local_vectors(c.local_embed_model), c.local_embed_dim, c),
+    "remote": lambda c: VectorModel(remote_vectors(c.remote_embed_url, c.remote_embed_model, c.remote_embed_dim, os.environ.get("LECTIO_EMBED_KEY")), c.remote_embed_dim, c),
+}
+
+
+def register_embedder(provider: str, make: Callable[[Config], Embedder]) -> None:
+    EMBEDDERS[provider] = make
+    get_embedder.cache_clear()
+
+
+@lru_cache(maxsize=8)
+def get_embedder(provider: str | None = None, config: Config = DEFAULT) -> Embedder:
+    """The provider's embedder, made once for a provider and configuration."""
+    name = provider or config.embedding_provider
+    if name not in EMBEDDERS:
+        raise EmbeddingError(f"unknown embedding provider {name!r}; known: {', '.join(sorted(EMBEDDERS))}")
+    return EMBEDDERS[name](config)
+
+
 class LexicalScorer:
     """Stand-in: shared content words through the logistic function, in the JVM."""
 
@@ -138,6 +245,51 @@ class LexicalScorer:
         return sigmoid(8 * share - 4)
 
 
+class PairModel:
+    """A pair scorer around make() -> predict(pairs) -> raw scores; raw scores go through the logistic function.
+
+    Pairs are scored `rerank_batch_size` at a time. Where the model can't be loaded or fails, scores are null,
+    and rerank() keeps the fused order of such a question.
+    """
+
+    def __init__(self, make: Callable[[], Callable[[list[tuple[str, str]]], np.ndarray]], config: Config = DEFAULT):
+        self.make, self.config = make, config
+
+    def score(self, question: Column, text: Column) -> Column:
+        make, size, held = self.make, self.config.rerank_batch_size, []
+
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for q, t in batches:
+                pairs, out = list(zip(q.fillna(""), t.fillna(""), strict=True)), []
+                for a in range(0, len(pairs), size):
+                    part = pairs[a : a + size]
+                    try:
+                        if not held:
+                            held.append(make())
+                        raw = np.asarray(held[0](part), np.float64).reshape(-1)
+                        out += (1 / (1 + np.exp(-np.clip(raw, -700, 700)))).tolist()
+                    except Exception:
+                        out += [None] * len(part)
+                yield pd.Series(out, dtype="float64")
+
+        run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+        return F.pandas_udf(run, "double")(question, text)
+
+
+def cross_encoder(model: str) -> Callable[[], Callable[[list[tuple[str, str]]], np.ndarray]]:
+    """A sentence-transformers cross-encoder, loaded in the worker."""
+
+    def make():
+        try:
+            from sentence_transformers import CrossEncoder
+
+            return CrossEncoder(model).predict
+        except Exception as error:
+            raise RerankerUnavailable(f"the cross-encoder {model} can't be loaded: {error}") from error
+
+    return make
+
+
 class RegexTokenCounter:
     """Stand-in for a model's tokenizer; adds up over spans."""
 
@@ -145,6 +297,30 @@ class RegexTokenCounter:
         return token_count(text)
 
 
+class RankTokenCounter:
+    """Byte-pair counts by tiktoken from a local rank file and its split pattern.
+
+    The counts of a text's spans add up to the whole's count or a little more.
+    """
+
+    def __init__(self, ranks: str, pattern: str):
+        self.ranks, self.pattern = ranks, pattern
+
+    def count(self, text: Column) -> Column:
+        ranks, pattern, held = self.ranks, self.pattern, []
+
+        def run(texts: pd.Series) -> pd.Series:
+            if not held:
+                import tiktoken
+                from tiktoken.load import load_tiktoken_bpe
+
+                held.append(tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(ranks), special_tokens={}))
+            return texts.map(lambda t: None if t is None else len(held[0].encode_ordinary(t))).astype("Int32")
+
+        run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+        return F.pandas_udf(run, "int")(text)
+
+
 class ExtractiveChat:
     """Stand-in: repeats the first excerpt's first sentence with its marker, or refuses."""
 
@@ -153,12 +329,37 @@ class ExtractiveChat:
         return f"{rest.split('. ')[0].strip().rstrip('.')}. [1]" if head.startswith("[1]") and rest.strip() else REFUSAL
 
 
-def chat_udf(model: ChatModel, system: str, on_error: str = "null"):
-    """A Pandas UDF that asks the model once a row; null questions and failures give null."""
+#: Chat models by name: functions of (token limit, reasoning effort), added by register_chat.
+CHATS: dict[str, Callable[[int | None, str | None], ChatModel]] = {"extractive": lambda limit, effort: ExtractiveChat()}
+
+
+def register_chat(model: str, make: Callable[[int | None, str | None], ChatModel]) -> None:
+    CHATS[model] = make
+    get_chat.cache_clear()
+
+
+@lru_cache(maxsize=8)
+def get_chat(model: str = "extractive", max_tokens: int | None = None, reasoning_effort: str | None = None) -> ChatModel:
+    """A chat model, made once for a name, token limit and effort."""
+    if model not in CHATS:
+        raise GenerationError(f"unknown chat model {model!r}; known: {', '.join(sorted(CHATS))}")
+    return CHATS[model](max_tokens, reasoning_effort)
+
+
+def chat_udf(model: ChatModel, system: str, on_error: str = "null", whole: bool = False):
+    """A Pandas UDF that asks the model once a row; null questions and failures give null.
+
+    whole: a reply that the token limit cut off counts as a failure.
+    """
 
     def ask(user):
         try:
-            return None if user is None else model.invoke(system, user)
+            if user is None:
+                return None
+            reply = model.invoke(system, user)
+            if not isinstance(reply, Reply):
+                return reply
+            return None if whole and reply.finish_reason == "length" else reply.text
         except Exception as error:
             if on_error == "raise":
                 raise GenerationError(str(error)) from error

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import compounds, dehyphenate, mask_line, normalize_whitespace, standalone_words, words_ran_together
+from ..functions.text import HYPHEN_BREAK, compounds, hyphen_breaks, mask_line, normalize_whitespace, replace_breaks, standalone_words, words_ran_together
 
 
 def paginate(texts: DataFrame) -> DataFrame:
@@ -67,16 +67,39 @@ def vocabulary(pages: DataFrame) -> DataFrame:
 
 
 def rejoin_hyphens(pages: DataFrame) -> DataFrame:
-    return pages.join(vocabulary(pages), "doc_id").select("doc_id", "page_number", dehyphenate(F.col("text"), F.col("words"), F.col("pairs")).alias("text"))
+    """Words broken at a line end, joined or kept as compounds by what the document writes elsewhere.
+
+    Only the forms that breaks ask for are looked up: breaks are exploded and meet the document's words by
+    join, so that no word list travels to its pages.
+    """
+    page = ["doc_id", "page_number"]
+    hits = pages.select(*page, F.posexplode(hyphen_breaks(F.col("text"))).alias("n", "hit"))
+    left, right = F.regexp_extract("hit", HYPHEN_BREAK, 1), F.regexp_extract("hit", HYPHEN_BREAK, 2)
+    l, r = F.lower(left), F.lower(right)
+    form = lambda role, kind, term: F.struct(F.lit(role).alias("role"), F.lit(kind).alias("kind"), term.alias("term"))
+    forms = F.array(form("joined", "word", F.concat(l, r)), form("pair", "pair", F.concat(l, F.lit("-"), r)), form("left", "word", l), form("right", "word", r))
+    asked = hits.select(*page, "n", left.alias("left"), right.alias("right"), F.explode(forms).alias("f")).select(*page, "n", "left", "right", "f.*")
+    own = lambda kind, words: pages.select("doc_id", F.lit(kind).alias("kind"), F.explode(words).alias("term"))
+    written = own("word", standalone_words(F.col("text"))).unionByName(own("pair", compounds(F.col("text"))))
+    keys = ["doc_id", "kind", "term"]
+    known = written.join(asked.select(*keys), keys, "left_semi").distinct().withColumn("_known", F.lit(True))
+    has = lambda role: F.coalesce(F.bool_or((F.col("role") == role) & F.col("_known")), F.lit(False))
+    found = asked.join(known, keys, "left").groupBy(*page, "n", "left", "right").agg(has("joined").alias("j"), has("pair").alias("p"), (has("left") & has("right")).alias("b"))
+    kept = ~F.col("j") & (F.col("p") | F.col("b"))
+    word = F.when(kept, F.concat("left", F.lit("-"), "right")).otherwise(F.concat("left", "right"))
+    chosen = found.groupBy(*page).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", word.alias("w")))), lambda x: x["w"]).alias("_words"))
+    joined = pages.join(chosen, page, "left")
+    return joined.select(*page, F.when(F.col("_words").isNull(), F.col("text")).otherwise(replace_breaks(F.col("text"), F.col("_words"))).alias("text"))
 
 
 def preprocess(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """pages(doc_id, page_number, text, from_layout) -> clean pages, blank ones dropped."""
     laid = pages.select("doc_id", "page_number", "from_layout", normalize_whitespace(F.col("text"), F.col("from_layout")).alias("text"))
     flags = laid.select("doc_id", "page_number", "from_layout")
-    bare = strip_furniture(laid.drop("from_layout"), config).join(flags, ["doc_id", "page_number"])
-    joined = bare.join(vocabulary(bare), "doc_id").withColumn("text", F.when(F.col("from_layout"), dehyphenate(F.col("text"), F.col("words"), F.col("pairs"))).otherwise(F.col("text")))
-    return nonblank(joined.select("doc_id", "page_number", normalize_whitespace(F.col("text"), F.col("from_layout")).alias("text")))
+    bare = strip_furniture(laid.drop("from_layout"), config)
+    whole = rejoin_hyphens(bare).withColumnRenamed("text", "_joined").join(bare, ["doc_id", "page_number"]).join(flags, ["doc_id", "page_number"])
+    text = F.when(F.col("from_layout"), F.col("_joined")).otherwise(F.col("text"))
+    return nonblank(whole.select("doc_id", "page_number", normalize_whitespace(text, F.col("from_layout")).alias("text")))
 
 
 def document_text(pages: DataFrame) -> DataFrame:

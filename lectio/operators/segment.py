@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +11,14 @@ from ..functions.text import dot, sentences, strip, token_count, word_start
 from ..sources.staging import stage
 
 
-def sentence_spans(sections: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, section_index, i, start, end, sentence, n_tokens of the sentences that aren't blank."""
+def sentence_spans(sections: DataFrame, texts: DataFrame, count=token_count) -> DataFrame:
+    """doc_id, section_index, i, start, end, sentence, n_tokens (by `count`) of the sentences that aren't blank."""
     body = sections.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", "section_index", F.col("start").alias("_s"), F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("_b"))
     rows = body.select("doc_id", "section_index", "_s", F.posexplode(sentences(F.col("_b"))).alias("_n", "sentence"))
     w = Window.partitionBy("doc_id", "section_index").orderBy("_n")
     before = F.coalesce(F.sum(F.length("sentence")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.select("doc_id", "section_index", "_n", (F.col("_s") + before).cast("int").alias("start"), "sentence").where(F.col("sentence").rlike(r"\S"))
-    return placed.select("doc_id", "section_index", (F.row_number().over(w) - 1).alias("i"), "start", (F.col("start") + F.length("sentence")).alias("end"), "sentence", token_count(F.col("sentence")).alias("n_tokens"))
+    return placed.select("doc_id", "section_index", (F.row_number().over(w) - 1).alias("i"), "start", (F.col("start") + F.length("sentence")).alias("end"), "sentence", count(F.col("sentence")).alias("n_tokens"))
 
 
 def neighbour_distance(vectors: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -37,66 +38,121 @@ def topic_groups(rows: DataFrame, by: list[str], order: str, config: Config = DE
     return breaks.withColumn("topic", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut", "_limit")
 
 
-def pack_sentences(rows: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
-    """rows(by, i, topic, n_tokens) with pack (chunk number in the section) and hard (a lone
-    sentence over the limit, to be cut by characters).
+def packs_of(topics: list[int], sizes: list[int], low: int, high: int) -> list[tuple[int, bool]]:
+    """(pack, hard) of each sentence of a section, in one pass each for merging and cutting.
 
-    Three folds over one section's array, no user code: topics join a predecessor that is still
-    under the minimum; a last group under it joins its predecessor; groups over the maximum are
-    cut between sentences.
+    Topics join a predecessor that is still under the minimum; a last group under it joins its
+    predecessor; groups over the maximum are cut between sentences, and a lone sentence over it is hard.
     """
-    low, high = config.chunk_min_tokens, config.chunk_max_tokens
-    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", F.col("topic").cast("int").alias("topic"), F.col("n_tokens").cast("int").alias("n")))).alias("s"))
+    group, total = [], []
+    for k, (topic, n) in enumerate(zip(topics, sizes, strict=True)):
+        if not k or (topic != topics[k - 1] and total[-1] >= low):
+            total.append(0)
+        total[-1] += n
+        group.append(len(total) - 1)
+    if len(total) > 1 and total[-1] < low:
+        total[-2] += total.pop()
+        group = [min(g, len(total) - 1) for g in group]
+    out: list[tuple[int, bool]] = []
+    pack, held, after_hard = -1, 0, False
+    for k, (g, n) in enumerate(zip(group, sizes, strict=True)):
+        whole = total[g] <= high
+        hard = not whole and n > high
+        if not k or g != group[k - 1] or (not whole and (hard or after_hard or held + n > high)):
+            pack, held = pack + 1, 0
+        held, after_hard = held + n, hard
+        out.append((pack, hard))
+    return out
 
-    # merged group number of every sentence, and the last two groups' sizes
-    one = F.struct(F.lit(-1).alias("topic"), F.lit(-1).alias("g"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("out"))
 
-    def merge(acc: Column, s: Column) -> Column:
-        fresh = (acc["g"] < 0) | ((s["topic"] != acc["topic"]) & (acc["size"] >= low))
-        g = acc["g"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(s["topic"].alias("topic"), g.alias("g"), (F.when(fresh, 0).otherwise(acc["size"]) + s["n"]).alias("size"), F.array_append(acc["out"], g).alias("out"))
+def pack_sentences(rows: DataFrame, by: list[str], config: Config = DEFAULT) -> DataFrame:
+    """rows(by, i, topic, n_tokens) with pack (chunk number in the section) and hard (a lone
+    sentence over the limit, to be cut by characters)."""
+    low, high = config.chunk_min_tokens, config.chunk_max_tokens
 
-    merged = listed.withColumn("m", F.aggregate("s", one, merge))
-    last = F.col("m.g")
-    groups = F.when((last > 0) & (F.col("m.size") < low), F.transform("m.out", lambda g: F.least(g, last - 1))).otherwise(F.col("m.out"))
-    merged = merged.withColumn("z", F.zip_with("s", groups, lambda s, g: F.struct(s["i"].alias("i"), s["n"].alias("n"), g.alias("g"))))
-    merged = merged.withColumn("t", F.transform("z", lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n"), x["g"].alias("g"), F.aggregate(F.filter("z", lambda y: y["g"] == x["g"]), F.lit(0), lambda a, y: a + y["n"]).alias("total"))))
+    def run(topics: pd.Series, sizes: pd.Series) -> pd.Series:
+        found = [packs_of(list(t), list(n), low, high) for t, n in zip(topics, sizes, strict=True)]
+        return pd.Series([[{"pack": p, "hard": h} for p, h in f] for f in found], dtype=object)
 
-    out = "array<struct<i:int,pack:int,hard:boolean>>"
-    start = F.struct(F.lit(-1).alias("g"), F.lit(-1).alias("pack"), F.lit(0).alias("size"), F.lit(False).alias("hard"), F.array().cast(out).alias("out"))
+    run.__annotations__ = {"topics": pd.Series, "sizes": pd.Series, "return": pd.Series}
+    packs = F.pandas_udf(run, "array<struct<pack:int,hard:boolean>>")
+    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", F.col("topic").cast("int").alias("topic"), F.col("n_tokens").cast("int").alias("n")))).alias("s"))
+    placed = listed.withColumn("p", packs(F.transform("s", lambda x: x["topic"]), F.transform("s", lambda x: x["n"])))
+    packed = placed.select(*by, F.explode(F.zip_with("s", "p", lambda s, p: F.struct(s["i"].alias("i"), p["pack"].alias("pack"), p["hard"].alias("hard")))).alias("z")).select(*by, "z.i", "z.pack", "z.hard")
+    return rows.join(packed, [*by, "i"])
 
-    def cut(acc: Column, x: Column) -> Column:
-        whole = x["total"] <= high
-        hard = ~whole & (x["n"] > high)
-        fresh = (x["g"] != acc["g"]) | (~whole & (hard | acc["hard"] | (acc["size"] + x["n"] > high)))
-        pack = acc["pack"] + F.when(fresh, 1).otherwise(0)
-        row = F.struct(x["i"].cast("int").alias("i"), pack.alias("pack"), hard.alias("hard"))
-        return F.struct(x["g"].alias("g"), pack.alias("pack"), (F.when(fresh, 0).otherwise(acc["size"]) + x["n"]).alias("size"), hard.alias("hard"), F.array_append(acc["out"], row).alias("out"))
 
-    packed = merged.select(*by, F.explode(F.aggregate("t", start, cut, lambda a: a["out"])).alias("p")).select(*by, "p.i", "p.pack", "p.hard")
-    return rows.join(packed, [*by, "i"])
+def recursive_spans(text: str, size: int, overlap: int = 0) -> list[tuple[int, int]]:
+    """Spans of a text cut to at most `size` characters where its widest breaks allow it.
+
+    Breaks are tried from blank lines over line ends and blanks to single characters: a part that is
+    still too long behind one kind of break is cut at the next kind, a break stays with the part behind
+    it, and neighbouring parts are joined while they fit. A piece starts with as many of its predecessor's last
+    parts as make up at most `overlap` characters. White space around a piece isn't part of it, and its
+    place is where its text occurs first from `overlap` before its predecessor's end.
+    """
+    pieces: list[tuple[int, int]] = []
+
+    def join(parts: list[tuple[int, int]]) -> None:
+        held: list[tuple[int, int]] = []
+        total = 0
+        for begin, end in parts:
+            if total + end - begin > size and held:
+                pieces.append((held[0][0], held[-1][1]))
+                while total > overlap or (total + end - begin > size and total > 0):
+                    total -= held[0][1] - held[0][0]
+                    held.pop(0)
+            held.append((begin, end))
+            total += end - begin
+        if held:
+            pieces.append((held[0][0], held[-1][1]))
+
+    def cut(begin: int, end: int, breaks: tuple[str, ...]) -> None:
+        at = next((i for i, b in enumerate(breaks) if not b or text.find(b, begin, end) >= 0), len(breaks) - 1)
+        if breaks[at]:
+            marks = [begin]
+            found = text.find(breaks[at], begin, end)
+            while found >= 0:
+                marks.append(found)
+                found = text.find(breaks[at], found + len(breaks[at]), end)
+            marks.append(end)
+        else:
+            marks = list(range(begin, end + 1))
+        small: list[tuple[int, int]] = []
+        for part in zip(marks, marks[1:], strict=False):
+            if part[0] == part[1]:
+                continue
+            if part[1] - part[0] < size:
+                small.append(part)
+                continue
+            join(small)
+            small = []
+            if at + 1 < len(breaks):
+                cut(*part, breaks[at + 1 :])
+            else:
+                pieces.append(part)
+        join(small)
+
+    cut(0, len(text), ("\n\n", "\n", " ", ""))
+    out: list[tuple[int, int]] = []
+    index = last = 0
+    for begin, end in pieces:
+        body = text[begin:end].strip()
+        if body:
+            index = text.find(body, max(0, index + last - overlap))
+            last = len(body)
+            out.append((index, index + last))
+    return out
 
 
 def char_pieces(text: Column, size: int, overlap: int = 0) -> Column:
-    """Spans (start, end) of a text cut to at most `size` characters, preferably behind a blank
-    line, else a line end, else a blank, else anywhere; the next piece starts `overlap` before."""
-    spans = "array<struct<start:int,end:int>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
-
-    def step(acc: Column, _: Column) -> Column:
-        rest = F.substring(text, acc["at"] + 1, F.lit(size + 1))
-        window = F.substring(rest, 1, size)
-        reach = [F.length(F.regexp_extract(window, p, 0)) for p in (r"^[\s\S]*\n\n", r"^[\s\S]*\n", r"^[\s\S]*\s")]
-        length = F.when(F.length(rest) <= size, F.length(rest))
-        for r in reach:
-            length = length.when(r > overlap, r)
-        length = length.otherwise(F.lit(size))
-        row = F.struct(acc["at"].alias("start"), (acc["at"] + length).alias("end"))
-        done = acc["at"] + length >= F.length(text)
-        return F.when(acc["at"] < 0, acc).otherwise(F.struct(F.when(done, -1).otherwise(acc["at"] + length - overlap).alias("at"), F.array_append(acc["out"], row).alias("out")))
-
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)))  # each step moves on by a character at least
-    return F.filter(F.aggregate(steps, begin, step, lambda a: a["out"]), lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]).rlike(r"\S"))
+    """recursive_spans of a text column, as structs (start, end). Only texts that are cut by characters come here."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else [{"start": a, "end": b} for a, b in recursive_spans(t, size, overlap)])
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<start:int,end:int>>")(text)
 
 
 def overlap_start(text: Column, section_start: Column, start: Column, config: Config = DEFAULT) -> Column:
@@ -112,25 +168,28 @@ def fixed_spans(sections: DataFrame, texts: DataFrame, config: Config = DEFAULT)
     return rows.select("doc_id", "section_index", "n", (F.col("_s") + F.col("p.start")).alias("start"), (F.col("_s") + F.col("p.end")).alias("end"))
 
 
-def semantic_spans(sections: DataFrame, texts: DataFrame, embedder=None, config: Config = DEFAULT) -> DataFrame:
-    """doc_id, section_index, n, start, end with overlap. Without vectors (no embedder, or one that
-    fails when asked) a section is one topic, and only the token bounds cut it."""
-    from ..models import EmbeddingError
+def semantic_spans(sections: DataFrame, texts: DataFrame, embedder=None, config: Config = DEFAULT, count=token_count) -> DataFrame:
+    """doc_id, section_index, n, start, end with overlap. Without vectors (no embedder, one that fails
+    when asked, or one that fails in a worker for any sentence of the document) a section is one topic, and
+    only the token bounds cut it."""
+    from ..models import EmbeddingError, or_null
 
     keys = ["doc_id", "section_index"]
     body = sections.join(texts.select("doc_id", "text"), "doc_id")
     alone = F.col("header").isNotNull() & (strip(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))) == F.col("header"))
     kept = body.where(~F.coalesce(alone, F.lit(False))).select(*sections.columns)
-    spans = stage(sentence_spans(kept, texts), "sentences")
+    spans = stage(sentence_spans(kept, texts, count), "sentences")
     try:
-        vector = embedder.embed(strip(F.col("sentence"))) if embedder is not None else None
+        vector = or_null(embedder).embed(strip(F.col("sentence"))) if embedder is not None else None
     except EmbeddingError:
         vector = None
     if vector is None:
         grouped = spans.withColumn("topic", F.lit(0))
     else:
-        grouped = topic_groups(neighbour_distance(spans.withColumn("vector", vector), keys, "i"), keys, "i", config).drop("vector", "dist")
-        grouped = stage(grouped, "topics")  # used twice below; the vectors are made once
+        apart = stage(neighbour_distance(spans.withColumn("vector", vector).withColumn("_failed", F.col("vector").isNull()), keys, "i").drop("vector"), "distances")  # the vectors are made once
+        failed = apart.where("_failed").select("doc_id").distinct().withColumn("_whole", F.lit(True))
+        known = apart.join(failed, "doc_id", "left").withColumn("dist", F.when(F.col("_whole").isNull(), F.col("dist"))).drop("_failed", "_whole")
+        grouped = stage(topic_groups(known, keys, "i", config).drop("dist"), "topics")
     packed = pack_sentences(grouped, keys, config)
     runs = packed.groupBy(*keys, "pack").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("hard").alias("hard"))
     runs = runs.join(texts.select("doc_id", "text"), "doc_id").join(kept.select(*keys, F.col("start").alias("_section")), keys)
@@ -142,23 +201,31 @@ def semantic_spans(sections: DataFrame, texts: DataFrame, embedder=None, config:
     return numbered.select(*keys, "n", F.when(F.col("n") > 0, overlap_start(F.col("text"), F.col("_section"), F.col("start"), config)).otherwise(F.col("start")).alias("start"), "end")
 
 
+def section_counts(sections: DataFrame) -> DataFrame:
+    """doc_id, n_sections, n_headed: the sections found, and those with a heading."""
+    return sections.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.count_if(F.col("header").isNotNull()).alias("n_headed"))
+
+
 def chunk_id(doc_id: Column, page: Column, section: Column, number: Column) -> Column:
     padded = F.when(number < 10000, F.lpad(number.cast("string"), 4, "0")).otherwise(number.cast("string"))
     return F.concat(doc_id, F.lit("_p"), F.coalesce(page.cast("string"), F.lit("0")), F.lit("_s"), section.cast("string"), F.lit("_"), padded)
 
 
-def chunk_table(documents: DataFrame, pages: DataFrame, embedder=None, config: Config = DEFAULT) -> DataFrame:
-    """The chunk schema from documents(doc_id, source_file) and their clean pages."""
+def chunk_table(documents: DataFrame, pages: DataFrame, embedder=None, config: Config = DEFAULT, counter=None) -> DataFrame:
+    """The chunk schema from documents(doc_id, source_file) and their clean pages.
+
+    counter: the token counter of the model that will read the chunks (models.TokenCounter)."""
     from .clean import attribute_pages, document_text, page_spans
     from .outline import sections
 
     texts = stage(document_text(pages), "texts")
+    count = counter.count if counter is not None else token_count
     parts = stage(sections(texts, config), "sections")
-    spans = semantic_spans(parts, texts, embedder, config) if config.semantic_chunking else fixed_spans(parts, texts, config)
+    spans = semantic_spans(parts, texts, embedder, config, count) if config.semantic_chunking else fixed_spans(parts, texts, config)
     body = spans.join(texts.select("doc_id", "text"), "doc_id").join(parts.select("doc_id", "section_index", "header"), ["doc_id", "section_index"])
     body = body.withColumn("chunk_text", strip(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))).where("chunk_text <> ''").drop("text")
     w = Window.partitionBy("doc_id").orderBy("section_index", "n")
     body = body.withColumn("span_id", F.row_number().over(w) - 1)
     placed = attribute_pages(body, page_spans(pages)).join(documents.select("doc_id", "source_file"), "doc_id")
     ident = chunk_id(F.col("doc_id"), F.col("page_number"), F.col("section_index"), F.col("span_id"))
-    return placed.select(ident.alias("chunk_id"), "doc_id", "source_file", "chunk_text", F.col("start").alias("char_start"), F.col("end").alias("char_end"), token_count(F.col("chunk_text")).alias("token_count"), "page_number", F.col("header").alias("section_header"), F.col("span_id").cast("long").alias("ord"))
+    return placed.select(ident.alias("chunk_id"), "doc_id", "source_file", "chunk_text", F.col("start").alias("char_start"), F.col("end").alias("char_end"), count(F.col("chunk_text")).cast("int").alias("token_count"), "page_number", F.col("header").alias("section_header"), F.col("span_id").cast("long").alias("ord"))

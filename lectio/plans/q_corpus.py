@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import answer, clean, outline, retrieval, segment
 from ..sources import store
+from ..sources.files import read_table
+from ..sources.staging import stage
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -28,7 +30,7 @@ def query(sql: str):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _long(*names: str):
@@ -78,6 +80,21 @@ def q_sentences(spark, sf_dir):
     return _sentences(spark, sf_dir).select("doc_id", *_long("i", "start"), F.col("end").cast("long").alias("stop"), F.md5("sentence").alias("digest"))
 
 
+@query(rf"""
+WITH RECURSIVE {SENTENCES}, n AS MATERIALIZED (SELECT doc_id, i, len(regexp_extract_all(sentence, '{TOKEN}')) AS n FROM sentences),
+w AS MATERIALIZED (SELECT doc_id, i, n, sum(n) OVER (PARTITION BY doc_id) <= 512 AS whole FROM n),
+p(doc_id, i, size, pack, hard) AS (
+  SELECT doc_id, i, CAST(n AS BIGINT), CAST(0 AS BIGINT), NOT whole AND n > 512 FROM w WHERE i = 0
+  UNION ALL SELECT w.doc_id, w.i, CASE WHEN NOT whole AND (n > 512 OR hard OR size + n > 512) THEN 0 ELSE size END + n, pack + CAST(NOT whole AND (n > 512 OR hard OR size + n > 512) AS BIGINT), NOT whole AND n > 512
+  FROM p JOIN w ON w.doc_id = p.doc_id AND w.i = p.i + 1)
+SELECT doc_id, i, pack, hard FROM p
+""")
+def q_packing_corpus(spark, sf_dir):
+    """Every document as one section of one topic: the token bounds alone cut it."""
+    rows = _sentences(spark, sf_dir).withColumn("topic", F.lit(0))
+    return segment.pack_sentences(rows, ["doc_id", "section_index"]).select("doc_id", *_long("i", "pack"), "hard")
+
+
 @query(r"""
 WITH a AS (SELECT doc_id, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', ' ', 'g') AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(t, '[ \t]+', ' ', 'g') AS t FROM a),
@@ -108,7 +125,7 @@ def q_doc_id(spark, sf_dir):
 
 
 FOLLOW_UP = r"""
-SELECT conv_id, turn, len(w) > 0 AND (w[1] IN ('and', 'but', 'or', 'so', 'then', 'also', 'plus') OR len(w) <= 4 OR len(list_intersect(w, string_split('it its they them their that those this these he him his she her one ones there both former latter same other another', ' '))) > 0) AS follows
+SELECT conv_id, turn, len(w) > 0 AND (w[1] IN ('and', 'but', 'or', 'so', 'then', 'also', 'plus') OR len(w) <= 4 OR len(list_intersect(w, string_split('""" + " ".join(X.REFERRING_WORDS) + r"""', ' '))) > 0) AS follows
 FROM (SELECT conv_id, turn, list_transform(list_filter(string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+'), lambda x: x <> ''), lambda x: lower(trim(x, '.,!?;:'))) AS w FROM conversations)
 """
 
@@ -144,6 +161,17 @@ def q_line_recurrence(spark, sf_dir):
     return clean.line_recurrence(_pages(spark, sf_dir)).select("doc_id", F.md5("key").alias("key"), "pages_with")
 
 
+@query(rf"""
+WITH {PAGES}, t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+'))) AS t FROM pg), v AS (SELECT DISTINCT doc_id, t FROM t WHERE regexp_full_match(t, '[a-z]{{2,}}|[a-z]+-[a-z]+'))
+SELECT doc_id, count(*) FILTER (NOT contains(t, '-')) AS n_words, count(*) FILTER (contains(t, '-')) AS n_pairs, md5(string_agg(t, ',' ORDER BY t)) AS digest FROM v GROUP BY doc_id
+""")
+def q_vocabulary_corpus(spark, sf_dir):
+    """What each source writes: its words and hyphenated pairs."""
+    found = clean.vocabulary(_pages(spark, sf_dir))
+    every = F.array_sort(F.concat("words", "pairs"))
+    return found.select("doc_id", F.size("words").cast("long").alias("n_words"), F.size("pairs").cast("long").alias("n_pairs"), F.md5(F.array_join(every, ",")).alias("digest")).where("n_words + n_pairs > 0")
+
+
 @query(f"WITH {PAGES} SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY page_number)) AS digest, count(*) AS page_count FROM pg GROUP BY doc_id")
 def q_document_text(spark, sf_dir):
     return clean.document_text(_pages(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"), F.col("page_count").cast("long").alias("page_count"))
@@ -159,12 +187,13 @@ def q_page_spans(spark, sf_dir):
 
 # ------------------------------------------------------------------ search
 
-BM25 = f"""
-tok AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM documents),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL),
+STATS = f"""
+tok AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM documents),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL),
 n AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM tok),
-raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM n) - count(*) + CAST(0.5 AS DOUBLE)) - ln(count(*) + CAST(0.5 AS DOUBLE)) AS raw FROM tf GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN CAST(0.25 AS DOUBLE) * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+raw AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n FROM n) - count(*) + CAST(0.5 AS DOUBLE)) - ln(count(*) + CAST(0.5 AS DOUBLE)) AS raw FROM tf GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN CAST(0.25 AS DOUBLE) * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+BM25 = f"""{STATS},
 ask AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM benchmark) GROUP BY ALL),
 bm AS (SELECT query_id, doc_id AS chunk_id, round(sum(qtf * idf * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len(t) / (SELECT avg_len FROM n)))), 9) AS score
   FROM ask JOIN idf USING (term) JOIN tf USING (term) JOIN tok USING (doc_id) GROUP BY ALL),
@@ -203,7 +232,7 @@ def _rankings(spark, sf_dir):
     return dense.unionByName(sparse)
 
 
-@query(f"WITH {BM25} SELECT md5(term) AS term, df, round(idf, 6) AS idf FROM idf")
+@query(f"WITH {STATS} SELECT md5(term) AS term, df, round(idf, 6) AS idf FROM idf")
 def q_bm25_stats(spark, sf_dir):
     return retrieval.term_stats(_chunks(spark, sf_dir)).select(F.md5("term").alias("term"), "df", F.round("idf", 6).alias("idf"))
 
@@ -239,9 +268,17 @@ def q_hybrid_topk(spark, sf_dir):
     return found.select("query_id", *_long("rank"), "chunk_id", F.round("fused_score", 6).alias("fused"))
 
 
-@query("")
+CONTENT = rf"""list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(%s, '\[\d+(?:\s*,\s*\d+)*\]', ' ', 'g')), '{WORD}'), lambda x: NOT list_contains(string_split('{" ".join(X.FUNCTION_WORDS)}', ' '), x)))"""
+
+
+@query(f"""
+WITH {RANKINGS}, {MERGED}, top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen, chunk_id) AS rank, chunk_id FROM m QUALIFY rank <= 20),
+w AS (SELECT query_id, rank, chunk_id, {CONTENT % "q.text"} AS a, {CONTENT % "d.text"} AS c FROM top JOIN benchmark q ON q.item_id = query_id JOIN documents d ON d.doc_id = chunk_id),
+s AS (SELECT query_id, rank, chunk_id, round(1 / (1 + exp(-(8 * (len(list_intersect(a, c)) / CAST(greatest(1, len(a)) AS DOUBLE)) - 4))), 9) AS score FROM w)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS final_rank, chunk_id, round(score, 6) AS score FROM s QUALIFY final_rank <= 5
+""")
 def q_rerank(spark, sf_dir):
-    """Rows only: the pair scorer is a stand-in."""
+    """The pair scorer is a stand-in (shared content words)."""
     from ..models import LexicalScorer
 
     found = retrieval.hybrid_search(_asked_vectors(spark, sf_dir), _questions(spark, sf_dir), _vectors(spark, sf_dir), _chunks(spark, sf_dir))
@@ -249,6 +286,17 @@ def q_rerank(spark, sf_dir):
     return retrieval.rerank(rows, LexicalScorer()).select("query_id", *_long("final_rank"), "chunk_id", F.round("rerank_score", 6).alias("score"))
 
 
+@query(f"WITH {BM25} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM sparse")
+def q_bm25_stored(spark, sf_dir):
+    """As q_bm25_topk, from postings, term statistics and totals that are written first."""
+    tokens = stage(retrieval.token_table(_chunks(spark, sf_dir)), "tokens")
+    lists = stage(retrieval.postings(tokens).sortWithinPartitions("term"), "postings")
+    totals = stage(retrieval.totals_of(tokens), "totals")
+    terms = stage(retrieval.idf(lists.groupBy("term").agg(F.count("*").alias("df")), totals.select("n")), "terms")
+    found = retrieval.KeywordIndex(lists, terms, totals).search(_questions(spark, sf_dir))
+    return found.select("query_id", *_long("rank"), "chunk_id", F.round("score", 6).alias("score"))
+
+
 # ------------------------------------------------------------------ vectors
 
 

@@ -50,6 +50,45 @@ def q_load_documents(spark, sf_dir):
     return pages.join(documents, "doc_id").select("source_file", *_long("page_number"), "text")
 
 
+TWINS = [("notes.txt", b"first file"), ("notes.txt", b"second file\x0cits page"), ("other.md", b"line a\nline b"), ("other.md", b"line a\nline b"), ("bad.docx", b"x"), ("bad.docx", b"x")]
+
+
+@query("""SELECT source_file, CAST(page_number AS BIGINT) AS page_number, text FROM (VALUES ('notes.txt', 1, 'first file'), ('notes.txt', 1, 'second file'), ('notes.txt', 2, 'its page'), ('other.md', 1, 'line a' || chr(10) || 'line b')) t(source_file, page_number, text)""")
+def q_load_twins(spark, sf_dir):
+    """Files of one name with different contents are two documents, a file given twice is one."""
+    documents, pages, _ = files.load(files.from_bytes(spark, TWINS))
+    return pages.join(documents, "doc_id").select("source_file", *_long("page_number"), "text")
+
+
+class _Pages:
+    """An extractor whose pages are the file's lines; it fails on contents that hold `poison`."""
+
+    def __init__(self, poison: bytes, damage: bool = False):
+        self.poison, self.damage = poison, damage
+
+    def pages(self, content: bytes, name: str) -> list[str]:
+        if self.poison in content:
+            raise OSError("unreadable")
+        return [line.replace(" ", "") if self.damage else line for line in content.decode().split("|")]
+
+
+@query("""SELECT source_file, CAST(page_number AS BIGINT) AS page_number, text FROM (VALUES ('a.pdf', 1, 'some words that ran together'), ('a.pdf', 2, 'ok'), ('b.pdf', 1, 'fallback only'), ('a.pdf', 1, 'anotherfile')) t(source_file, page_number, text)""")
+def q_load_pdfs(spark, sf_dir):
+    """Two extractors: damaged pages come from the second, as do files that the first can't read."""
+    rows = [("a.pdf", b"some words that ran together|ok"), ("a.pdf", b"another file"), ("b.pdf", b"fallback only"), ("b.pdf", b"fallback only")]
+    first, second = _Pages(b"fallback", damage=True), _Pages(b"never")
+    documents, pages, _ = files.load(files.from_bytes(spark, rows), [first, second])
+    return pages.join(documents, "doc_id").select("source_file", *_long("page_number"), "text")
+
+
+@query("""SELECT name, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM (VALUES ('lines', 0, 9), ('lines', 11, 20), ('words', 0, 9), ('words', 10, 18), ('run', 0, 10), ('run', 10, 14), ('back', 0, 8), ('back', 6, 11), ('back', 9, 14)) t(name, start, stop)""")
+def q_hard_split(spark, sf_dir):
+    """Ten characters at most: at blank lines, then blanks, then anywhere; the last one eight at most, with an overlap of four."""
+    rows = spark.createDataFrame([("lines", "para one.\n\npara two."), ("words", "alpha bet gamma de"), ("run", "abcdefghijklmn"), ("back", "aa bb cc dd ee")], "name string, text string")
+    spans = F.when(F.col("name") == "back", segment.char_pieces(F.col("text"), 8, 4)).otherwise(segment.char_pieces(F.col("text"), 10))
+    return rows.select("name", F.explode(spans).alias("p")).select("name", F.col("p.start").cast("long").alias("start"), F.col("p.end").cast("long").alias("stop"))
+
+
 @query("""SELECT doc_id, CAST(page_number AS BIGINT) AS page_number, text FROM (VALUES ('d', 1, 'one'), ('d', 2, ' '), ('d', 3, 'three'), ('e', 1, 'single')) t(doc_id, page_number, text)""")
 def q_paginate(spark, sf_dir):
     rows = spark.createDataFrame([("d", "one\f \fthree"), ("e", "single")], "doc_id string, text string")
@@ -95,16 +134,16 @@ def q_furniture_guard(spark, sf_dir):
 HYPHENS = [
     ("a", 1, "Convolutional nets. A convolu-\ntional layer."),
     ("b", 1, "A position-wise map. It is position-\nwise."),
-    ("c", 1, "Source code and target code. The source-\ntarget pair."),
+    ("c", 1, "Sugar rolls and honey rolls. The sugar-\nhoney glaze."),
     ("d", 1, "It was repre-\nsented well."),
-    ("e", 1, "The Dot-\nProduct stays."),
+    ("e", 1, "The Half-\nMoon stays."),
     ("f", 1, "An a-\nbb-\ncc chain."),
 ]
 
 
 @query("""
-SELECT doc_id, text FROM (VALUES ('a', 'Convolutional nets. A convolutional layer.'), ('b', 'A position-wise map. It is position-wise.'), ('c', 'Source code and target code. The source-target pair.'),
-('d', 'It was represented well.'), ('e', 'The Dot-' || chr(10) || 'Product stays.'), ('f', 'An abb-' || chr(10) || 'cc chain.')) t(doc_id, text)
+SELECT doc_id, text FROM (VALUES ('a', 'Convolutional nets. A convolutional layer.'), ('b', 'A position-wise map. It is position-wise.'), ('c', 'Sugar rolls and honey rolls. The sugar-honey glaze.'),
+('d', 'It was represented well.'), ('e', 'The Half-' || chr(10) || 'Moon stays.'), ('f', 'An abb-' || chr(10) || 'cc chain.')) t(doc_id, text)
 """)
 def q_dehyphenate(spark, sf_dir):
     return clean.rejoin_hyphens(spark.createDataFrame(HYPHENS, "doc_id string, page_number int, text string")).select("doc_id", "text")
@@ -128,7 +167,7 @@ def q_page_attribution(spark, sf_dir):
 
 LINES = [
     "# Step one", "# Step 1", "1 Introduction", "1.2. Related Work", "3 Phase 2", "Contents ..... 4", "Figure 1 shows", "2 Figure of merit", "100 Big Number",
-    "4 see http://x.org", "SYSTEM OVERVIEW", "AAL1 AAL2 AAL3", "NOTE: BE CAREFUL NOW", "5 This heading ends with and", "6 Ends with a stop.", "7 lower case title",
+    "4 see http://x.org", "SYSTEM OVERVIEW", "KX1 KX2 KX3", "NOTE: BE CAREFUL NOW", "5 This heading ends with and", "6 Ends with a stop.", "7 lower case title",
     "One two three four five six seven eight nine ten eleven twelve thirteen", "  2.1 Indented Title", "8 X1",
 ]
 

@@ -1,17 +1,20 @@
 """Whole flows, degradation, storage, splits and streaming."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lectio.config import Config, embedding_dimension
 from lectio.functions import text as X
-from lectio.models import EmbeddingError, ExtractiveChat, HashingEmbedder, LexicalScorer, RerankerUnavailable, is_transient, with_retry
-from lectio.operators import clean, retrieval, segment
-from lectio.plans.pipeline import answer, bootstrap, index_files
+from lectio.models import EmbeddingError, ExtractiveChat, HashingEmbedder, LexicalScorer, PairModel, RankTokenCounter, RegexTokenCounter, Reply, RerankerUnavailable, VectorModel
+from lectio.models import batched_embedding, get_chat, get_embedder, is_transient, register_embedder, with_retry
+from lectio.operators import clean, outline, retrieval, segment
+from lectio.plans.pipeline import answer, bootstrap, index_batch, index_files
 from lectio.sources import files
-from lectio.sources.store import Index, IndexProviderMismatch
+from lectio.sources.store import History, Index, IndexProviderMismatch
 
 GUIDE = b"1 Cats\nCats purr when they are calm. They sleep a lot.\n2 Dogs\nDogs bark at night. A dog guards the house.\n"
 FISH = b"Fish swim in the sea. Herring move in large schools."
@@ -102,8 +105,166 @@ def test_character_pieces(spark):
     text = "para one\n\n" + "word " * 60 + "x" * 150
     row = spark.createDataFrame([(text,)], "t string").select(segment.char_pieces(F.col("t"), 100).alias("p"), segment.char_pieces(F.col("t"), 100, 20).alias("o")).first()
     assert all(s.end - s.start <= 100 for s in [*row.p, *row.o])
-    assert "".join(text[s.start : s.end] for s in row.p) == text
-    assert all(b.start <= a.end for a, b in zip(row.o, row.o[1:])) and row.o[-1].end == len(text)
+    assert " ".join(text[s.start : s.end] for s in row.p).split() == text[:-51].split() + [text[-51:]]  # white space is left out, the long word cut once
+    assert any(b.start < a.end for a, b in zip(row.o, row.o[1:])) and row.o[-1].end == len(text)
+
+
+class Flaky:
+    """Models that fail in a worker for texts with "poison"."""
+
+    dimension = 8
+
+    def __init__(self, on_error="raise"):
+        self.on_error = on_error
+
+    def or_null(self):
+        return Flaky("null")
+
+    def embed(self, text):
+        def vectors(texts):
+            if any("poison" in t for t in texts):
+                raise ValueError("no vectors for this")
+            return np.array([[len(t), *[t.count(c) for c in "aeioust"]] for t in texts], float)
+
+        return batched_embedding(vectors, on_error=self.on_error)(text)
+
+
+def test_failures_in_a_worker_stay_with_their_document(spark, tmp_path):
+    texts = spark.createDataFrame([("a", "One two. Three four. " * 60), ("b", "One poison. Three four. " * 60)], "doc_id string, text string")
+    parts = texts.select("doc_id", F.lit(0).alias("section_index"), F.lit(None).cast("string").alias("header"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    spans = segment.semantic_spans(parts, texts, Flaky()).collect()
+    plain = segment.semantic_spans(parts, texts, None).collect()
+    assert sorted((r.start, r.end) for r in spans if r.doc_id == "b") == sorted((r.start, r.end) for r in plain if r.doc_id == "b")
+    at = Index(spark, str(tmp_path / "ix"), dimension=8)
+    batch = files.from_bytes(spark, [("good.txt", FISH), ("bad.txt", b"This is poison."), ("x.docx", b"x"), ("blank.md", b" ")])
+    got = {r.name: (r.n_chunks, r.error) for r in index_batch(batch, at, Flaky()).collect()}
+    assert got == {"good.txt": (1, None), "bad.txt": (None, "EmbeddingError"), "x.docx": (None, "UnsupportedDocumentError"), "blank.md": (None, "EmptyDocumentError")}
+    assert at.count() == 1 and not at.needs_rebuild()
+
+
+def test_pair_models(spark):
+    rows = spark.createDataFrame([(q, "ask", i, t, i) for q, t0 in ((1, "text"), (2, "poison")) for i, t in enumerate(["a", t0, "ccc"], 1)], "query_id long, question string, chunk_id long, text string, rank int")
+
+    def make():
+        def predict(pairs):
+            assert len(pairs) <= 2
+            if any(t == "poison" for _, t in pairs):
+                raise MemoryError("too much")
+            return [len(t) for _, t in pairs]
+
+        return predict
+
+    got = retrieval.rerank(rows.coalesce(1), PairModel(make, Config(rerank_batch_size=2)), k=2).collect()
+    assert {(r.query_id, r.final_rank, r.chunk_id) for r in got} == {(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 2)}
+    assert all(r.rerank_score is None for r in got if r.query_id == 2) and round(got[0].rerank_score, 6) == round(1 / (1 + np.exp(-4)), 6)
+
+    def missing():
+        raise RerankerUnavailable("no model")
+
+    assert [r.chunk_id for r in retrieval.rerank(rows, PairModel(missing), k=1).collect()] == [1, 1]
+
+
+def test_judges_reply_that_was_cut_off(spark, index):
+    class Judge:
+        def __init__(self, reason):
+            self.reason = reason
+
+        def invoke(self, system, user):
+            return Reply("SUPPORTED one", self.reason)
+
+    asked = spark.createDataFrame([(1, "When do cats purr?")], "query_id long, question string")
+    method = lambda reason: answer(asked, index, HashingEmbedder(64), ExtractiveChat(), judge=Judge(reason), mode="none").first().grounding_method
+    assert (method("stop"), method("length")) == ("judge", "overlap")
+
+
+def test_factories(spark):
+    assert get_embedder("hashing") is get_embedder("hashing") and get_chat() is get_chat()
+    assert get_chat("extractive", 100) is not get_chat("extractive", 200)
+    for call in (lambda: get_embedder("nobody"), lambda: get_embedder("remote")):
+        with pytest.raises(EmbeddingError):
+            call()
+    register_embedder("tiny", lambda c: VectorModel(lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]), 2, c))
+    row = spark.createDataFrame([("abc",)], "t string").select(get_embedder("tiny").embed(F.col("t")).alias("v")).first()
+    assert np.allclose(row.v, [3 / 10**0.5, 1 / 10**0.5])
+    local = get_embedder("local").or_null()  # the library is missing here: nulls
+    assert spark.createDataFrame([("abc",)], "t string").select(local.embed(F.col("t")).alias("v")).first().v is None
+
+
+def test_token_counters(spark):
+    public = pytest.importorskip("public_tokenizers")
+    counter = RankTokenCounter(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    text = "Unbelievable tokenisation happens here. " * 40
+    rows = spark.createDataFrame([("d", 1, text)], "doc_id string, page_number int, text string")
+    docs = spark.createDataFrame([("d", "d.txt")], "doc_id string, source_file string")
+    by_words, by_ranks = (segment.chunk_table(docs, rows, counter=c).collect() for c in (RegexTokenCounter(), counter))
+    assert sum(r.token_count for r in by_ranks) > sum(r.token_count for r in by_words)
+
+
+def test_history(spark, tmp_path):
+    past = History(spark, str(tmp_path / "h"))
+    assert past.turns().count() == 0
+    turns = lambda *rows: spark.createDataFrame(rows, "conv_id long, question string, answer string")
+    past.append(turns((1, "a", "b"), (2, "c", "d")))
+    past.append(turns((1, "e", "f")))
+    assert sorted((r.conv_id, r.turn_no, r.question) for r in past.turns().collect()) == [(1, 1, "a"), (1, 2, "e"), (2, 1, "c")]
+    past.clear(1)
+    assert [r.conv_id for r in past.turns().collect()] == [2]
+    past.append(turns((1, "g", "h")))
+    assert sorted((r.conv_id, r.turn_no) for r in past.turns().collect()) == [(1, 1), (2, 1)]
+
+
+def test_index_states(spark, tmp_path):
+    at = Index(spark, str(tmp_path / "ix"), dimension=64, model="m1", config=Config(collection="c1"))
+    many = [(f"f{i}.txt", f"Text number {i} about topic {i % 3}.".encode()) for i in range(12)]
+    index_files(files.from_bytes(spark, many), at, HashingEmbedder(64))
+    assert at.meta() == {"provider": "hashing", "dimension": 64, "model": "m1", "collection": "c1"}
+    first = {r.chunk_id: r.ord for r in at.chunks.collect()}
+    assert sorted(first.values()) == list(range(12))  # one number for each chunk, whatever its document
+    before = at.chunks  # a reader at work
+    index_files(files.from_bytes(spark, [("more.txt", b"Another text.")]), at, HashingEmbedder(64))
+    assert before.count() == 12 and at.count() == 13 and {r.chunk_id: r.ord for r in at.chunks.collect()}.items() >= first.items()
+    asked = spark.createDataFrame([(1, "Another topic")], "query_id long, text string")
+    rows = at.chunks.select(F.col("ord").alias("chunk_id"), "ord", F.col("chunk_text").alias("text"))
+    want = [tuple(r) for r in retrieval.bm25_search(asked, rows).orderBy("rank").collect()]
+    assert want and [tuple(r) for r in retrieval.bm25_search(asked, at.keywords).orderBy("rank").collect()] == want
+    at.delete(at.chunks.where("source_file = 'more.txt'").first().doc_id)
+    assert at.count() == 12 and not at.needs_rebuild()
+    out = tmp_path / "out.json"
+    record = lambda **x: json.dumps({"chunk_id": "k", "doc_id": "d", "ord": 1, **x})
+    out.write_text("\n".join([record(chunk_text="old", page_number=3), record(chunk_text="new")]))
+    assert [(r.chunk_text, r.page_number) for r in at.import_jsonl(str(out)).collect()] == [("new", None)]
+
+
+def test_dense_search_in_bands(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(60, 5)))]
+    vectors = spark.createDataFrame(rows, "chunk_id long, ord long, vector array<double>")
+    asked = vectors.select(F.struct("chunk_id", F.lit(2000).alias("variant")).alias("query_id"), "vector")
+    one = sorted(map(repr, retrieval.dense_search(asked, vectors, 3).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BAND", 7)
+    assert one == sorted(map(repr, retrieval.dense_search(asked, vectors, 3).collect())) and len(one) == 180
+
+
+def test_longest_chain():
+    rng = random.Random(3)
+    for _ in range(400):
+        numbers = [tuple(rng.randrange(1, 6) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(12))]
+        length, back = [], []
+        for i, n in enumerate(numbers):
+            before = [(length[j], -j) for j in range(i) if outline.follows(numbers[j], n)]
+            top = max(before, default=(0, 1))
+            length.append(top[0] + 1)
+            back.append(-top[1])
+        want, at = [], length.index(max(length)) if length else -1
+        while at >= 0:
+            want.append(at)
+            at = back[at]
+        assert outline.longest_chain(numbers) == want[::-1]
+
+
+def test_section_counts(spark):
+    parts = spark.createDataFrame([("d", 0, None), ("d", 1, "H"), ("e", 0, None)], "doc_id string, section_index int, header string")
+    assert sorted(map(tuple, segment.section_counts(parts).collect())) == [("d", 2, 1), ("e", 1, 0)]
 
 
 def test_bm25_on_one_chunk_finds_nothing(spark):
