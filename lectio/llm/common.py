@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import re
 import uuid
@@ -12,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..sources.files import read_table as read_parquet
+
 #: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
 LOCAL_STAGE = "file:///tmp/checkpoints"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -47,7 +50,8 @@ def join_by_size(rows: DataFrame, side: DataFrame, keys: list[str], size: str, t
     """rows.join(side, keys), where side has one row per key and says in `size` how many rows have it.
 
     Keys with more than a 10,000th of all `total` rows are met by broadcast (there are fewer than
-    10,000 such), so that no task gets all rows of a common key. side should be a written table.
+    10,000 such), so that no task gets all rows of a common key. side is read three times: a written
+    table, or an aggregate whose shuffle Spark reuses.
     """
     common = F.col(size) > max(1000, total // 10_000)
     large = F.broadcast(side.where(common))
@@ -72,6 +76,19 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts at a time are Python strings; at the task's end
+    the worker, which lives on, gives its free memory back to the system."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def by_size(group: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
     """Consecutive groups of texts of about so many characters, one text at least."""
     part: list[str] = []

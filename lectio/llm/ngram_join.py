@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_by_size, read_table, stage, texts
+from .common import join_by_size, read_table, small, stage, texts, unstage
 from .graph import components
 from .tiles import each_group, forest, into_tiles
 
@@ -50,7 +50,7 @@ TARGET = 0.9999
 AGREE = 0.55
 #: Texts of a block in the prefix groups, and texts and characters of a block in verification.
 GROUP_BLOCK, VERIFY_BLOCK, VERIFY_CHARS = 1024, 384, 4_000_000
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 _WORD = re.compile(r"\w+")
 
 
@@ -106,7 +106,7 @@ def signature(shingle_set: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         sets = (shingles(t) for t in texts(b.column("_text")))
         yield pa.RecordBatch.from_arrays([b.column("key"), b.column("rep"), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()), b.column("chars")], ["key", "rep", "sig", "chars"])
 
@@ -230,13 +230,15 @@ def _matched(classes: DataFrame) -> DataFrame:
         asked = wanted.groupBy(run(d).alias("run")).agg(F.min("want").alias("least")).where(F.col("least") <= d)
         cut = cut.withColumn("run", run(d)).join(asked, "run", "left").withColumn("depth", F.when(F.col("depth").isNull() & F.col("least").isNotNull(), d).otherwise(F.col("depth"))).drop("run", "least")
     cut = cut.withColumn("depth", F.coalesce("depth", F.lit(LEVELS)))
-    return cut.select("node", F.xxhash64("tree", "depth", F.substring(F.col("trie"), F.lit(1), 2 * F.col("depth"))).alias("run"))
+    runs = stage(cut.select("node", F.xxhash64("tree", "depth", F.substring(F.col("trie"), F.lit(1), 2 * F.col("depth"))).alias("run")), "forest-runs")
+    unstage(members, wanted)
+    return runs
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the candidate classes' texts, once for each class and task."""
     seen: set[int] = set()
-    for b in batches:
+    for b in small(batches):
         node = b.column("node").to_pylist()
         fresh = [i for i, n in enumerate(node) if not (n in seen or seen.add(n))]
         text = b.column("_text")
@@ -246,7 +248,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets as what they add to and lack of their group's base set."""
-    for b in batches:
+    for b in small(batches):
         own, base = ([np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in ("set", "base"))
         more = pa.array([np.setdiff1d(s, o, assume_unique=True).tobytes() for s, o in zip(own, base, strict=True)], pa.binary())
         less = pa.array([np.setdiff1d(o, s, assume_unique=True).tobytes() for s, o in zip(own, base, strict=True)], pa.binary())
@@ -276,7 +278,7 @@ def ngram_jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     classes = rows.groupBy("key").agg(F.min("rep").alias("rep"), F.count("*").alias("copies"), F.max("sig").alias("sig"), F.max("chars").alias("chars"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "text-classes")
 
-    runs = stage(_matched(classes), "forest-runs")
+    runs = _matched(classes)
     sizes = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
     members = runs.join(sizes, "run").join(classes.select("node", "sig"), "node")
     tiles = into_tiles(members, F.ceil(F.col("n") / GROUP_BLOCK), F.xxhash64("node"))
@@ -285,6 +287,7 @@ def ngram_jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     # exact verification of all pairs in a candidate group
     found = stage(candidates.withColumnRenamed("component", "group").join(classes.select("node", "key", "rep", "copies", "chars"), "node"), "candidates")
+    unstage(runs)
     total = rows.count()
     weight = found.groupBy("group").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     blocks = F.greatest(F.ceil(F.col("n") / VERIFY_BLOCK), F.ceil(F.col("chars") / VERIFY_CHARS))
@@ -295,7 +298,9 @@ def ngram_jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     rid = lambda c: F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("rid")
     bodies = named.select("key", "doc_id", "_text", rid("doc_id")).join(found.select("*", rid("rep")).hint("merge"), ["key", "rid"]).where(F.col("doc_id").eqNullSafe(F.col("rep")))
     sets = bodies.select("group", "node", "copies", "blocks", "_text").mapInArrow(_sets, "group long, node long, copies long, blocks int, set binary")
-    verified = stage(_tiles_of(stage(sets, "candidate-sets")).mapInArrow(_verify, "node long, links long, a long, b long"), "verified")
+    sets = stage(sets, "candidate-sets")
+    verified = stage(_tiles_of(sets).mapInArrow(_verify, "node long, links long, a long, b long"), "verified")
+    unstage(sets, weight)
 
     links = verified.where(F.col("node").isNotNull()).groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(verified.where(F.col("a").isNotNull()).select("a", "b"))
