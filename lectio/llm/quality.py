@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_size, fit_in_task, held_out, read_table, texts, training_rows
+from .common import by_size, fit_in_task, held_out, read_table, small, texts, training_rows
 from .subword import Vocabulary, bucket, mix, scattered, sum_by
 
 #: Vectors of whole words and n-grams come first, those of bigrams after them.
@@ -179,7 +179,7 @@ def score_quality(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_score(shared.value, texts(b.column(1)), kept), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, score double")
@@ -192,7 +192,7 @@ def keep_quality(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array(_score(shared.value, texts(b.column(at)), kept) >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_size, fit_in_task, held_out, read_table, texts, training_rows
+from .common import by_size, fit_in_task, held_out, read_table, small, texts, training_rows
 from .subword import Vocabulary, scattered, sum_by
 
 WINDOW, STRETCH, CONTEXT = 32, 96, 16
@@ -47,7 +47,7 @@ EPOCHS, BATCH, TAKEN, RATE, VECTOR_RATE = 6, 24, 6, 0.01, 0.1
 #: Hardness of the soft maximum in the first and the last epoch.
 BETA = (1.0, 8.0)
 #: Words whose gate inputs a worker remembers, and stretches that are read at a time.
-REMEMBERED, BLOCK = 100_000, 256
+REMEMBERED, BLOCK = 60_000, 256
 #: Update gate's input for places outside a text: the state stays as it is.
 _STAY = 1e4
 _SPLIT = re.compile(r"\w+")
@@ -310,7 +310,8 @@ def _adagrad(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.
 
 def _calibrate(model: Model, group: list[str], labels: np.ndarray, rounds: int = 40) -> None:
     """Scale and shift of the highest logits, by Newton's method on the (regularised) logistic loss."""
-    z = Scorer(model).logits(group)
+    scorer = Scorer(model)
+    z = np.concatenate([scorer.logits(part) for part in by_size(group, 1_000_000)])
     good = np.isfinite(z)
     z, y = z[good], labels[good]
     middle, width = z.mean(), max(float(z.std()), 1e-6)
@@ -406,7 +407,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_score(shared.value, texts(b.column(1)), kept), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, score double")
@@ -419,7 +420,7 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array(_score(shared.value, texts(b.column(at)), kept) < limit))
 
     return docs.mapInArrow(run, docs.schema)
