@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import ByteBpe
-from .common import read_table, stage, texts
+from .common import read_table, small, stage, texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -90,27 +90,19 @@ class Tokens:
         if plain and all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(merges)) and sorted(vocab[c] for c in letters) == list(range(256)):
             special = {t["content"] for t in spec.get("added_tokens", ())}
             table = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
-            self.encode = ByteBpe(table).encode
+            self.encode, most = ByteBpe(table).encode, max(table.values())
         else:
             from tokenizers import Tokenizer
 
             whole = Tokenizer.from_file(path)
             whole.encode_special_tokens = True
-            self.encode = lambda text: whole.encode(text, add_special_tokens=False).ids
+            self.encode, most = lambda text: whole.encode(text, add_special_tokens=False).ids, whole.get_vocab_size()
+        self.short = max(most, END_ID) < 1 << 16  # whether two bytes hold an id
 
     def ids(self, text: str) -> bytes:
         return _packed(self.encode(text))
 
 
-def vocabulary_size(path: str) -> int:
-    """One more than the largest id of a tokenizers file."""
-    with open(path, encoding="utf8") as file:
-        spec = json.load(file)
-    vocab = spec["model"]["vocab"]
-    ids = vocab.values() if isinstance(vocab, dict) else range(len(vocab))
-    return 1 + max([END_ID, *ids, *(t["id"] for t in spec.get("added_tokens", ()))])
-
-
 _tokens: dict[str, Tokens] = {}
 
 
@@ -430,14 +422,14 @@ def place(table: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) ->
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, *, doc_id: str = "doc_id", text: str = "text", nodes: int = NODES, keep_ids: bool = False) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (, ids)."""
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (, ids), and for the whole
+    packing n_sequences and a proven lower bound of it, n_sequences_least: their difference is the search's gap."""
     path = tokenizer or default_tokenizer()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "_rank", "_task"] + ["ids"] * keep_ids
-    wide = 2 if vocabulary_size(path) <= 1 << 16 else 4  # bytes of an id on its way, where ids are kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen, task = load_tokens(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for b in batches:
+        for b in small(batches):
             rows: list[tuple] = []
             bodies: list[np.ndarray] = []
             for doc, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
@@ -447,7 +439,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
                     rows.append((doc, i, start, length, zlib.crc32(body), int(seen[length]), task))
                     seen[length] += 1
                     if keep_ids:
-                        bodies.append(np.frombuffer(body, "<u4").astype(f"<u{wide}").tobytes())
+                        bodies.append(np.frombuffer(body, "<u4").astype("<u2").tobytes() if tokens.short else body)
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             arrays = [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32()] + [pa.int64()] * 4 + [pa.int32()], strict=True)]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(bodies, pa.binary())] * keep_ids, names)
@@ -459,21 +451,23 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in per_task.groupBy("length").agg(F.sum("_n")).collect():
         counts[size] = n
-    table = layout(bin_completion(counts, capacity, nodes)[0])
+    patterns, least = bin_completion(counts, capacity, nodes)
+    table, bins = layout(patterns), sum(t for _, t in patterns)
 
-    def unpacked(column: pa.Array) -> pa.Array:
+    def unpacked(column: pa.Array, length: np.ndarray) -> pa.Array:
         bodies = column.to_pylist()
-        ends = np.cumsum([0, *map(len, bodies)], dtype=np.int64) // wide
-        return pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(bodies), f"<u{wide}").astype(np.int32)).cast(pa.list_(pa.int32()))
+        wide = len(bodies[0]) // int(length[0]) if bodies else 4  # a piece has its end id at least
+        return pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(length)], np.frombuffer(b"".join(bodies), f"<u{wide}").astype(np.int32)).cast(pa.list_(pa.int32()))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
             sequence, offset = place(table, length, rank)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset), *[unpacked(b.column(c)) for c in ["ids"] * keep_ids]], [*names[:5], "sequence_id", "offset", *["ids"] * keep_ids])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset), *[unpacked(b.column(c), length) for c in ["ids"] * keep_ids]], [*names[:5], "sequence_id", "offset", *["ids"] * keep_ids])
 
     ranked = pieces.join(per_task.select("length", "_task", before.alias("_before")), ["length", "_task"]).select(*names[:5], (F.col("_rank") + F.col("_before")).alias("_rank"), *["ids"] * keep_ids)
-    return ranked.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * keep_ids)
+    placed = ranked.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * keep_ids)
+    return placed.withColumns({"n_sequences": F.lit(bins).cast("long"), "n_sequences_least": F.lit(least).cast("long")})
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
