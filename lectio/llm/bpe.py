@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, texts
+from .common import read_table, small, texts
 
 #: White_Space of Unicode, as the split pattern's \s has it (Python's \s has U+001C to 1F besides).
 SPACES = "\t-\r \x85\xa0  -     　"
@@ -82,19 +82,19 @@ class ByteBpe:
         head, look, tail = public_tokenizers.PATTERN.partition(r"|\s+(?!\S)")
         if not look or tail != r"|\s+":
             raise ValueError("the split pattern isn't the one that parts() is made for")
-        self._core = tiktoken.Encoding("local", pat_str=head + tail, mergeable_ranks=table, special_tokens={})._core_bpe
+        self._coder = tiktoken.Encoding("local", pat_str=head + tail, mergeable_ranks=table, special_tokens={})
         self.digits = [str(i) for i in range(max(table.values()) + 1)]
 
     def encode(self, text: str) -> list[int]:
         if len(text) <= PART and not has_run(text):
-            return self._core.encode_ordinary(text)
+            return self._coder.encode_ordinary(text)
         out: list[int] = []
         for part in parts(text):
-            out += self._core.encode_ordinary(part)
+            out += self._coder.encode_ordinary(part)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        return self._core.decode_bytes(ids)
+        return self._coder.decode_bytes(ids)
 
 
 _loaded: dict[str, ByteBpe] = {}
@@ -113,7 +113,7 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, *, doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
-        for b in batches:
+        for b in small(batches):
             ids = [np.array(coder.encode(t), np.int32) for t in texts(b.column(1))]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
             rows = pa.LargeListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *ids])).cast(pa.list_(pa.int32()))
@@ -128,7 +128,7 @@ def decode_documents(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "content"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
@@ -141,7 +141,7 @@ def round_trip(docs: DataFrame, ranks: str | None = None, *, doc_id: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
         digits = coder.digits.__getitem__
-        for b in batches:
+        for b in small(batches):
             counts, ids_sha, out_sha = [], [], []
             for t in texts(b.column(1)):
                 ids = coder.encode(t)

@@ -30,6 +30,8 @@ from .common import read_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sampled keys for each key range, and the most ranges: their product bounds what the driver sees.
 SAMPLE_PER_RANGE, MOST_RANGES = 32, 4096
+#: Characters of a path that take part in a row's place, and of a sampled place that become a bound (host names are shorter).
+PATH_SHOWN, BOUND = 64, 384
 
 
 def url_host_path(url: Column) -> tuple[Column, Column]:
@@ -103,11 +105,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", *, p
     host, path = url_host_path(F.col(url))
     parsed = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     mix = F.lpad(F.hex(F.xxhash64("page_id", "host", "path")), 16, "0")
-    parsed = parsed.select("*", reversed_host(F.col("host")).alias("key")).select("*", F.concat_ws(" ", "key", "path", mix).alias("place"))
+    parsed = parsed.select("*", reversed_host(F.col("host")).alias("key")).select("*", F.concat_ws(" ", "key", F.substring("path", 1, PATH_SHOWN), mix).alias("place"))
 
     ranges = min(MOST_RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     share = max(1, parsed.count() // (SAMPLE_PER_RANGE * ranges))  # about SAMPLE_PER_RANGE * ranges keys come back
-    sample = sorted(r[0] for r in parsed.select("place").sample(1.0 / share, seed=7).collect())
+    sample = sorted(r[0] for r in parsed.select(F.substring("place", 1, BOUND)).sample(1.0 / share, seed=7).collect())
     bounds = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_by_size, read_table, stage
+from .common import join_by_size, read_table, stage, unstage
 from .graph import components
 from .tiles import each_group, forest
 
@@ -196,6 +196,7 @@ def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, *, vec_id: s
     as_d = blocks.withColumnRenamed("cell", "d").withColumnRenamed("s", "t").join(table, ["width", "d"]).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).where("c <> d or s < t")
     tiles = as_c.withColumn("_side", F.lit(0)).select(*cols).unionByName(as_d.withColumn("_side", F.lit(1)).select(*cols)).repartition("_tile").sortWithinPartitions("_tile", "_side")
     found = stage(tiles.mapInArrow(_tile(threshold), "node long, links long, a long, b long"), "vector-links")
+    unstage(cells, blocks)
 
     links = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where(F.col("a").isNotNull()).select("a", "b")).withColumnRenamed("component", "root")

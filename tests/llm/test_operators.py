@@ -91,7 +91,7 @@ def test_urls(spark, sf_dir):
     path = lambda: "/" + "/".join(rng.choice(["x", "y", "xy", ""]) for _ in range(rng.randrange(0, 4)))
     rules = list({(h, p): (h, p, rng.choice(["allow", "block"])) for h, p in ((host(), path()[: rng.randrange(0, 6)]) for _ in range(60))}.values())
     rules += [("org", "", "allow"), ("org", "", "block")] if not any(r[:2] == ("org", "") for r in rules) else []
-    urls = [f"http://{host()}{path()}" for _ in range(800)] + [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/ES/?q#f", "http://a.org?x", "://org", "http://É.org:80/x", "http://org./x", "http://x..org/", "http://a\nb.org/y\nz"] + ["http://hot.org/x"] * 500
+    urls = [f"http://{host()}{path()}" for _ in range(800)] + [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/ES/?q#f", "http://a.org?x", "://org", "http://É.org:80/x", "http://org./x", "http://x..org/", "http://a\nb.org/y\nz", "http://a.org/" + "x" * 5000, "http://" + "a." * 400 + "org/y"] + ["http://hot.org/x"] * 500
     table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"key": F.lit(1), "place": F.lit(2), "pid": F.lit(3), "kind": F.lit(4)})
     got = urlfilter.filter_urls(table, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
     assert len(got) == len(urls)
@@ -130,7 +130,7 @@ def test_personal_data_base():
     for _ in range(4000):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
         assert [s[:3] for s in pii.find_pii(text) if s[0] in pii.BASE_KINDS] == plain_base(text), text
-    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "a@" * 100_000, "1-" * 100_000):  # linear time
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "a@" * 100_000, "1-" * 100_000, "ab1" * 70_000, "key " + "a1b2c3-" * 30_000):  # linear time
         pii.find_pii(text)
 
 
@@ -138,6 +138,10 @@ def test_personal_data_more(spark, awkward, empty):
     assert [s[0] for s in pii.find_pii("IBAN GB82 WEST 1234 5698 7654 32 AND MORE")] == ["iban"]
     assert not pii.find_pii("code GB82 WEST 1234 5698 7654 33") and not pii.find_pii("range 123-45-6789")
     assert [s[0] for s in pii.find_pii("her SSN is 123-45-6789")] == ["ssn"]
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert pii.find_pii(f'token = "{key}"') == [("secret", 9, 49, 0.8)] and not pii.find_pii(f"commit {key}") and pii.redact(f'TOKEN = "{key.upper()}"!!') == 'TOKEN = "[SECRET]"!!'
+    assert not pii.find_pii("key incomprehensibilities key aaaa1111aaaa1111aaaa") and not pii.find_pii("password 1111222233334445")
+    assert [s[0] for s in pii.find_pii("account 12345678")] == ["account"] and not pii.find_pii("number 12345678")
     assert pii.redact("write x@y.org, 4111 1111 1111 1111") == "write [EMAIL], [CARD]"
     got = {r.doc_id: r.spans for r in pii.pii_spans(awkward).collect()}
     assert [s.kind for s in got[None]] == ["email", "phone"] and not got[1] and len(got) == 9
@@ -151,6 +155,7 @@ def test_personal_data_query(spark, sf_dir, documents):
     text = {r.doc_id: r.text for r in documents.collect()}
     for r in pii.op8_pii_spans(spark, sf_dir).collect():
         base = plain_base(text[r.doc_id])
+        assert r.has_any == int(r.spans != "") and len(r.scores.split(",")) == len(r.spans.split(",")) and r.n_secret == r.spans.count("secret:")
         digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert (r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) == (digest, *[sum(x[0] == k for x in base) for k in pii.BASE_KINDS])
 
@@ -265,6 +270,19 @@ def test_bins_of_short_pieces(low, high, most):
     assert bound <= bins <= most < sum(t for _, t in packing.best_fit_decreasing(counts, 2048))
 
 
+def test_bins_of_many_documents():
+    """The lengths of the documents of sf0.1, ten times over: proven optimal, unlike best-fit decreasing."""
+    import duckdb
+
+    tokens, counts = packing.load_tokens(packing.default_tokenizer()), np.zeros(2049, np.int64)
+    for (text,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet'").fetchall():
+        for _, n in packing.cut(len(tokens.ids(text or "")) // 4 + 1, 2048):
+            counts[n] += 10
+    patterns, bound = packing.bin_completion(counts, 2048)
+    check_patterns(patterns, counts, 2048)
+    assert sum(t for _, t in patterns) == bound < sum(t for _, t in packing.best_fit_decreasing(counts, 2048))
+
+
 def test_fillings_of_any_number_of_pieces():
     rng = random.Random(5)
     for _ in range(200):
@@ -310,6 +328,7 @@ def test_packing(spark, awkward, empty, documents):
     n = check_packed(rows, [(r.doc_id, r.text) for r in documents.collect()])
     counts = np.bincount([r.length for r in rows], minlength=packing.CAPACITY + 1)
     assert n <= packing.lower_bound(counts, packing.CAPACITY) * 1.01 + 1
+    assert {(r.n_sequences, r.n_sequences_least) for r in rows} == {(n, packing.lower_bound(counts, packing.CAPACITY))}
     assert packing.pack_documents(empty).count() == 0
     held = packing.pack_documents(documents.limit(5), keep_ids=True).collect()
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in held)
