@@ -120,12 +120,18 @@ def needs_condensing(c: Column, config: Config = DEFAULT) -> Column:
     words = F.filter(F.split(squeeze(c), " "), lambda w: w != "")
     words = F.transform(words, lambda w: F.lower(F.regexp_replace(w, "^[.,!?;:]+|[.,!?;:]+$", "")))
     return (F.size(words) > 0) & (
-        F.get(words, 0).isin(CONTINUATIONS) | (F.size(words) <= config.short_question_words) | F.arrays_overlap(words, words_literal(REFERRING_WORDS))
+        F.get(words, 0).isin(CONTINUATIONS) | (
+            F.size(words) <= config.short_question_words
+        ) | F.arrays_overlap(words, words_literal(REFERRING_WORDS))
     )
 
 
 def normalize_citations(c: Column) -> Column:
-    return each_match(c, CITATION_ANY_BRACKET, lambda m: F.concat(F.lit("["), squeeze(F.regexp_extract(m, CITATION_ANY_BRACKET, 1)), F.lit("]")))
+    return each_match(
+        c,
+        CITATION_ANY_BRACKET,
+        lambda m: F.concat(F.lit("["), squeeze(F.regexp_extract(m, CITATION_ANY_BRACKET, 1)), F.lit("]")),
+    )
 
 
 def cited_markers(c: Column) -> Column:
@@ -137,7 +143,12 @@ def cited_markers(c: Column) -> Column:
 def clean_lines(c: Column) -> Column:
     """A model's reply as lines without list markers and quotes. A marker needs a blank behind it,
     so that "3.5 turbo" and "-Xmx" keep their first characters."""
-    lines = F.transform(F.split(c, "\r\n|\r|\n"), lambda line: strip(F.regexp_replace(strip(F.regexp_replace(line, r"^\s*(?:[-*•]|\d+[.)])\s+", "")), '^"+|"+$', "")))
+    lines = F.transform(
+        F.split(c, "\r\n|\r|\n"),
+        lambda line: strip(
+            F.regexp_replace(strip(F.regexp_replace(line, r"^\s*(?:[-*•]|\d+[.)])\s+", "")), '^"+|"+$', "")
+        ),
+    )
     return F.filter(lines, lambda line: line != "")
 
 

@@ -148,7 +148,14 @@ def batched_embedding(vectors: Callable[[list[str]], np.ndarray], config: Config
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in series:
             texts = s.fillna("").tolist()
-            yield pd.Series([v for a in range(0, len(texts), config.embed_batch_size) for v in ask(texts[a : a + config.embed_batch_size])], dtype=object)
+            yield pd.Series(
+                [
+                    v for a in range(
+                        0, len(texts), config.embed_batch_size
+                    ) for v in ask(texts[a : a + config.embed_batch_size])
+                ],
+                dtype=object,
+            )
 
     run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<double>")
@@ -160,7 +167,13 @@ class VectorModel:
     make() is called in the worker, so that models are loaded there and clients needn't be pickled.
     """
 
-    def __init__(self, make: Callable[[], Callable[[list[str]], np.ndarray]], dimension: int, config: Config = DEFAULT, on_error: str = "raise"):
+    def __init__(
+        self,
+        make: Callable[[], Callable[[list[str]], np.ndarray]],
+        dimension: int,
+        config: Config = DEFAULT,
+        on_error: str = "raise",
+    ):
         self.make, self.dimension, self.config, self.on_error = make, dimension, config, on_error
 
     def embed(self, text: Column) -> Column:
@@ -218,7 +231,11 @@ def remote_vectors(url: str, model: str, dimension: int, key: str | None) -> Cal
 EMBEDDERS: dict[str, Callable[[Config], Embedder]] = {
     "hashing": lambda c: HashingEmbedder(c.embedding_dim),
     "local": lambda c: VectorModel(local_vectors(c.local_embed_model), c.local_embed_dim, c),
-    "remote": lambda c: VectorModel(remote_vectors(c.remote_embed_url, c.remote_embed_model, c.remote_embed_dim, os.environ.get("LECTIO_EMBED_KEY")), c.remote_embed_dim, c),
+    "remote": lambda c: VectorModel(
+        remote_vectors(c.remote_embed_url, c.remote_embed_model, c.remote_embed_dim, os.environ.get("LECTIO_EMBED_KEY")),
+        c.remote_embed_dim,
+        c,
+    ),
 }
 
 

@@ -26,23 +26,38 @@ def excerpt(marker: Column, source: Column, page: Column, section: Column, text:
 
 def format_context(context: DataFrame) -> DataFrame:
     """query_id, context from rows (query_id, marker, source_file, page_number, section_header, chunk_text)."""
-    part = F.struct("marker", excerpt(F.col("marker"), F.col("source_file"), F.col("page_number"), F.col("section_header"), F.col("chunk_text")).alias("t"))
-    return context.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), "\n\n").alias("context"))
+    part = F.struct(
+        "marker",
+        excerpt(
+            F.col("marker"), F.col("source_file"), F.col("page_number"), F.col("section_header"), F.col("chunk_text")
+        ).alias("t"),
+    )
+    return context.groupBy("query_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), "\n\n").alias("context")
+    )
 
 
 def history_window(turns: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """conv_id, turn_no, line of the latest turns; turns(conv_id, turn_no, question, answer)."""
     flat = squeeze(F.col("answer"))
-    cut = F.when(F.length(flat) > config.answer_excerpt_chars, F.concat(F.rtrim(F.substring(flat, 1, config.answer_excerpt_chars)), F.lit("…"))).otherwise(flat)
+    cut = F.when(
+        F.length(flat) > config.answer_excerpt_chars,
+        F.concat(F.rtrim(F.substring(flat, 1, config.answer_excerpt_chars)), F.lit("…")),
+    ).otherwise(flat)
     newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn_no")))
-    return turns.withColumn("_n", newest).where(F.col("_n") <= config.history_turns).select("conv_id", "turn_no", F.concat(F.lit("Q: "), F.col("question"), F.lit("\nA: "), cut).alias("line"))
+    return turns.withColumn("_n", newest).where(F.col("_n") <= config.history_turns).select(
+        "conv_id", "turn_no", F.concat(F.lit("Q: "), F.col("question"), F.lit("\nA: "), cut).alias("line")
+    )
 
 
 def conversation_prompt(turns: DataFrame, questions: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """conv_id, prompt: the latest turns and the question that follows them."""
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_no", "line"))), lambda x: x["line"]), "\n\n")
     past = history_window(turns, config).groupBy("conv_id").agg(lines.alias("past"))
-    return questions.join(past, "conv_id", "left").select("conv_id", F.concat_ws("\n\n", "past", F.concat(F.lit("Follow-up question: "), F.col("question"))).alias("prompt"))
+    return questions.join(past, "conv_id", "left").select(
+        "conv_id",
+        F.concat_ws("\n\n", "past", F.concat(F.lit("Follow-up question: "), F.col("question"))).alias("prompt"),
+    )
 
 
 def search_texts(questions: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -56,16 +71,22 @@ def search_texts(questions: DataFrame, config: Config = DEFAULT) -> DataFrame:
     mode = F.when((F.size(lines) == 0) | ~F.col("mode").isin("rewrite", "multi_query", "hyde"), "none").otherwise(F.col("mode"))
     rows = questions.select("query_id", squeeze(F.col("question")).alias("q"), mode.alias("mode"), lines.alias("lines"))
     several = F.concat(F.array("q"), F.slice("lines", 1, config.multi_query_count))
-    dense = F.when(F.col("mode") == "rewrite", F.slice("lines", 1, 1)).when(F.col("mode") == "multi_query", several).when(F.col("mode") == "hyde", F.array(F.array_join("lines", " "))).otherwise(F.array("q"))
+    dense = F.when(F.col("mode") == "rewrite", F.slice("lines", 1, 1)).when(F.col("mode") == "multi_query", several).when(
+        F.col("mode") == "hyde", F.array(F.array_join("lines", " "))
+    ).otherwise(F.array("q"))
     sparse = F.when(F.col("mode") == "hyde", F.array("q")).otherwise(dense)
-    side = lambda name, texts: rows.select("query_id", "mode", F.lit(name).alias("side"), F.posexplode(texts).alias("variant_no", "text"))
+    side = lambda name, texts: rows.select(
+        "query_id", "mode", F.lit(name).alias("side"), F.posexplode(texts).alias("variant_no", "text")
+    )
     return side("dense", dense).unionByName(side("sparse", sparse))
 
 
 def mark_citations(context: DataFrame, answers: DataFrame) -> DataFrame:
     """context rows (query_id, marker, ...) with cited; answers(query_id, answer). Unknown markers are ignored."""
     used = answers.select("query_id", cited_markers(F.col("answer")).alias("_used"))
-    return context.join(used, "query_id", "left").withColumn("cited", F.coalesce(F.array_contains("_used", F.col("marker")), F.lit(False))).drop("_used")
+    return context.join(used, "query_id", "left").withColumn(
+        "cited", F.coalesce(F.array_contains("_used", F.col("marker")), F.lit(False))
+    ).drop("_used")
 
 
 def overlap_score(answer: Column, context: Column) -> Column:
@@ -86,34 +107,62 @@ def grounding(answers: DataFrame, config: Config = DEFAULT) -> DataFrame:
     none = (F.col("n_context") == 0) | (F.col("answer") == REFUSAL)
     judged = judge_score(F.col("reply"))
     method = F.when(none, None).when(judged.isNotNull(), "judge").otherwise("overlap")
-    rows = answers.withColumn("method", method).withColumn("score", F.when(~none, F.round(F.coalesce(judged, overlap_score(F.col("answer"), F.col("context"))), 9)))
+    rows = answers.withColumn("method", method).withColumn(
+        "score", F.when(~none, F.round(F.coalesce(judged, overlap_score(F.col("answer"), F.col("context"))), 9))
+    )
     down = F.coalesce((F.col("method") == "judge") & (F.col("score") < config.grounding_threshold), F.lit(False))
-    return rows.withColumn("confidence", confidence(F.col("score"), F.col("method"), config)).withColumn("downgraded", down).withColumn("final_answer", F.when(down, WITHDRAWN).otherwise(F.col("answer")))
+    return rows.withColumn("confidence", confidence(F.col("score"), F.col("method"), config)).withColumn("downgraded", down).withColumn(
+        "final_answer", F.when(down, WITHDRAWN).otherwise(F.col("answer"))
+    )
 
 
 def citation_view(citations: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """query_id, place, heading, body; cited ones first, files of one name told apart by their hash."""
     names = citations.groupBy("query_id", "source_file").agg((F.countDistinct("doc_id") > 1).alias("_twice"))
     rows = citations.join(names, ["query_id", "source_file"])
-    name = F.when(F.col("_twice") & (F.col("doc_id") != ""), F.concat("source_file", F.lit(" ("), F.element_at(F.split("doc_id", "-"), -1), F.lit(")"))).otherwise(F.col("source_file"))
-    trail = F.concat_ws(" · ", F.concat(F.lit("**["), F.col("marker").cast("string"), F.lit("]** "), name), F.concat(F.lit("p. "), F.col("page_number").cast("string")), F.when(F.col("section_header") != "", F.col("section_header")))
+    name = F.when(
+        F.col("_twice") & (F.col("doc_id") != ""),
+        F.concat("source_file", F.lit(" ("), F.element_at(F.split("doc_id", "-"), -1), F.lit(")")),
+    ).otherwise(F.col("source_file"))
+    trail = F.concat_ws(
+        " · ",
+        F.concat(F.lit("**["), F.col("marker").cast("string"), F.lit("]** "), name),
+        F.concat(F.lit("p. "), F.col("page_number").cast("string")),
+        F.when(F.col("section_header") != "", F.col("section_header")),
+    )
     heading = F.concat(trail, F.when(F.col("cited"), " — cited").otherwise(" — not cited"))
     flat, most = squeeze(F.col("snippet")), config.uncited_preview_chars
-    body = F.concat(F.lit("> "), F.when(~F.col("cited") & (F.length(flat) > most), F.concat(F.rtrim(F.substring(flat, 1, most)), F.lit("…"))).otherwise(flat))
+    body = F.concat(
+        F.lit("> "),
+        F.when(
+            ~F.col("cited") & (F.length(flat) > most), F.concat(F.rtrim(F.substring(flat, 1, most)), F.lit("…"))
+        ).otherwise(flat),
+    )
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cited"), "marker"))
     return rows.select("query_id", place.alias("place"), heading.alias("heading"), body.alias("body"))
 
 
 def citation_summary(citations: DataFrame) -> DataFrame:
     n, used = F.count("*"), F.count_if("cited")
-    label = F.when(used > 0, F.concat(F.lit("Sources: "), used.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" excerpts cited"))).otherwise(F.concat(F.lit("Sources: "), n.cast("string"), F.lit(" excerpts, none cited")))
+    label = F.when(
+        used > 0,
+        F.concat(F.lit("Sources: "), used.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" excerpts cited")),
+    ).otherwise(F.concat(F.lit("Sources: "), n.cast("string"), F.lit(" excerpts, none cited")))
     return citations.groupBy("query_id").agg(used.alias("n_cited"), n.alias("n_total"), label.alias("label"))
 
 
 def confidence_text(score: Column, method: Column) -> Column:
     share = F.concat(F.bround(score * 100).cast("int").cast("string"), F.lit("%"))
-    return F.when(score.isNull(), None).when(method == "judge", F.concat(share, F.lit(" of the claims are supported by the excerpts."))).otherwise(F.concat(share, F.lit(" of the words appear in the excerpts; the claims were not checked one by one.")))
+    return F.when(score.isNull(), None).when(method == "judge", F.concat(share, F.lit(" of the claims are supported by the excerpts."))).otherwise(
+        F.concat(share, F.lit(" of the words appear in the excerpts; the claims were not checked one by one."))
+    )
 
 
 def pipeline_caption(mode: Column, standalone: Column, retrieved: Column, used: Column) -> Column:
-    return F.concat_ws(" · ", F.concat(F.lit("transform: "), F.coalesce(mode, F.lit("none"))), F.concat(F.lit("read as: "), standalone), F.concat(F.lit("retrieved: "), retrieved.cast("string")), F.concat(F.lit("in context: "), used.cast("string")))
+    return F.concat_ws(
+        " · ",
+        F.concat(F.lit("transform: "), F.coalesce(mode, F.lit("none"))),
+        F.concat(F.lit("read as: "), standalone),
+        F.concat(F.lit("retrieved: "), retrieved.cast("string")),
+        F.concat(F.lit("in context: "), used.cast("string")),
+    )

@@ -20,7 +20,12 @@ CONTENTS_LINE = r"\.{3,}|\s\d+\s*$"
 def line_offsets(texts: DataFrame) -> DataFrame:
     """doc_id, n, start (of the line's first character that isn't blank), line."""
     rows = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    before = F.coalesce(F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(
+        F.sum(F.length("line") + 1).over(
+            Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+        ),
+        F.lit(0),
+    )
     return rows.select("doc_id", "n", (before + F.length(F.regexp_extract("line", r"^\s*", 0))).alias("start"), "line")
 
 
@@ -30,9 +35,13 @@ def heading_candidates(texts: DataFrame, config: Config = DEFAULT) -> DataFrame:
     number = F.transform(F.split(F.regexp_extract("s", NUMBERED, 1), r"\."), lambda x: x.try_cast("int"))
     words = F.split(s, r"\s+")
     out = (s == "") | F.lower(s).contains("http") | s.rlike(CONTENTS_LINE)
-    shape = (F.length(s) > config.heading_max_chars) | (F.size(words) > config.heading_max_words) | s.rlike("[.,;]$") | F.lower(F.element_at(words, -1)).isin(HEADING_BAD_TAIL)
+    shape = (F.length(s) > config.heading_max_chars) | (
+        F.size(words) > config.heading_max_words
+    ) | s.rlike("[.,;]$") | F.lower(F.element_at(words, -1)).isin(HEADING_BAD_TAIL)
     first = F.substring(title, 1, 1)
-    numbered = s.rlike(NUMBERED) & F.forall(number, lambda x: x.isNotNull()) & (F.get(number, 0) <= config.heading_max_number) & (first != F.lower(first)) & title.rlike(ALPHABETIC_WORD) & ~F.lower(title).rlike("^(figure|table|eq)")
+    numbered = s.rlike(NUMBERED) & F.forall(number, lambda x: x.isNotNull()) & (
+        F.get(number, 0) <= config.heading_max_number
+    ) & (first != F.lower(first)) & title.rlike(ALPHABETIC_WORD) & ~F.lower(title).rlike("^(figure|table|eq)")
     caps = s.rlike(ALL_CAPS) & ~s.contains(":") & (F.size(F.regexp_extract_all(s, F.lit(ALPHABETIC_WORD), F.lit(0))) >= 2)
     kind = F.when(out, None).when(s.rlike(MARKDOWN), "markdown").when(shape, None).when(numbered, "numbered").when(caps, "caps")
     lines = line_offsets(texts).withColumn("s", strip(F.col("line"))).withColumn("kind", kind).where(F.col("kind").isNotNull())
@@ -95,8 +104,18 @@ def outline(candidates: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def sections(texts: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """doc_id, section_index, header, start, end; text before the first heading is section 0."""
-    heads = outline(heading_candidates(texts, config), config).select("doc_id", F.col("start").cast("int").alias("start"), F.col("text").alias("header"))
+    heads = outline(heading_candidates(texts, config), config).select(
+        "doc_id", F.col("start").cast("int").alias("start"), F.col("text").alias("header")
+    )
     size = texts.select("doc_id", F.length("text").alias("size"))
-    front = size.join(heads.groupBy("doc_id").agg(F.min("start").alias("first")), "doc_id", "left").where(F.col("first").isNull() | (F.col("first") > 0)).select("doc_id", F.lit(0).alias("start"), F.lit(None).cast("string").alias("header"))
+    front = size.join(heads.groupBy("doc_id").agg(F.min("start").alias("first")), "doc_id", "left").where(F.col("first").isNull() | (F.col("first") > 0)).select(
+        "doc_id", F.lit(0).alias("start"), F.lit(None).cast("string").alias("header")
+    )
     w = Window.partitionBy("doc_id").orderBy("start")
-    return front.unionByName(heads).join(size, "doc_id").select("doc_id", (F.row_number().over(w) - 1).alias("section_index"), "header", "start", F.coalesce(F.lead("start").over(w), F.col("size")).alias("end"))
+    return front.unionByName(heads).join(size, "doc_id").select(
+        "doc_id",
+        (F.row_number().over(w) - 1).alias("section_index"),
+        "header",
+        "start",
+        F.coalesce(F.lead("start").over(w), F.col("size")).alias("end"),
+    )

@@ -13,12 +13,27 @@ from ..sources.staging import stage
 
 def sentence_spans(sections: DataFrame, texts: DataFrame, count=token_count) -> DataFrame:
     """doc_id, section_index, i, start, end, sentence, n_tokens (by `count`) of the sentences that aren't blank."""
-    body = sections.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", "section_index", F.col("start").alias("_s"), F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("_b"))
+    body = sections.join(texts.select("doc_id", "text"), "doc_id").select(
+        "doc_id",
+        "section_index",
+        F.col("start").alias("_s"),
+        F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("_b"),
+    )
     rows = body.select("doc_id", "section_index", "_s", F.posexplode(sentences(F.col("_b"))).alias("_n", "sentence"))
     w = Window.partitionBy("doc_id", "section_index").orderBy("_n")
     before = F.coalesce(F.sum(F.length("sentence")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.select("doc_id", "section_index", "_n", (F.col("_s") + before).cast("int").alias("start"), "sentence").where(F.col("sentence").rlike(r"\S"))
-    return placed.select("doc_id", "section_index", (F.row_number().over(w) - 1).alias("i"), "start", (F.col("start") + F.length("sentence")).alias("end"), "sentence", count(F.col("sentence")).alias("n_tokens"))
+    placed = rows.select(
+        "doc_id", "section_index", "_n", (F.col("_s") + before).cast("int").alias("start"), "sentence"
+    ).where(F.col("sentence").rlike(r"\S"))
+    return placed.select(
+        "doc_id",
+        "section_index",
+        (F.row_number().over(w) - 1).alias("i"),
+        "start",
+        (F.col("start") + F.length("sentence")).alias("end"),
+        "sentence",
+        count(F.col("sentence")).alias("n_tokens"),
+    )
 
 
 def neighbour_distance(vectors: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -34,7 +49,9 @@ def topic_groups(rows: DataFrame, by: list[str], order: str, config: Config = DE
     """
     limit = F.round(F.percentile("dist", F.lit(config.breakpoint_percentile / 100)).over(Window.partitionBy(*by)), 9)
     w = Window.partitionBy(*by).orderBy(order)
-    breaks = rows.withColumn("_limit", limit).withColumn("_cut", F.coalesce((F.lag("dist").over(w) > F.col("_limit")).cast("int"), F.lit(0)))
+    breaks = rows.withColumn("_limit", limit).withColumn(
+        "_cut", F.coalesce((F.lag("dist").over(w) > F.col("_limit")).cast("int"), F.lit(0))
+    )
     return breaks.withColumn("topic", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut", "_limit")
 
 
@@ -76,9 +93,22 @@ def pack_sentences(rows: DataFrame, by: list[str], config: Config = DEFAULT) ->
 
     run.__annotations__ = {"topics": pd.Series, "sizes": pd.Series, "return": pd.Series}
     packs = F.pandas_udf(run, "array<struct<pack:int,hard:boolean>>")
-    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", F.col("topic").cast("int").alias("topic"), F.col("n_tokens").cast("int").alias("n")))).alias("s"))
+    listed = rows.groupBy(*by).agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct("i", F.col("topic").cast("int").alias("topic"), F.col("n_tokens").cast("int").alias("n"))
+            )
+        ).alias("s")
+    )
     placed = listed.withColumn("p", packs(F.transform("s", lambda x: x["topic"]), F.transform("s", lambda x: x["n"])))
-    packed = placed.select(*by, F.explode(F.zip_with("s", "p", lambda s, p: F.struct(s["i"].alias("i"), p["pack"].alias("pack"), p["hard"].alias("hard")))).alias("z")).select(*by, "z.i", "z.pack", "z.hard")
+    packed = placed.select(
+        *by,
+        F.explode(
+            F.zip_with(
+                "s", "p", lambda s, p: F.struct(s["i"].alias("i"), p["pack"].alias("pack"), p["hard"].alias("hard"))
+            )
+        ).alias("z"),
+    ).select(*by, "z.i", "z.pack", "z.hard")
     return rows.join(packed, [*by, "i"])
 
 
@@ -164,8 +194,19 @@ def fixed_spans(sections: DataFrame, texts: DataFrame, config: Config = DEFAULT)
     """doc_id, section_index, n, start, end: the character cut inside sections, without topics."""
     body = sections.join(texts.select("doc_id", "text"), "doc_id")
     part = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    rows = body.select("doc_id", "section_index", F.col("start").alias("_s"), F.posexplode(char_pieces(part, config.chunk_size, config.chunk_overlap)).alias("n", "p"))
-    return rows.select("doc_id", "section_index", "n", (F.col("_s") + F.col("p.start")).alias("start"), (F.col("_s") + F.col("p.end")).alias("end"))
+    rows = body.select(
+        "doc_id",
+        "section_index",
+        F.col("start").alias("_s"),
+        F.posexplode(char_pieces(part, config.chunk_size, config.chunk_overlap)).alias("n", "p"),
+    )
+    return rows.select(
+        "doc_id",
+        "section_index",
+        "n",
+        (F.col("_s") + F.col("p.start")).alias("start"),
+        (F.col("_s") + F.col("p.end")).alias("end"),
+    )
 
 
 def semantic_spans(sections: DataFrame, texts: DataFrame, embedder=None, config: Config = DEFAULT, count=token_count) -> DataFrame:
@@ -176,7 +217,9 @@ def semantic_spans(sections: DataFrame, texts: DataFrame, embedder=None, config:
 
     keys = ["doc_id", "section_index"]
     body = sections.join(texts.select("doc_id", "text"), "doc_id")
-    alone = F.col("header").isNotNull() & (strip(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))) == F.col("header"))
+    alone = F.col("header").isNotNull() & (
+        strip(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))) == F.col("header")
+    )
     kept = body.where(~F.coalesce(alone, F.lit(False))).select(*sections.columns)
     spans = stage(sentence_spans(kept, texts, count), "sentences")
     try:
@@ -188,17 +231,34 @@ def semantic_spans(sections: DataFrame, texts: DataFrame, embedder=None, config:
     else:
         apart = stage(neighbour_distance(spans.withColumn("vector", vector).withColumn("_failed", F.col("vector").isNull()), keys, "i").drop("vector"), "distances")  # the vectors are made once
         failed = apart.where("_failed").select("doc_id").distinct().withColumn("_whole", F.lit(True))
-        known = apart.join(failed, "doc_id", "left").withColumn("dist", F.when(F.col("_whole").isNull(), F.col("dist"))).drop("_failed", "_whole")
+        known = apart.join(failed, "doc_id", "left").withColumn(
+            "dist", F.when(F.col("_whole").isNull(), F.col("dist"))
+        ).drop("_failed", "_whole")
         grouped = stage(topic_groups(known, keys, "i", config).drop("dist"), "topics")
     packed = pack_sentences(grouped, keys, config)
     runs = packed.groupBy(*keys, "pack").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("hard").alias("hard"))
     runs = runs.join(texts.select("doc_id", "text"), "doc_id").join(kept.select(*keys, F.col("start").alias("_section")), keys)
     part = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    pieces = F.when(F.col("hard"), char_pieces(part, config.chunk_size)).otherwise(F.array(F.struct(F.lit(0).alias("start"), (F.col("end") - F.col("start")).alias("end"))))
-    rows = runs.select(*keys, "text", "_section", "start", F.explode(pieces).alias("p")).select(*keys, "text", "_section", (F.col("start") + F.col("p.start")).alias("start"), (F.col("start") + F.col("p.end")).alias("end"))
+    pieces = F.when(F.col("hard"), char_pieces(part, config.chunk_size)).otherwise(
+        F.array(F.struct(F.lit(0).alias("start"), (F.col("end") - F.col("start")).alias("end")))
+    )
+    rows = runs.select(*keys, "text", "_section", "start", F.explode(pieces).alias("p")).select(
+        *keys,
+        "text",
+        "_section",
+        (F.col("start") + F.col("p.start")).alias("start"),
+        (F.col("start") + F.col("p.end")).alias("end"),
+    )
     n = (F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1).alias("n")
     numbered = rows.select(*keys, "text", "_section", "start", "end", n)
-    return numbered.select(*keys, "n", F.when(F.col("n") > 0, overlap_start(F.col("text"), F.col("_section"), F.col("start"), config)).otherwise(F.col("start")).alias("start"), "end")
+    return numbered.select(
+        *keys,
+        "n",
+        F.when(
+            F.col("n") > 0, overlap_start(F.col("text"), F.col("_section"), F.col("start"), config)
+        ).otherwise(F.col("start")).alias("start"),
+        "end",
+    )
 
 
 def section_counts(sections: DataFrame) -> DataFrame:
@@ -208,7 +268,15 @@ def section_counts(sections: DataFrame) -> DataFrame:
 
 def chunk_id(doc_id: Column, page: Column, section: Column, number: Column) -> Column:
     padded = F.when(number < 10000, F.lpad(number.cast("string"), 4, "0")).otherwise(number.cast("string"))
-    return F.concat(doc_id, F.lit("_p"), F.coalesce(page.cast("string"), F.lit("0")), F.lit("_s"), section.cast("string"), F.lit("_"), padded)
+    return F.concat(
+        doc_id,
+        F.lit("_p"),
+        F.coalesce(page.cast("string"), F.lit("0")),
+        F.lit("_s"),
+        section.cast("string"),
+        F.lit("_"),
+        padded,
+    )
 
 
 def chunk_table(documents: DataFrame, pages: DataFrame, embedder=None, config: Config = DEFAULT, counter=None) -> DataFrame:
@@ -222,10 +290,25 @@ def chunk_table(documents: DataFrame, pages: DataFrame, embedder=None, config: C
     count = counter.count if counter is not None else token_count
     parts = stage(sections(texts, config), "sections")
     spans = semantic_spans(parts, texts, embedder, config, count) if config.semantic_chunking else fixed_spans(parts, texts, config)
-    body = spans.join(texts.select("doc_id", "text"), "doc_id").join(parts.select("doc_id", "section_index", "header"), ["doc_id", "section_index"])
-    body = body.withColumn("chunk_text", strip(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))).where("chunk_text <> ''").drop("text")
+    body = spans.join(texts.select("doc_id", "text"), "doc_id").join(
+        parts.select("doc_id", "section_index", "header"), ["doc_id", "section_index"]
+    )
+    body = body.withColumn(
+        "chunk_text", strip(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
+    ).where("chunk_text <> ''").drop("text")
     w = Window.partitionBy("doc_id").orderBy("section_index", "n")
     body = body.withColumn("span_id", F.row_number().over(w) - 1)
     placed = attribute_pages(body, page_spans(pages)).join(documents.select("doc_id", "source_file"), "doc_id")
     ident = chunk_id(F.col("doc_id"), F.col("page_number"), F.col("section_index"), F.col("span_id"))
-    return placed.select(ident.alias("chunk_id"), "doc_id", "source_file", "chunk_text", F.col("start").alias("char_start"), F.col("end").alias("char_end"), count(F.col("chunk_text")).cast("int").alias("token_count"), "page_number", F.col("header").alias("section_header"), F.col("span_id").cast("long").alias("ord"))
+    return placed.select(
+        ident.alias("chunk_id"),
+        "doc_id",
+        "source_file",
+        "chunk_text",
+        F.col("start").alias("char_start"),
+        F.col("end").alias("char_end"),
+        count(F.col("chunk_text")).cast("int").alias("token_count"),
+        "page_number",
+        F.col("header").alias("section_header"),
+        F.col("span_id").cast("long").alias("ord"),
+    )

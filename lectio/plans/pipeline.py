@@ -37,7 +37,11 @@ def index_files(files: DataFrame, index: Index, embedder, extractors=None, confi
     rows = stage(chunks.withColumn("vector", or_null(embedder).embed(F.col("chunk_text"))), "embedded")
     broken = rows.where(F.col("vector").isNull()).select("doc_id", "source_file").distinct()
     good = stage(rows.join(broken.select("doc_id"), "doc_id", "left_anti").select(*rows.columns), "embeddable")
-    lost = broken.select(F.col("source_file").alias("name"), F.lit("EmbeddingError").alias("error"), F.lit("its chunks could not be embedded").alias("message"))
+    lost = broken.select(
+        F.col("source_file").alias("name"),
+        F.lit("EmbeddingError").alias("error"),
+        F.lit("its chunks could not be embedded").alias("message"),
+    )
     return index.add_embedded(good), stage(failures.unionByName(lost), "failures")
 
 
@@ -48,7 +52,9 @@ def index_batch(files: DataFrame, index: Index, embedder, extractors=None, confi
     own = files.select("name", document_id(F.col("name"), F.col("content")).alias("doc_id")).distinct()
     done = own.join(chunk_counts(index.chunks), "doc_id").groupBy("name").agg(F.sum("n_chunks").alias("n_chunks"))
     failed = failures.groupBy("name").agg(F.max(F.struct("error", "message")).alias("f"))
-    return own.select("name").distinct().join(done, "name", "left").join(failed, "name", "left").select("name", F.when(F.col("f").isNull(), F.col("n_chunks")).alias("n_chunks"), "f.error", "f.message")
+    return own.select("name").distinct().join(done, "name", "left").join(failed, "name", "left").select(
+        "name", F.when(F.col("f").isNull(), F.col("n_chunks")).alias("n_chunks"), "f.error", "f.message"
+    )
 
 
 #: Roots that this session has looked at.
@@ -81,7 +87,17 @@ def condense(questions: DataFrame, turns: DataFrame | None, chat, config: Config
     return rows.withColumn("standalone", F.coalesce(F.trim(reply), squeeze(F.col("question")))).drop("_past", "prompt")
 
 
-def answer(questions: DataFrame, index: Index, embedder, chat=None, judge=None, scorer=None, turns: DataFrame | None = None, mode: str | None = None, config: Config = DEFAULT) -> DataFrame:
+def answer(
+    questions: DataFrame,
+    index: Index,
+    embedder,
+    chat=None,
+    judge=None,
+    scorer=None,
+    turns: DataFrame | None = None,
+    mode: str | None = None,
+    config: Config = DEFAULT,
+) -> DataFrame:
     """One row per question: answer, citations, score, method, confidence, mode, counts.
 
     questions(query_id long, question[, conv_id]). Blank questions are rejected. Retrieval of all
@@ -91,27 +107,86 @@ def answer(questions: DataFrame, index: Index, embedder, chat=None, judge=None,
     if not questions.where(~F.col("question").rlike(r"\S") | F.col("question").isNull()).isEmpty():
         raise ValueError("a question must not be empty")
     mode = mode or config.query_transform
-    asked = condense(questions if "conv_id" in questions.columns else questions.withColumn("conv_id", F.lit(None).cast("long")), turns, chat, config)
+    asked = condense(
+        questions if "conv_id" in questions.columns else questions.withColumn("conv_id", F.lit(None).cast("long")),
+        turns,
+        chat,
+        config,
+    )
     asked = stage(asked, "questions")  # models are asked once, whatever reads their replies
     reply = chat_udf(chat, TRANSFORMS[mode])(F.col("standalone")) if chat is not None and mode in TRANSFORMS else F.lit(None).cast("string")
-    texts = stage(search_texts(stage(asked.select("query_id", F.col("standalone").alias("question"), F.lit(mode).alias("mode"), reply.alias("reply")), "replies"), config), "search-texts")
+    texts = stage(
+        search_texts(
+            stage(
+                asked.select(
+                    "query_id", F.col("standalone").alias("question"), F.lit(mode).alias("mode"), reply.alias("reply")
+                ),
+                "replies",
+            ),
+            config,
+        ),
+        "search-texts",
+    )
     vectors = index.vectors.join(index.chunks.select("chunk_id", "ord"), "chunk_id").select(F.col("ord").alias("chunk_id"), "ord", "vector")
     dense = texts.where("side = 'dense'").select("query_id", "variant_no", embedder.embed(F.col("text")).alias("vector"))
-    found = hybrid_search(stage(dense, "query-vectors"), texts.where("side = 'sparse'").select("query_id", "variant_no", "text"), vectors, index.keywords, config=config).withColumnRenamed("chunk_id", "ord")
+    found = hybrid_search(
+        stage(dense, "query-vectors"),
+        texts.where("side = 'sparse'").select("query_id", "variant_no", "text"),
+        vectors,
+        index.keywords,
+        config=config,
+    ).withColumnRenamed("chunk_id", "ord")
     found = stage(found, "candidates")
     body = found.join(index.chunks, "ord").join(asked.select("query_id", F.col("standalone").alias("question")), "query_id")
     kept = rerank(body.withColumnRenamed("chunk_text", "text"), scorer, config=config).withColumnRenamed("text", "chunk_text")
-    context = stage(context_budget(kept.drop("rank").withColumnRenamed("final_rank", "rank"), config).withColumn("marker", F.col("rank")), "context")
+    context = stage(
+        context_budget(
+            kept.drop("rank").withColumnRenamed("final_rank", "rank"), config
+        ).withColumn("marker", F.col("rank")),
+        "context",
+    )
     gathered = context.groupBy("query_id").agg(F.count("*").alias("n_context"), F.collect_list("chunk_text").alias("context"))
-    rows = asked.join(gathered, "query_id", "left").join(format_context(context).withColumnRenamed("context", "excerpts"), "query_id", "left")
-    rows = rows.join(found.groupBy("query_id").agg(F.count("*").alias("retrieved_k")), "query_id", "left").join(texts.select("query_id", F.col("mode").alias("used_mode")).distinct(), "query_id", "left")
+    rows = asked.join(gathered, "query_id", "left").join(
+        format_context(context).withColumnRenamed("context", "excerpts"), "query_id", "left"
+    )
+    rows = rows.join(found.groupBy("query_id").agg(F.count("*").alias("retrieved_k")), "query_id", "left").join(
+        texts.select("query_id", F.col("mode").alias("used_mode")).distinct(), "query_id", "left"
+    )
     rows = rows.fillna(0, ["n_context", "retrieved_k"]).withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
     prompt = F.when(F.col("n_context") > 0, F.concat_ws("\n\n", "excerpts", "standalone"))
     said = chat_udf(chat, ANSWER, "raise")(prompt) if chat is not None else F.lit(None).cast("string")
     rows = rows.withColumn("answer", normalize_citations(F.coalesce(F.nullif(F.trim(said), F.lit("")), F.lit(REFUSAL))))
     rows = stage(rows, "answers")
-    verdict = chat_udf(judge, JUDGE, whole=True)(F.concat_ws("\n\n", "answer", "excerpts")) if judge is not None else F.lit(None).cast("string")
+    verdict = chat_udf(judge, JUDGE, whole=True)(
+        F.concat_ws("\n\n", "answer", "excerpts")
+    ) if judge is not None else F.lit(None).cast("string")
     done = stage(grounding(stage(rows.withColumn("reply", verdict), "verdicts"), config), "grounded")
     cites = mark_citations(context, done.select("query_id", F.col("final_answer").alias("answer")))
-    listed = cites.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("marker", "source_file", "doc_id", "page_number", "section_header", "cited", F.col("chunk_text").alias("snippet")))).alias("citations"))
-    return done.join(listed, "query_id", "left").select("query_id", "question", F.nullif("standalone", "question").alias("standalone_question"), F.col("final_answer").alias("answer"), "citations", F.col("score").alias("faithfulness_score"), F.col("method").alias("grounding_method"), "confidence", F.col("used_mode").alias("used_query_transform"), "retrieved_k", F.col("n_context").alias("final_k"))
+    listed = cites.groupBy("query_id").agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    "marker",
+                    "source_file",
+                    "doc_id",
+                    "page_number",
+                    "section_header",
+                    "cited",
+                    F.col("chunk_text").alias("snippet"),
+                )
+            )
+        ).alias("citations")
+    )
+    return done.join(listed, "query_id", "left").select(
+        "query_id",
+        "question",
+        F.nullif("standalone", "question").alias("standalone_question"),
+        F.col("final_answer").alias("answer"),
+        "citations",
+        F.col("score").alias("faithfulness_score"),
+        F.col("method").alias("grounding_method"),
+        "confidence",
+        F.col("used_mode").alias("used_query_transform"),
+        "retrieved_k",
+        F.col("n_context").alias("final_k"),
+    )

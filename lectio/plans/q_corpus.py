@@ -54,7 +54,12 @@ FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM documen
 """)
 def q_tokenize(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", X.tokenize(F.col("text")).alias("t"))
-    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("digest"))
+    return rows.select(
+        "doc_id",
+        F.size("t").cast("long").alias("n_tokens"),
+        F.size(F.array_distinct("t")).cast("long").alias("n_distinct"),
+        F.md5(F.array_join("t", " ")).alias("digest"),
+    )
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{TOKEN}')) AS n_tokens FROM documents")
@@ -77,7 +82,9 @@ def _sentences(spark, sf_dir):
 
 @query(f"WITH {SENTENCES} SELECT doc_id, CAST(i AS BIGINT) AS i, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, md5(sentence) AS digest FROM sentences")
 def q_sentences(spark, sf_dir):
-    return _sentences(spark, sf_dir).select("doc_id", *_long("i", "start"), F.col("end").cast("long").alias("stop"), F.md5("sentence").alias("digest"))
+    return _sentences(spark, sf_dir).select(
+        "doc_id", *_long("i", "start"), F.col("end").cast("long").alias("stop"), F.md5("sentence").alias("digest")
+    )
 
 
 @query(rf"""
@@ -149,7 +156,9 @@ SELECT doc_id, page_number, n, coalesce(sum(length(line) + 1) OVER (PARTITION BY
 """)
 def q_line_offsets(spark, sf_dir):
     pages = _pages(spark, sf_dir).select(F.struct("doc_id", "page_number").alias("doc_id"), "text")
-    return outline.line_offsets(pages).select("doc_id.doc_id", F.col("doc_id.page_number").cast("long").alias("page_number"), *_long("n", "start"))
+    return outline.line_offsets(pages).select(
+        "doc_id.doc_id", F.col("doc_id.page_number").cast("long").alias("page_number"), *_long("n", "start")
+    )
 
 
 RECURRENCE = PAGES + r""", ln AS (SELECT doc_id, page_number, regexp_replace(lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g'))), '[ \t]+', ' ', 'g') AS k FROM pg),
@@ -169,12 +178,19 @@ def q_vocabulary_corpus(spark, sf_dir):
     """What each source writes: its words and hyphenated pairs."""
     found = clean.vocabulary(_pages(spark, sf_dir))
     every = F.array_sort(F.concat("words", "pairs"))
-    return found.select("doc_id", F.size("words").cast("long").alias("n_words"), F.size("pairs").cast("long").alias("n_pairs"), F.md5(F.array_join(every, ",")).alias("digest")).where("n_words + n_pairs > 0")
+    return found.select(
+        "doc_id",
+        F.size("words").cast("long").alias("n_words"),
+        F.size("pairs").cast("long").alias("n_pairs"),
+        F.md5(F.array_join(every, ",")).alias("digest"),
+    ).where("n_words + n_pairs > 0")
 
 
 @query(f"WITH {PAGES} SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY page_number)) AS digest, count(*) AS page_count FROM pg GROUP BY doc_id")
 def q_document_text(spark, sf_dir):
-    return clean.document_text(_pages(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"), F.col("page_count").cast("long").alias("page_count"))
+    return clean.document_text(_pages(spark, sf_dir)).select(
+        "doc_id", F.md5("text").alias("digest"), F.col("page_count").cast("long").alias("page_count")
+    )
 
 
 @query(f"""
@@ -218,17 +234,27 @@ def _questions(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("ord"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"),
+        F.col("vec_id").alias("ord"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("vector"),
+    )
 
 
 def _asked_vectors(spark, sf_dir):
-    return _questions(spark, sf_dir).join(_vectors(spark, sf_dir), F.col("query_id") == F.col("chunk_id")).select("query_id", "variant_no", "vector")
+    return _questions(spark, sf_dir).join(
+        _vectors(spark, sf_dir), F.col("query_id") == F.col("chunk_id")
+    ).select("query_id", "variant_no", "vector")
 
 
 def _rankings(spark, sf_dir):
     keys = ["query_id", "chunk_id", "score", "rank"]
-    dense = retrieval.dense_search(_asked_vectors(spark, sf_dir), _vectors(spark, sf_dir)).select(F.lit("dense").alias("side"), F.lit(0).alias("variant_no"), *keys)
-    sparse = retrieval.bm25_search(_questions(spark, sf_dir), _chunks(spark, sf_dir)).select(F.lit("sparse").alias("side"), F.lit(0).alias("variant_no"), *keys)
+    dense = retrieval.dense_search(_asked_vectors(spark, sf_dir), _vectors(spark, sf_dir)).select(
+        F.lit("dense").alias("side"), F.lit(0).alias("variant_no"), *keys
+    )
+    sparse = retrieval.bm25_search(_questions(spark, sf_dir), _chunks(spark, sf_dir)).select(
+        F.lit("sparse").alias("side"), F.lit(0).alias("variant_no"), *keys
+    )
     return dense.unionByName(sparse)
 
 
@@ -239,22 +265,33 @@ def q_bm25_stats(spark, sf_dir):
 
 @query(f"WITH {BM25} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM sparse")
 def q_bm25_topk(spark, sf_dir):
-    return retrieval.bm25_search(_questions(spark, sf_dir), _chunks(spark, sf_dir)).select("query_id", *_long("rank"), "chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.bm25_search(_questions(spark, sf_dir), _chunks(spark, sf_dir)).select(
+        "query_id", *_long("rank"), "chunk_id", F.round("score", 6).alias("score")
+    )
 
 
 @query(f"WITH {DENSE} SELECT query_id, rank, chunk_id, round(greatest(0, least(1, score)), 6) AS score FROM dense")
 def q_dense_topk(spark, sf_dir):
-    return retrieval.dense_search(_asked_vectors(spark, sf_dir), _vectors(spark, sf_dir)).select("query_id", *_long("rank"), "chunk_id", retrieval.shown_similarity(F.col("score")).alias("score"))
+    return retrieval.dense_search(_asked_vectors(spark, sf_dir), _vectors(spark, sf_dir)).select(
+        "query_id", *_long("rank"), "chunk_id", retrieval.shown_similarity(F.col("score")).alias("score")
+    )
 
 
 @query(f"WITH {RANKINGS}, {MERGED} SELECT query_id, chunk_id, round(rrf, 6) AS fused FROM m")
 def q_rrf(spark, sf_dir):
-    return retrieval.reciprocal_rank_fusion(_rankings(spark, sf_dir)).select("query_id", "chunk_id", F.round("fused_score", 6).alias("fused"))
+    return retrieval.reciprocal_rank_fusion(_rankings(spark, sf_dir)).select(
+        "query_id", "chunk_id", F.round("fused_score", 6).alias("fused")
+    )
 
 
 @query(f"WITH {RANKINGS}, {MERGED} SELECT query_id, chunk_id, round(d, 6) AS dense_score, round(s, 6) AS bm25_score FROM m")
 def q_hybrid_merge(spark, sf_dir):
-    return retrieval.merge_candidates(_rankings(spark, sf_dir)).select("query_id", "chunk_id", F.round("dense_score", 6).alias("dense_score"), F.round("bm25_score", 6).alias("bm25_score"))
+    return retrieval.merge_candidates(_rankings(spark, sf_dir)).select(
+        "query_id",
+        "chunk_id",
+        F.round("dense_score", 6).alias("dense_score"),
+        F.round("bm25_score", 6).alias("bm25_score"),
+    )
 
 
 @query(f"WITH {RANKINGS}, {MERGED}, {WEIGHTED} SELECT query_id, chunk_id, round(f, 6) AS fused FROM wf")
@@ -264,7 +301,9 @@ def q_weighted_fusion(spark, sf_dir):
 
 @query(f"WITH {RANKINGS}, {MERGED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen, chunk_id) AS rank, chunk_id, round(rrf, 6) AS fused FROM m QUALIFY rank <= 20")
 def q_hybrid_topk(spark, sf_dir):
-    found = retrieval.hybrid_search(_asked_vectors(spark, sf_dir), _questions(spark, sf_dir), _vectors(spark, sf_dir), _chunks(spark, sf_dir))
+    found = retrieval.hybrid_search(
+        _asked_vectors(spark, sf_dir), _questions(spark, sf_dir), _vectors(spark, sf_dir), _chunks(spark, sf_dir)
+    )
     return found.select("query_id", *_long("rank"), "chunk_id", F.round("fused_score", 6).alias("fused"))
 
 
@@ -281,9 +320,15 @@ def q_rerank(spark, sf_dir):
     """The pair scorer is a stand-in (shared content words)."""
     from ..models import LexicalScorer
 
-    found = retrieval.hybrid_search(_asked_vectors(spark, sf_dir), _questions(spark, sf_dir), _vectors(spark, sf_dir), _chunks(spark, sf_dir))
-    rows = found.join(_chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(_questions(spark, sf_dir).select("query_id", F.col("text").alias("question")), "query_id")
-    return retrieval.rerank(rows, LexicalScorer()).select("query_id", *_long("final_rank"), "chunk_id", F.round("rerank_score", 6).alias("score"))
+    found = retrieval.hybrid_search(
+        _asked_vectors(spark, sf_dir), _questions(spark, sf_dir), _vectors(spark, sf_dir), _chunks(spark, sf_dir)
+    )
+    rows = found.join(_chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(
+        _questions(spark, sf_dir).select("query_id", F.col("text").alias("question")), "query_id"
+    )
+    return retrieval.rerank(rows, LexicalScorer()).select(
+        "query_id", *_long("final_rank"), "chunk_id", F.round("rerank_score", 6).alias("score")
+    )
 
 
 @query(f"WITH {BM25} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM sparse")
@@ -306,7 +351,11 @@ FROM (SELECT vec_id, unnest(v) AS x, sqrt(list_inner_product(v, v)) AS nrm FROM
 """)
 def q_l2_normalize(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", X.l2_normalize(F.col("embedding")).alias("v"))
-    return rows.select("vec_id", (F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6) + 0.0).alias("total"), F.round(X.dot(F.col("v"), F.col("v")), 6).alias("square"))
+    return rows.select(
+        "vec_id",
+        (F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6) + 0.0).alias("total"),
+        F.round(X.dot(F.col("v"), F.col("v")), 6).alias("square"),
+    )
 
 
 @query("SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 6) AS p FROM embeddings")
@@ -328,7 +377,9 @@ def _distances(spark, sf_dir):
 
 @query(f"WITH {TOPICS} SELECT label, round(edge, 6) AS edge, count(*) AS n FROM c GROUP BY ALL")
 def q_topic_threshold(spark, sf_dir):
-    return _distances(spark, sf_dir).groupBy("label").agg(F.round(F.percentile("dist", F.lit(0.9)), 6).alias("edge"), F.count("*").alias("n"))
+    return _distances(spark, sf_dir).groupBy("label").agg(
+        F.round(F.percentile("dist", F.lit(0.9)), 6).alias("edge"), F.count("*").alias("n")
+    )
 
 
 @query(f"WITH {TOPICS} SELECT label, vec_id, CAST(sum(cut) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS topic FROM c")
@@ -341,7 +392,13 @@ def q_topic_groups(spark, sf_dir):
 
 def _index(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.concat("lang", F.lit(".txt")).alias("source_file"), F.length("text").cast("long").alias("n_chars"), F.col("doc_id").alias("ord"))
+    return docs.select(
+        F.col("doc_id").alias("chunk_id"),
+        F.col("source").alias("doc_id"),
+        F.concat("lang", F.lit(".txt")).alias("source_file"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.col("doc_id").alias("ord"),
+    )
 
 
 OLD = "ix AS (SELECT doc_id AS chunk_id, source AS doc_id, lang || '.txt' AS source_file, length(text) AS n_chars, doc_id AS ord FROM documents)"
@@ -392,7 +449,9 @@ def q_lookup_chunk(spark, sf_dir):
 @query("SELECT doc_id, source || '_p0_s0_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS chunk_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)")
 def q_chunk_ids(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select("doc_id", segment.chunk_id(F.col("source"), F.lit(None).cast("int"), F.lit(0), n).alias("chunk_id"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", segment.chunk_id(F.col("source"), F.lit(None).cast("int"), F.lit(0), n).alias("chunk_id")
+    )
 
 
 # ------------------------------------------------------------------ around the answer
@@ -401,7 +460,14 @@ def q_chunk_ids(spark, sf_dir):
 def _ranked(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs.select(F.col("source").alias("query_id"), rank.alias("rank"), "doc_id", X.token_count(F.col("text")).alias("token_count"), "lang", "text")
+    return docs.select(
+        F.col("source").alias("query_id"),
+        rank.alias("rank"),
+        "doc_id",
+        X.token_count(F.col("text")).alias("token_count"),
+        "lang",
+        "text",
+    )
 
 
 @query(f"""
@@ -417,15 +483,26 @@ WITH k AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORD
 SELECT query_id, md5(string_agg('[' || marker || '] ' || lang || '.txt, p.' || marker || CASE WHEN lang = 'en' THEN ', "Main"' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY marker)) AS digest FROM k GROUP BY query_id
 """)
 def q_format_context(spark, sf_dir):
-    rows = _ranked(spark, sf_dir).select("query_id", F.col("rank").alias("marker"), F.concat("lang", F.lit(".txt")).alias("source_file"), F.col("rank").alias("page_number"), F.when(F.col("lang") == "en", "Main").alias("section_header"), F.col("text").alias("chunk_text"))
+    rows = _ranked(spark, sf_dir).select(
+        "query_id",
+        F.col("rank").alias("marker"),
+        F.concat("lang", F.lit(".txt")).alias("source_file"),
+        F.col("rank").alias("page_number"),
+        F.when(F.col("lang") == "en", "Main").alias("section_header"),
+        F.col("text").alias("chunk_text"),
+    )
     return answer.format_context(rows).select("query_id", F.md5("context").alias("digest"))
 
 
 def _turns(spark, sf_dir):
     """A user's turn and the next turn of the conversation, if the assistant spoke it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("_r"), F.lead("text").over(w).alias("answer"))
-    return rows.where("role = 'user' and _r = 'assistant'").select("conv_id", F.col("turn").alias("turn_no"), F.col("text").alias("question"), "answer")
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", "text", F.lead("role").over(w).alias("_r"), F.lead("text").over(w).alias("answer")
+    )
+    return rows.where("role = 'user' and _r = 'assistant'").select(
+        "conv_id", F.col("turn").alias("turn_no"), F.col("text").alias("question"), "answer"
+    )
 
 
 TURNS = "tn AS (SELECT * FROM (SELECT conv_id, turn AS turn_no, role, text AS question, lead(role) OVER w AS r, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant')"
@@ -444,4 +521,6 @@ WITH {TURNS}, w AS (SELECT conv_id, turn_no, list_distinct(list_filter(regexp_ex
 SELECT conv_id, turn_no, round(CASE WHEN len(a) = 0 THEN 1 ELSE len(list_intersect(a, q)) / CAST(len(a) AS DOUBLE) END, 6) AS score FROM w
 """)
 def q_overlap_score(spark, sf_dir):
-    return _turns(spark, sf_dir).select("conv_id", "turn_no", F.round(answer.overlap_score(F.col("answer"), F.array("question")), 6).alias("score"))
+    return _turns(spark, sf_dir).select(
+        "conv_id", "turn_no", F.round(answer.overlap_score(F.col("answer"), F.array("question")), 6).alias("score")
+    )

@@ -36,7 +36,14 @@ def q_format_dispatch(spark, sf_dir):
     return spark.createDataFrame(rows, "name string").select("name", files.dispatch(F.col("name")).alias("kind"))
 
 
-FILES = [("Good Notes.md", b"# Title\n\nBody text.\n"), ("UP.TXT", b"plain \xff text"), ("report.docx", b"x"), ("bare", b"x"), ("blank.txt", b" \n\x0c \n"), ("scan.pdf", b"%PDF")]
+FILES = [
+    ("Good Notes.md", b"# Title\n\nBody text.\n"),
+    ("UP.TXT", b"plain \xff text"),
+    ("report.docx", b"x"),
+    ("bare", b"x"),
+    ("blank.txt", b" \n\x0c \n"),
+    ("scan.pdf", b"%PDF"),
+]
 
 
 @query("""SELECT * FROM (VALUES ('report.docx', 'UnsupportedDocumentError'), ('bare', 'UnsupportedDocumentError'), ('blank.txt', 'EmptyDocumentError'), ('scan.pdf', 'ExtractionError')) t(name, error)""")
@@ -50,7 +57,14 @@ def q_load_documents(spark, sf_dir):
     return pages.join(documents, "doc_id").select("source_file", *_long("page_number"), "text")
 
 
-TWINS = [("notes.txt", b"first file"), ("notes.txt", b"second file\x0cits page"), ("other.md", b"line a\nline b"), ("other.md", b"line a\nline b"), ("bad.docx", b"x"), ("bad.docx", b"x")]
+TWINS = [
+    ("notes.txt", b"first file"),
+    ("notes.txt", b"second file\x0cits page"),
+    ("other.md", b"line a\nline b"),
+    ("other.md", b"line a\nline b"),
+    ("bad.docx", b"x"),
+    ("bad.docx", b"x"),
+]
 
 
 @query("""SELECT source_file, CAST(page_number AS BIGINT) AS page_number, text FROM (VALUES ('notes.txt', 1, 'first file'), ('notes.txt', 1, 'second file'), ('notes.txt', 2, 'its page'), ('other.md', 1, 'line a' || chr(10) || 'line b')) t(source_file, page_number, text)""")
@@ -75,7 +89,12 @@ class _Pages:
 @query("""SELECT source_file, CAST(page_number AS BIGINT) AS page_number, text FROM (VALUES ('a.pdf', 1, 'some words that ran together'), ('a.pdf', 2, 'ok'), ('b.pdf', 1, 'fallback only'), ('a.pdf', 1, 'anotherfile')) t(source_file, page_number, text)""")
 def q_load_pdfs(spark, sf_dir):
     """Two extractors: damaged pages come from the second, as do files that the first can't read."""
-    rows = [("a.pdf", b"some words that ran together|ok"), ("a.pdf", b"another file"), ("b.pdf", b"fallback only"), ("b.pdf", b"fallback only")]
+    rows = [
+        ("a.pdf", b"some words that ran together|ok"),
+        ("a.pdf", b"another file"),
+        ("b.pdf", b"fallback only"),
+        ("b.pdf", b"fallback only"),
+    ]
     first, second = _Pages(b"fallback", damage=True), _Pages(b"never")
     documents, pages, _ = files.load(files.from_bytes(spark, rows), [first, second])
     return pages.join(documents, "doc_id").select("source_file", *_long("page_number"), "text")
@@ -84,9 +103,19 @@ def q_load_pdfs(spark, sf_dir):
 @query("""SELECT name, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM (VALUES ('lines', 0, 9), ('lines', 11, 20), ('words', 0, 9), ('words', 10, 18), ('run', 0, 10), ('run', 10, 14), ('back', 0, 8), ('back', 6, 11), ('back', 9, 14)) t(name, start, stop)""")
 def q_hard_split(spark, sf_dir):
     """Ten characters at most: at blank lines, then blanks, then anywhere; the last one eight at most, with an overlap of four."""
-    rows = spark.createDataFrame([("lines", "para one.\n\npara two."), ("words", "alpha bet gamma de"), ("run", "abcdefghijklmn"), ("back", "aa bb cc dd ee")], "name string, text string")
+    rows = spark.createDataFrame(
+        [
+            ("lines", "para one.\n\npara two."),
+            ("words", "alpha bet gamma de"),
+            ("run", "abcdefghijklmn"),
+            ("back", "aa bb cc dd ee"),
+        ],
+        "name string, text string",
+    )
     spans = F.when(F.col("name") == "back", segment.char_pieces(F.col("text"), 8, 4)).otherwise(segment.char_pieces(F.col("text"), 10))
-    return rows.select("name", F.explode(spans).alias("p")).select("name", F.col("p.start").cast("long").alias("start"), F.col("p.end").cast("long").alias("stop"))
+    return rows.select("name", F.explode(spans).alias("p")).select(
+        "name", F.col("p.start").cast("long").alias("start"), F.col("p.end").cast("long").alias("stop")
+    )
 
 
 @query("""SELECT doc_id, CAST(page_number AS BIGINT) AS page_number, text FROM (VALUES ('d', 1, 'one'), ('d', 2, ' '), ('d', 3, 'three'), ('e', 1, 'single')) t(doc_id, page_number, text)""")
@@ -103,13 +132,19 @@ def q_page_repair(spark, sf_dir):
     main = [("d", 1, "all is well"), ("d", 2, f"{LONG} page"), ("d", 3, f"{LONG} {LONG}"), ("d", 4, f"{LONG} here")]
     spare = [("d", 1, "other"), ("d", 2, "the second page"), ("d", 3, LONG)]  # 3 is damaged too, 4 is missing
     schema = "doc_id string, page_number int, text string"
-    return clean.repair_pages(spark.createDataFrame(main, schema), spark.createDataFrame(spare, schema)).select("doc_id", *_long("page_number"), "text")
+    return clean.repair_pages(
+        spark.createDataFrame(main, schema), spark.createDataFrame(spare, schema)
+    ).select("doc_id", *_long("page_number"), "text")
 
 
 def _book(spark):
     """Five pages with a running head, a number line and a roman foot; body lines that repeat; then a
     document too short for the rule, and one that is furniture nearly throughout."""
-    rows = [("b", n, f"The Book\npage {n}\n\nBody {word}\nsame body\nmore {word}\n{roman}") for n, word, roman in ((1, "one", "i"), (2, "two", "ii"), (3, "three", "iii"), (4, "four", "iv"), (5, "five", "v"))]
+    rows = [
+        ("b", n, f"The Book\npage {n}\n\nBody {word}\nsame body\nmore {word}\n{roman}") for n, word, roman in (
+            (1, "one", "i"), (2, "two", "ii"), (3, "three", "iii"), (4, "four", "iv"), (5, "five", "v")
+        )
+    ]
     rows += [("s", n, f"Head\nbody {n} x") for n in (1, 2)]
     rows += [("f", n, "Always the same line\nand again the same") for n in (1, 2, 3)]
     return spark.createDataFrame(rows, "doc_id string, page_number int, text string")
@@ -153,14 +188,23 @@ def q_dehyphenate(spark, sf_dir):
 def q_vocabulary(spark, sf_dir):
     rows = [("p", 1, "It is-\nby hand, a well known line, e-mail"), ("p", 2, "an state-of x1 it"), ("q", 1, "a 1 b-2")]
     found = clean.vocabulary(spark.createDataFrame(rows, "doc_id string, page_number int, text string"))
-    return found.select("doc_id", F.array_join(F.array_sort("words"), ",").alias("words"), F.array_join(F.array_sort("pairs"), ",").alias("pairs"))
+    return found.select(
+        "doc_id",
+        F.array_join(F.array_sort("words"), ",").alias("words"),
+        F.array_join(F.array_sort("pairs"), ",").alias("pairs"),
+    )
 
 
 @query("""SELECT span_id, CAST(page_number AS BIGINT) AS page_number FROM (VALUES ('tail', 2), ('even', 1), ('gap', 1), ('whole', 3), ('lost', NULL)) t(span_id, page_number)""")
 def q_page_attribution(spark, sf_dir):
-    pages = spark.createDataFrame([("d", 1, 0, 100), ("d", 2, 101, 1001), ("d", 3, 1002, 1100)], "doc_id string, page_number int, start int, end int")
+    pages = spark.createDataFrame(
+        [("d", 1, 0, 100), ("d", 2, 101, 1001), ("d", 3, 1002, 1100)],
+        "doc_id string, page_number int, start int, end int",
+    )
     spans = [("d", "tail", 92, 1001), ("d", "even", 90, 111), ("d", "gap", 100, 101), ("d", "whole", 1002, 1100), ("x", "lost", 0, 5)]
-    return clean.attribute_pages(spark.createDataFrame(spans, "doc_id string, span_id string, start int, end int"), pages).select("span_id", *_long("page_number"))
+    return clean.attribute_pages(
+        spark.createDataFrame(spans, "doc_id string, span_id string, start int, end int"), pages
+    ).select("span_id", *_long("page_number"))
 
 
 # ------------------------------------------------------------------ outline and chunks
@@ -178,7 +222,12 @@ SELECT CAST(place AS BIGINT) AS place, text, kind, number FROM (VALUES (1, 'Step
 """)
 def q_heading_candidates(spark, sf_dir):
     rows = spark.createDataFrame([(i, line) for i, line in enumerate(LINES, 1)], "doc_id int, text string")
-    return outline.heading_candidates(rows).select(F.col("doc_id").cast("long").alias("place"), "text", "kind", F.array_join(F.col("number").cast("array<string>"), ".").alias("number"))
+    return outline.heading_candidates(rows).select(
+        F.col("doc_id").cast("long").alias("place"),
+        "text",
+        "kind",
+        F.array_join(F.col("number").cast("array<string>"), ".").alias("number"),
+    )
 
 
 CHAINS = {
@@ -233,7 +282,12 @@ def q_packing(spark, sf_dir):
 @query("""SELECT name, CAST(opening AS BIGINT) AS opening FROM (VALUES ('mid word', 17), ('at blank', 50), ('section start', 190), ('one long word', 200)) t(name, opening)""")
 def q_overlap(spark, sf_dir):
     words = "abcde fghi " * 40  # an eleven-character period
-    rows = [("mid word", words, 0, 163), ("at blank", "x" * 49 + " " + "y" * 300, 0, 200), ("section start", "x" * 189 + " " + "y" * 200, 190, 250), ("one long word", "z" * 400, 0, 200)]
+    rows = [
+        ("mid word", words, 0, 163),
+        ("at blank", "x" * 49 + " " + "y" * 300, 0, 200),
+        ("section start", "x" * 189 + " " + "y" * 200, 190, 250),
+        ("one long word", "z" * 400, 0, 200),
+    ]
     table = spark.createDataFrame(rows, "name string, text string, section_start int, start int")
     return table.select("name", segment.overlap_start(F.col("text"), F.col("section_start"), F.col("start")).cast("long").alias("opening"))
 
@@ -241,9 +295,18 @@ def q_overlap(spark, sf_dir):
 @query("""SELECT CAST(n AS BIGINT) AS n, chunk_id, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, header, CAST(page_number AS BIGINT) AS page_number FROM (VALUES
 (0, 'd_p1_s0_0000', 0, 14, NULL, 1), (1, 'd_p1_s1_0001', 14, 30, '1 First Part', 1), (2, 'd_p2_s2_0002', 30, 53, '2 Second Part', 2)) t(n, chunk_id, char_start, char_end, header, page_number)""")
 def q_chunk_table(spark, sf_dir):
-    pages = spark.createDataFrame([("d", 1, "Front matter.\n1 First Part\nAb"), ("d", 2, "2 Second Part\nCd ef gh.")], "doc_id string, page_number int, text string")
+    pages = spark.createDataFrame(
+        [("d", 1, "Front matter.\n1 First Part\nAb"), ("d", 2, "2 Second Part\nCd ef gh.")],
+        "doc_id string, page_number int, text string",
+    )
     table = segment.chunk_table(spark.createDataFrame([("d", "d.txt")], "doc_id string, source_file string"), pages)
-    return table.select(F.col("ord").alias("n"), "chunk_id", *_long("char_start", "char_end"), F.col("section_header").alias("header"), *_long("page_number"))
+    return table.select(
+        F.col("ord").alias("n"),
+        "chunk_id",
+        *_long("char_start", "char_end"),
+        F.col("section_header").alias("header"),
+        *_long("page_number"),
+    )
 
 
 # ------------------------------------------------------------------ answers
@@ -255,22 +318,34 @@ ANSWERS = ["See [1] and [2, 3].", "A 【2】 and ［1, 3］.", "重要【重要
 SELECT CAST(n AS BIGINT) AS n, answer, markers FROM (VALUES (0, 'See [1] and [2, 3].', '1,2,3'), (1, 'A [2] and [1, 3].', '1,2,3'), (2, '重要【重要】 text [4]', '4'), (3, 'In [2020] and [1-3].', '2020'), (4, 'Spaced [ 1 ] and [1].', '1'), (5, 'No marker.', '')) t(n, answer, markers)
 """)
 def q_citations(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(ANSWERS)), "n long, answer string").withColumn("answer", X.normalize_citations(F.col("answer")))
+    rows = spark.createDataFrame(
+        list(enumerate(ANSWERS)), "n long, answer string"
+    ).withColumn("answer", X.normalize_citations(F.col("answer")))
     return rows.select("n", "answer", F.array_join(X.cited_markers(F.col("answer")).cast("array<string>"), ",").alias("markers"))
 
 
 @query("""SELECT CAST(marker AS BIGINT) AS marker, cited FROM (VALUES (1, true), (2, false), (3, true)) t(marker, cited)""")
 def q_citation_marking(spark, sf_dir):
     context = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "query_id long, marker int")
-    return answer.mark_citations(context, spark.createDataFrame([(7, "Yes [1], no [3, 9].")], "query_id long, answer string")).select(*_long("marker"), "cited")
+    return answer.mark_citations(
+        context, spark.createDataFrame([(7, "Yes [1], no [3, 9].")], "query_id long, answer string")
+    ).select(*_long("marker"), "cited")
 
 
-REPLIES = ["SUPPORTED: a\nUNSUPPORTED: b", "- supported: x\n* SUPPORTED: y\n• unsupported: z", "Verdicts\n1. SUPPORTED: not counted", "", "  UNSUPPORTED - q"]
+REPLIES = [
+    "SUPPORTED: a\nUNSUPPORTED: b",
+    "- supported: x\n* SUPPORTED: y\n• unsupported: z",
+    "Verdicts\n1. SUPPORTED: not counted",
+    "",
+    "  UNSUPPORTED - q",
+]
 
 
 @query("""SELECT CAST(n AS BIGINT) AS n, score FROM (VALUES (0, 0.5::DOUBLE), (1, 0.666667::DOUBLE), (2, NULL), (3, NULL), (4, 0.0::DOUBLE)) t(n, score)""")
 def q_judge_score(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(REPLIES)), "n long, reply string").select("n", F.round(answer.judge_score(F.col("reply")), 6).alias("score"))
+    return spark.createDataFrame(list(enumerate(REPLIES)), "n long, reply string").select(
+        "n", F.round(answer.judge_score(F.col("reply")), 6).alias("score")
+    )
 
 
 GROUNDED = [
@@ -306,7 +381,10 @@ SELECT CAST(place AS BIGINT) AS place, heading, body FROM (VALUES (1, '**[2]** r
 (3, '**[3]** notes.md · Intro — not cited', '> {"w" * 279}…')) t(place, heading, body)
 """)
 def q_citation_view(spark, sf_dir):
-    rows = spark.createDataFrame(CITED, "query_id long, marker int, source_file string, doc_id string, page_number int, section_header string, snippet string, cited boolean")
+    rows = spark.createDataFrame(
+        CITED,
+        "query_id long, marker int, source_file string, doc_id string, page_number int, section_header string, snippet string, cited boolean",
+    )
     return answer.citation_view(rows).select(*_long("place"), "heading", "body")
 
 
@@ -320,10 +398,19 @@ LLM_REPLIES = ["1. first\n2) second\n- third", '"quoted"\n\n  * starred ', "3.5
 
 @query("""SELECT CAST(n AS BIGINT) AS n, lines FROM (VALUES (0, 'first|second|third'), (1, 'quoted|starred'), (2, '3.5 turbo cost|-Xmx flag'), (3, ''), (4, 'dot|plain')) t(n, lines)""")
 def q_clean_lines(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(LLM_REPLIES)), "n long, reply string").select("n", F.array_join(X.clean_lines(F.col("reply")), "|").alias("lines"))
-
-
-QUESTIONS = [(0, " what is x ", "multi_query", "a\nb\nc\nd"), (1, "q1", "hyde", "- one\n- two"), (2, "q2", "rewrite", "better\nignored"), (3, "q3", "multi_query", None), (4, "q4", "odd", "a"), (5, "q5", "multi_query", "q5")]
+    return spark.createDataFrame(list(enumerate(LLM_REPLIES)), "n long, reply string").select(
+        "n", F.array_join(X.clean_lines(F.col("reply")), "|").alias("lines")
+    )
+
+
+QUESTIONS = [
+    (0, " what is x ", "multi_query", "a\nb\nc\nd"),
+    (1, "q1", "hyde", "- one\n- two"),
+    (2, "q2", "rewrite", "better\nignored"),
+    (3, "q3", "multi_query", None),
+    (4, "q4", "odd", "a"),
+    (5, "q5", "multi_query", "q5"),
+]
 
 
 @query("""
@@ -331,7 +418,13 @@ SELECT CAST(query_id AS BIGINT) AS query_id, mode, dense, sparse FROM (VALUES (0
 """)
 def q_search_texts(spark, sf_dir):
     rows = answer.search_texts(spark.createDataFrame(QUESTIONS, "query_id long, question string, mode string, reply string"))
-    side = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("variant_no", "text")))), lambda x: x["text"]), "|").alias(s)
+    side = lambda s: F.array_join(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("variant_no", "text")))),
+            lambda x: x["text"],
+        ),
+        "|",
+    ).alias(s)
     return rows.groupBy("query_id", "mode").agg(side("dense"), side("sparse"))
 
 
@@ -340,8 +433,19 @@ SELECT CAST(n AS BIGINT) AS n, caption, note FROM (VALUES (0, 'transform: hyde 
 (1, 'transform: none · retrieved: 0 · in context: 0', NULL), (2, 'transform: none · retrieved: 3 · in context: 1', '50% of the words appear in the excerpts; the claims were not checked one by one.')) t(n, caption, note)
 """)
 def q_captions(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "hyde", "full one", 20, 5, 2 / 3, "judge"), (1, None, None, 0, 0, None, None), (2, "none", None, 3, 1, 0.5, "overlap")], "n long, mode string, standalone string, retrieved int, used int, score double, method string")
-    return rows.select("n", answer.pipeline_caption(F.col("mode"), F.col("standalone"), F.col("retrieved"), F.col("used")).alias("caption"), answer.confidence_text(F.col("score"), F.col("method")).alias("note"))
+    rows = spark.createDataFrame(
+        [
+            (0, "hyde", "full one", 20, 5, 2 / 3, "judge"),
+            (1, None, None, 0, 0, None, None),
+            (2, "none", None, 3, 1, 0.5, "overlap"),
+        ],
+        "n long, mode string, standalone string, retrieved int, used int, score double, method string",
+    )
+    return rows.select(
+        "n",
+        answer.pipeline_caption(F.col("mode"), F.col("standalone"), F.col("retrieved"), F.col("used")).alias("caption"),
+        answer.confidence_text(F.col("score"), F.col("method")).alias("note"),
+    )
 
 
 @query("""SELECT CAST(conv_id AS BIGINT) AS conv_id, prompt FROM (VALUES (1, 'Q: first?' || chr(10) || 'A: yes' || chr(10) || chr(10) || 'Follow-up question: and why?'), (2, 'Follow-up question: alone?')) t(conv_id, prompt)""")

@@ -120,12 +120,23 @@ def extract_pdf(files: DataFrame, extractors: list[PdfExtractor], config: Config
         for b in batches:
             rows = [r for file in zip(*(b.column(c).to_pylist() for c in ("doc_id", "name", "content")), strict=True) for r in read(*file)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()], strict=True)], ["doc_id", "extractor", "page_number", "text", "message"])
-
-    return files.select("doc_id", "name", "content").mapInArrow(run, "doc_id string, extractor int, page_number int, text string, message string")
-
-
-def load(files: DataFrame, extractors: list[PdfExtractor] | None = None, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c, t) for c, t in zip(
+                        cols, [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()], strict=True
+                    )
+                ],
+                ["doc_id", "extractor", "page_number", "text", "message"],
+            )
+
+    return files.select("doc_id", "name", "content").mapInArrow(
+        run, "doc_id string, extractor int, page_number int, text string, message string"
+    )
+
+
+def load(
+    files: DataFrame, extractors: list[PdfExtractor] | None = None, config: Config = DEFAULT
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents(doc_id, source_file), clean pages, failures(name, error, message)).
 
     A file fails alone: an unsupported suffix, a PDF that no extractor reads, or no text at all. The doc_id
@@ -134,8 +145,17 @@ def load(files: DataFrame, extractors: list[PdfExtractor] | None = None, config:
     """
     from ..operators.clean import repair_pages
 
-    named = files.select("name", "content", dispatch(F.col("name")).alias("kind"), document_id(F.col("name"), F.col("content")).alias("doc_id")).dropDuplicates(["doc_id", "kind"])
-    bad = named.where("kind = 'unsupported'").select("name", F.lit("UnsupportedDocumentError").alias("error"), F.concat(F.lit("supported suffixes: "), F.lit(", ".join(SUPPORTED))).alias("message"))
+    named = files.select(
+        "name",
+        "content",
+        dispatch(F.col("name")).alias("kind"),
+        document_id(F.col("name"), F.col("content")).alias("doc_id"),
+    ).dropDuplicates(["doc_id", "kind"])
+    bad = named.where("kind = 'unsupported'").select(
+        "name",
+        F.lit("UnsupportedDocumentError").alias("error"),
+        F.concat(F.lit("supported suffixes: "), F.lit(", ".join(SUPPORTED))).alias("message"),
+    )
     text = named.where("kind = 'text'").select("doc_id", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     raw = paginate(text).withColumn("from_layout", F.lit(False))
     pdf = named.where("kind = 'pdf'")
@@ -145,13 +165,17 @@ def load(files: DataFrame, extractors: list[PdfExtractor] | None = None, config:
         main = got.join(first, "doc_id").where("extractor = _first and page_number is not null").select("doc_id", "page_number", "text")
         spare = got.join(first, "doc_id").where("extractor > _first and page_number is not null").select("doc_id", "page_number", "text")
         raw = raw.unionByName(repair_pages(main, spare, config).withColumn("from_layout", F.lit(True)))
-        unread = got.join(first, "doc_id", "left_anti").where("message is not null").groupBy("doc_id").agg(F.max_by("message", "extractor").alias("message")).select("doc_id", F.lit("ExtractionError").alias("error"), "message")
+        unread = got.join(first, "doc_id", "left_anti").where("message is not null").groupBy("doc_id").agg(F.max_by("message", "extractor").alias("message")).select(
+            "doc_id", F.lit("ExtractionError").alias("error"), "message"
+        )
     else:
         unread = pdf.select("doc_id", F.lit("ExtractionError").alias("error"), F.lit("no PDF extractor is configured").alias("message"))
     pages = stage(preprocess(stage(raw, "raw-pages"), config), "pages")
     names = named.where("kind <> 'unsupported'").select("doc_id", "name", "kind")
     unread = names.where("kind = 'pdf'").join(unread, "doc_id").select("doc_id", "name", "error", "message")
     readable = names.join(unread, "doc_id", "left_anti")
-    empty = readable.join(pages, "doc_id", "left_anti").select("name", F.lit("EmptyDocumentError").alias("error"), F.lit("no extractable text").alias("message"))
+    empty = readable.join(pages, "doc_id", "left_anti").select(
+        "name", F.lit("EmptyDocumentError").alias("error"), F.lit("no extractable text").alias("message")
+    )
     documents = names.join(pages, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("name").alias("source_file"))
     return documents, pages, bad.unionByName(unread.drop("doc_id")).unionByName(empty)

@@ -51,7 +51,9 @@ def indexed_documents(chunks: DataFrame) -> DataFrame:
 def inconsistencies(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Keys on one side only: key, missing_in."""
     a, b = chunks.select(key), vectors.select(key)
-    return a.join(b, key, "left_anti").withColumn("missing_in", F.lit("vectors")).unionByName(b.join(a, key, "left_anti").withColumn("missing_in", F.lit("chunks")))
+    return a.join(b, key, "left_anti").withColumn("missing_in", F.lit("vectors")).unionByName(
+        b.join(a, key, "left_anti").withColumn("missing_in", F.lit("chunks"))
+    )
 
 
 def to_metadata(chunks: DataFrame) -> DataFrame:
@@ -66,7 +68,16 @@ def from_metadata(flat: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 class Index:
-    def __init__(self, spark: SparkSession, root: str, provider: str = "hashing", dimension: int = 384, model: str = "", buckets: int = 16, config: Config = DEFAULT):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        provider: str = "hashing",
+        dimension: int = 384,
+        model: str = "",
+        buckets: int = 16,
+        config: Config = DEFAULT,
+    ):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config
         self.provider, self.dimension, self.model, self.buckets = provider, dimension, model or provider, buckets
         self._jvm = spark.sparkContext._jvm
@@ -74,7 +85,9 @@ class Index:
         self._fs = self._path(self.root).getFileSystem(self._conf)
         at = self._state()
         if at and at["provider"] != provider:
-            raise IndexProviderMismatch(f"the index holds {at['provider']} vectors of width {at['dimension']}; the session uses {provider} with {dimension}")
+            raise IndexProviderMismatch(
+                f"the index holds {at['provider']} vectors of width {at['dimension']}; the session uses {provider} with {dimension}"
+            )
         if at:
             self.buckets = at["buckets"]
 
@@ -117,7 +130,9 @@ class Index:
         from ..operators.retrieval import KeywordIndex
 
         at = self._state()
-        own = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.root}/{at['stats']}/{name}") if at else self.spark.createDataFrame([], schema)
+        own = lambda name, schema: self.spark.read.schema(schema).parquet(
+            f"{self.root}/{at['stats']}/{name}"
+        ) if at else self.spark.createDataFrame([], schema)
         return KeywordIndex(self._table("postings"), own("terms", TERMS), own("totals", TOTALS), self.config)
 
     def count(self) -> int:
@@ -154,7 +169,13 @@ class Index:
         top = chunks.agg(F.max("ord")).first()[0]
         held = lambda state: {v for own in state["folders"].values() for v in own.values()} | {state["stats"]}
         now = {"folders": folders, "stats": version, "next": max(last["next"], -1 if top is None else top + 1), "buckets": self.buckets}
-        now |= {"provider": self.provider, "dimension": self.dimension, "model": self.model, "collection": self.config.collection, "before": sorted(held(last) - {None})}
+        now |= {
+            "provider": self.provider,
+            "dimension": self.dimension,
+            "model": self.model,
+            "collection": self.config.collection,
+            "before": sorted(held(last) - {None}),
+        }
         self._point(now)
         for old in set(last.get("before", ())) - held(now) - held(last):
             self._fs.delete(self._path(f"{self.root}/{old}"), True)
@@ -185,28 +206,45 @@ class Index:
         touched = [r[0] for r in rows.select(self._bucket()).distinct().collect()]  # `buckets` numbers at most
         old, old_vectors = self._table("chunks", touched), self._table("vectors", touched)
         if replace_document:
-            old, old_vectors = (t.join(rows.select("doc_id").distinct(), "doc_id", "left_anti").select(*t.columns) for t in (old, old_vectors))
+            old, old_vectors = (
+                t.join(
+                    rows.select("doc_id").distinct(), "doc_id", "left_anti"
+                ).select(*t.columns) for t in (old, old_vectors)
+            )
         # numbers go on from the last one, document by document, whichever bucket they are in
-        ordered = stage(rows.repartitionByRange("source_file", "doc_id", "ord").sortWithinPartitions("source_file", "doc_id", "ord").withColumn("_m", F.monotonically_increasing_id()), "numbered")
+        ordered = stage(
+            rows.repartitionByRange("source_file", "doc_id", "ord").sortWithinPartitions("source_file", "doc_id", "ord").withColumn(
+                "_m", F.monotonically_increasing_id()
+            ),
+            "numbered",
+        )
         per_task = sorted(ordered.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("n")).collect())  # one row a task
         before, total = [], (self._state() or {"next": 0})["next"]
         for r in per_task:
             before.append((r[0], total))
             total += r[1]
         offsets = self.spark.createDataFrame(before, "_p long, _before long")
-        fresh = ordered.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(offsets), "_p").withColumn("ord", F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1))
+        fresh = ordered.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(offsets), "_p").withColumn(
+            "ord", F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)
+        )
         fresh = fresh.select(*rows.columns)
         kept = old.select("chunk_id", F.col("ord").alias("_old"))
         fresh = fresh.join(kept, "chunk_id", "left").withColumn("ord", F.coalesce("_old", "ord")).drop("_old")
         chunks = old.join(rows.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh.select(*old.columns))
-        vectors = old_vectors.join(rows.select("chunk_id"), "chunk_id", "left_anti").unionByName(rows.select("chunk_id", "doc_id", "vector"))
+        vectors = old_vectors.join(
+            rows.select("chunk_id"), "chunk_id", "left_anti"
+        ).unionByName(rows.select("chunk_id", "doc_id", "vector"))
         self._commit(chunks, vectors, touched)
         return n
 
     def delete(self, *doc_ids: str) -> None:
         gone = self.spark.createDataFrame([(i,) for i in doc_ids], "doc_id string")
         touched = [r[0] for r in gone.select(self._bucket()).distinct().collect()]
-        self._commit(delete_documents(self._table("chunks", touched), list(doc_ids)), delete_documents(self._table("vectors", touched), list(doc_ids)), touched)
+        self._commit(
+            delete_documents(self._table("chunks", touched), list(doc_ids)),
+            delete_documents(self._table("vectors", touched), list(doc_ids)),
+            touched,
+        )
 
     def reset(self) -> None:
         self._fs.delete(self._path(self.root), True)
@@ -223,7 +261,9 @@ class Index:
         read = self.spark.read.schema(CHUNKS).option("mode", "FAILFAST").json(path)
         place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
         try:
-            last = read.select("*", place.alias("_at")).groupBy("chunk_id").agg(F.max_by(F.struct(*read.columns), "_at").alias("r")).select("r.*")
+            last = read.select("*", place.alias("_at")).groupBy("chunk_id").agg(
+                F.max_by(F.struct(*read.columns), "_at").alias("r")
+            ).select("r.*")
             return stage(last, "imported")
         except Exception as error:
             if "MALFORMED_RECORD" in str(error):
@@ -252,8 +292,16 @@ class History:
         last = self.turns().groupBy("conv_id").agg(F.max("turn_no").alias("_last"))
         order = Window.partitionBy("conv_id").orderBy("_m")
         rows = stage(turns.select("conv_id", "question", "answer").withColumn("_m", F.monotonically_increasing_id()), "turns")
-        rows = rows.join(last, "conv_id", "left").withColumn("turn_no", F.coalesce("_last", F.lit(0).cast("long")) + F.row_number().over(order))
-        rows.select("conv_id", F.col("turn_no").cast("long").alias("turn_no"), "question", "answer", F.current_timestamp().alias("at")).write.mode("append").parquet(f"{self.root}/turns")
+        rows = rows.join(last, "conv_id", "left").withColumn(
+            "turn_no", F.coalesce("_last", F.lit(0).cast("long")) + F.row_number().over(order)
+        )
+        rows.select(
+            "conv_id",
+            F.col("turn_no").cast("long").alias("turn_no"),
+            "question",
+            "answer",
+            F.current_timestamp().alias("at"),
+        ).write.mode("append").parquet(f"{self.root}/turns")
 
     def clear(self, *conv_ids: int) -> None:
         marks = self.spark.createDataFrame([(i,) for i in conv_ids], "conv_id long").withColumn("at", F.current_timestamp())

@@ -64,7 +64,11 @@ def test_provider_guard_and_reset(spark, index, tmp_path):
 
 def test_answers(spark, index):
     asked = spark.createDataFrame([(1, "When do cats purr?"), (2, "What do herring move in?")], "query_id long, question string")
-    rows = {r.query_id: r for r in answer(asked, index, HashingEmbedder(64), ExtractiveChat(), scorer=LexicalScorer(), mode="none").collect()}
+    rows = {
+        r.query_id: r for r in answer(
+            asked, index, HashingEmbedder(64), ExtractiveChat(), scorer=LexicalScorer(), mode="none"
+        ).collect()
+    }
     assert rows[1].citations[0].cited and rows[1].grounding_method == "overlap" and rows[1].confidence in ("medium", "low")
     assert rows[1].final_k == len(rows[1].citations) and rows[1].used_query_transform == "none"
 
@@ -85,7 +89,13 @@ def test_failing_models_degrade(spark, index):
     row = answer(asked, index, HashingEmbedder(64), None, judge=Broken(), scorer=Broken(), mode="multi_query").first()
     assert row.used_query_transform == "none" and row.answer == X.REFUSAL and row.grounding_method is None
     texts = spark.createDataFrame([("d", "One two. Three four.")], "doc_id string, text string")
-    parts = texts.select("doc_id", F.lit(0).alias("section_index"), F.lit(None).cast("string").alias("header"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    parts = texts.select(
+        "doc_id",
+        F.lit(0).alias("section_index"),
+        F.lit(None).cast("string").alias("header"),
+        F.lit(0).alias("start"),
+        F.length("text").alias("end"),
+    )
     assert segment.semantic_spans(parts, texts, Broken()).count() == 1
     with pytest.raises(ValueError):
         answer(spark.createDataFrame([(1, "  ")], "query_id long, question string"), index, HashingEmbedder(64))
@@ -96,14 +106,22 @@ def test_failing_models_degrade(spark, index):
 def test_semantic_chunking_with_vectors(spark):
     body = ("Cats purr and sleep. " * 30 + "Stocks fell on Monday. " * 30).strip()
     texts = spark.createDataFrame([("d", body)], "doc_id string, text string")
-    parts = texts.select("doc_id", F.lit(0).alias("section_index"), F.lit(None).cast("string").alias("header"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    parts = texts.select(
+        "doc_id",
+        F.lit(0).alias("section_index"),
+        F.lit(None).cast("string").alias("header"),
+        F.lit(0).alias("start"),
+        F.length("text").alias("end"),
+    )
     spans = segment.semantic_spans(parts, texts, HashingEmbedder(64)).orderBy("n").collect()
     assert len(spans) >= 2 and spans[-1].end == len(body)
 
 
 def test_character_pieces(spark):
     text = "para one\n\n" + "word " * 60 + "x" * 150
-    row = spark.createDataFrame([(text,)], "t string").select(segment.char_pieces(F.col("t"), 100).alias("p"), segment.char_pieces(F.col("t"), 100, 20).alias("o")).first()
+    row = spark.createDataFrame([(text,)], "t string").select(
+        segment.char_pieces(F.col("t"), 100).alias("p"), segment.char_pieces(F.col("t"), 100, 20).alias("o")
+    ).first()
     assert all(s.end - s.start <= 100 for s in [*row.p, *row.o])
     assert " ".join(text[s.start : s.end] for s in row.p).split() == text[:-51].split() + [text[-51:]]  # white space is left out, the long word cut once
     assert any(b.start < a.end for a, b in zip(row.o, row.o[1:])) and row.o[-1].end == len(text)
@@ -130,20 +148,36 @@ class Flaky:
 
 
 def test_failures_in_a_worker_stay_with_their_document(spark, tmp_path):
-    texts = spark.createDataFrame([("a", "One two. Three four. " * 60), ("b", "One poison. Three four. " * 60)], "doc_id string, text string")
-    parts = texts.select("doc_id", F.lit(0).alias("section_index"), F.lit(None).cast("string").alias("header"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    texts = spark.createDataFrame(
+        [("a", "One two. Three four. " * 60), ("b", "One poison. Three four. " * 60)], "doc_id string, text string"
+    )
+    parts = texts.select(
+        "doc_id",
+        F.lit(0).alias("section_index"),
+        F.lit(None).cast("string").alias("header"),
+        F.lit(0).alias("start"),
+        F.length("text").alias("end"),
+    )
     spans = segment.semantic_spans(parts, texts, Flaky()).collect()
     plain = segment.semantic_spans(parts, texts, None).collect()
     assert sorted((r.start, r.end) for r in spans if r.doc_id == "b") == sorted((r.start, r.end) for r in plain if r.doc_id == "b")
     at = Index(spark, str(tmp_path / "ix"), dimension=8)
     batch = files.from_bytes(spark, [("good.txt", FISH), ("bad.txt", b"This is poison."), ("x.docx", b"x"), ("blank.md", b" ")])
     got = {r.name: (r.n_chunks, r.error) for r in index_batch(batch, at, Flaky()).collect()}
-    assert got == {"good.txt": (1, None), "bad.txt": (None, "EmbeddingError"), "x.docx": (None, "UnsupportedDocumentError"), "blank.md": (None, "EmptyDocumentError")}
+    assert got == {
+        "good.txt": (1, None),
+        "bad.txt": (None, "EmbeddingError"),
+        "x.docx": (None, "UnsupportedDocumentError"),
+        "blank.md": (None, "EmptyDocumentError"),
+    }
     assert at.count() == 1 and not at.needs_rebuild()
 
 
 def test_pair_models(spark):
-    rows = spark.createDataFrame([(q, "ask", i, t, i) for q, t0 in ((1, "text"), (2, "poison")) for i, t in enumerate(["a", t0, "ccc"], 1)], "query_id long, question string, chunk_id long, text string, rank int")
+    rows = spark.createDataFrame(
+        [(q, "ask", i, t, i) for q, t0 in ((1, "text"), (2, "poison")) for i, t in enumerate(["a", t0, "ccc"], 1)],
+        "query_id long, question string, chunk_id long, text string, rank int",
+    )
 
     def make():
         def predict(pairs):
@@ -173,7 +207,9 @@ def test_judges_reply_that_was_cut_off(spark, index):
             return Reply("SUPPORTED one", self.reason)
 
     asked = spark.createDataFrame([(1, "When do cats purr?")], "query_id long, question string")
-    method = lambda reason: answer(asked, index, HashingEmbedder(64), ExtractiveChat(), judge=Judge(reason), mode="none").first().grounding_method
+    method = lambda reason: answer(
+        asked, index, HashingEmbedder(64), ExtractiveChat(), judge=Judge(reason), mode="none"
+    ).first().grounding_method
     assert (method("stop"), method("length")) == ("judge", "overlap")
 
 
@@ -284,7 +320,10 @@ def test_two_extractors(spark):
             return self.texts
 
     word = "Incomprehensibilities"
-    got = files.load(files.from_bytes(spark, [("a.pdf", b"x"), ("b.pdf", b"bad")]), [Pages("all fine", f"{word} {word}"), Pages("other", "healthy page")])
+    got = files.load(
+        files.from_bytes(spark, [("a.pdf", b"x"), ("b.pdf", b"bad")]),
+        [Pages("all fine", f"{word} {word}"), Pages("other", "healthy page")],
+    )
     assert sorted(r.text for r in got[1].collect()) == ["all fine", "healthy page"]
     assert [(r.name, r.error) for r in got[2].collect()] == [("b.pdf", "ExtractionError")]
 
