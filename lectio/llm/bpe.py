@@ -129,7 +129,10 @@ def decode_documents(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
         for b in small(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "content"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([coder.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())],
+                ["doc_id", "content"],
+            )
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
 
@@ -148,9 +151,19 @@ def round_trip(docs: DataFrame, ranks: str | None = None, *, doc_id: str = "doc_
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
                 out_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    pa.array(counts, pa.int64()),
+                    pa.array(ids_sha, pa.string()),
+                    pa.array(out_sha, pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,9 @@ def held_out(doc_id: str, mod: int, rest: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % mod == rest
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: tuple[int, int], max_chars: int) -> DataFrame:
+def training_rows(
+    docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, per_class: tuple[int, int], max_chars: int
+) -> DataFrame:
     """(text, label): at most per_class[label] labelled texts of each class for which `keep` holds, one of each id.
 
     Ids are picked by a hash order among the labelled documents, for which ids and lengths alone are
@@ -118,10 +120,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column |
     One text is taken at least, its first per_class * max_chars characters if it alone is longer.
     Scoring always reads whole texts.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if keep is None else keep)).select(F.col("doc_id").alias("_i"), F.col(label).cast("int").alias("_y"))
+    known = labels.where(
+        F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if keep is None else keep)
+    ).select(F.col("doc_id").alias("_i"), F.col(label).cast("int").alias("_y"))
     long = F.greatest(F.col("_l"), F.lit(max_chars))
     texts_of = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).where(F.col("_t").isNotNull())
-    lengths = texts_of.select("_d", F.length("_t").alias("_l")).join(known, F.col("_d") == F.col("_i")).groupBy("_i", "_y").agg(F.min("_l").alias("_l"))
+    lengths = texts_of.select("_d", F.length("_t").alias("_l")).join(
+        known, F.col("_d") == F.col("_i")
+    ).groupBy("_i", "_y").agg(F.min("_l").alias("_l"))
     lengths = lengths.select("_i", "_y", "_l", long.alias("_o"), F.xxhash64("_i", "_y").alias("_h"))
     picked = None
     for y in (0, 1):

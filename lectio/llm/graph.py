@@ -24,13 +24,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         last = seen
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m"), F.count("*").alias("_n")).select("a", F.least("a", "_m").alias("_m"), "_n")
-        large = join_by_size(both, least, ["a"], "_n", 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).where("a <> b").distinct()
+        large = join_by_size(both, least, ["a"], "_n", 2 * seen[0]).where("b > a").select(
+            F.col("b").alias("a"), F.col("_m").alias("b")
+        ).where("a <> b").distinct()
         large, before = stage(large, "large-star"), now
         least = large.groupBy("a").agg(F.min("b").alias("_m"))
-        small = large.join(least, "a").where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b")).unionByName(least.select("a", F.col("_m").alias("b")))
+        small = large.join(least, "a").where("b <> _m").select(
+            F.col("b").alias("a"), F.col("_m").alias("b")
+        ).unionByName(least.select("a", F.col("_m").alias("b")))
         now = stage(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small-star")
         unstage(before, large)
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    return now.select(
+        F.col("a").alias("node"), F.col("b").alias("component")
+    ).unionByName(roots.select("node", F.col("node").alias("component")))

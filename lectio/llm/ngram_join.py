@@ -90,7 +90,9 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
 
 def _coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_000_603)
-    return (rng.integers(0, 1 << 62, count, dtype=np.uint64) << np.uint64(1)) | np.uint64(1), rng.integers(0, 1 << 62, count, dtype=np.uint64)
+    return (
+        rng.integers(0, 1 << 62, count, dtype=np.uint64) << np.uint64(1)
+    ) | np.uint64(1), rng.integers(0, 1 << 62, count, dtype=np.uint64)
 
 
 _A, _B = _coefficients(TREES * LEVELS)
@@ -108,7 +110,15 @@ def signature(shingle_set: np.ndarray) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small(batches):
         sets = (shingles(t) for t in texts(b.column("_text")))
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("rep"), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()), b.column("chars")], ["key", "rep", "sig", "chars"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                b.column("key"),
+                b.column("rep"),
+                pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                b.column("chars"),
+            ],
+            ["key", "rep", "sig", "chars"],
+        )
 
 
 def _run_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +183,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.flatnonzero(links)
         yield pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(links[got], pa.int64()), none(len(got)), none(len(got))], names)
         edges = np.array(forest(lambda rows, link=link: link[rows], len(node)), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([none(len(edges)), none(len(edges)), pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names)
+        yield pa.RecordBatch.from_arrays(
+            [none(len(edges)), none(len(edges)), pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names
+        )
 
 
 def _prefix(depth_: int):
     return F.substring("trie", 1, 2 * depth_)
 
 
-def choose_depths(sizes: list[list[int]], free: int, threshold: float = THRESHOLD, levels: int = LEVELS, target: float = TARGET) -> list[int]:
+def choose_depths(
+    sizes: list[list[int]], free: int, threshold: float = THRESHOLD, levels: int = LEVELS, target: float = TARGET
+) -> list[int]:
     """Depths of a text's prefixes in its trees: sizes[j] are the sizes of its runs at depths
     levels, levels - 1, ... of tree j; in `free` more trees it is alone even at the last of them."""
     missed = [np.log1p(-(threshold ** (levels - k))) for k in range(len(sizes[0]) if sizes else 1)]
@@ -205,13 +219,26 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree += [e["tree"] for e in entries]
             trie += [e["trie"] for e in entries]
             want += choose_depths([e["sizes"] for e in entries], TREES - len(entries))
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(tree, pa.int32()), pa.array(trie, pa.binary()), pa.array(want, pa.int32())], ["node", "tree", "trie", "want"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(node, pa.int64()),
+                pa.array(tree, pa.int32()),
+                pa.array(trie, pa.binary()),
+                pa.array(want, pa.int32()),
+            ],
+            ["node", "tree", "trie", "want"],
+        )
 
 
 def _matched(classes: DataFrame) -> DataFrame:
     """node, run: the runs of the forest's tries with more than one text, each cut at its own depth."""
     top = depth()
-    tries = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("sig"), t * (2 * LEVELS) + 1, F.lit(2 * LEVELS)).alias("trie")))
+    tries = F.transform(
+        F.sequence(F.lit(0), F.lit(TREES - 1)),
+        lambda t: F.struct(
+            t.alias("tree"), F.substring(F.col("sig"), t * (2 * LEVELS) + 1, F.lit(2 * LEVELS)).alias("trie")
+        ),
+    )
     trees = classes.where(F.col("sig").isNotNull()).select("node", F.explode(tries).alias("p")).select("node", "p.tree", "p.trie")
     run = lambda d: F.xxhash64("tree", F.lit(d), _prefix(d))
     # sizes of the shortest prefixes' runs, by count before anything else moves; then of the longer ones
@@ -220,7 +247,9 @@ def _matched(classes: DataFrame) -> DataFrame:
     members = stage(members, "forest-members")
     sized = members
     for d in range(top + 1, LEVELS + 1):
-        sized = sized.withColumn("run", run(d)).join(members.groupBy(run(d).alias("run")).agg(F.count("*").alias(f"n{d}")), "run").drop("run")
+        sized = sized.withColumn("run", run(d)).join(
+            members.groupBy(run(d).alias("run")).agg(F.count("*").alias(f"n{d}")), "run"
+        ).drop("run")
     sizes = F.array(*[F.col(f"n{d}") for d in range(LEVELS, top - 1, -1)])
     trees_of = sized.groupBy("node").agg(F.collect_list(F.struct("tree", "trie", sizes.alias("sizes"))).alias("trees"))  # TREES entries at most
     wanted = stage(trees_of.mapInArrow(_choose, "node long, tree int, trie binary, want int"), "forest-depths")
@@ -228,9 +257,16 @@ def _matched(classes: DataFrame) -> DataFrame:
     cut = wanted.withColumn("depth", F.lit(None).cast("int"))
     for d in range(top, LEVELS):
         asked = wanted.groupBy(run(d).alias("run")).agg(F.min("want").alias("least")).where(F.col("least") <= d)
-        cut = cut.withColumn("run", run(d)).join(asked, "run", "left").withColumn("depth", F.when(F.col("depth").isNull() & F.col("least").isNotNull(), d).otherwise(F.col("depth"))).drop("run", "least")
+        cut = cut.withColumn("run", run(d)).join(asked, "run", "left").withColumn(
+            "depth", F.when(F.col("depth").isNull() & F.col("least").isNotNull(), d).otherwise(F.col("depth"))
+        ).drop("run", "least")
     cut = cut.withColumn("depth", F.coalesce("depth", F.lit(LEVELS)))
-    runs = stage(cut.select("node", F.xxhash64("tree", "depth", F.substring(F.col("trie"), F.lit(1), 2 * F.col("depth"))).alias("run")), "forest-runs")
+    runs = stage(
+        cut.select(
+            "node", F.xxhash64("tree", "depth", F.substring(F.col("trie"), F.lit(1), 2 * F.col("depth"))).alias("run")
+        ),
+        "forest-runs",
+    )
     unstage(members, wanted)
     return runs
 
@@ -243,7 +279,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = [i for i, n in enumerate(node) if not (n in seen or seen.add(n))]
         text = b.column("_text")
         sets = pa.array([shingles(text[i].as_py() or "").tobytes() for i in fresh], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(fresh, pa.int64())) for c in ("group", "node", "copies", "blocks")), sets], ["group", "node", "copies", "blocks", "set"])
+        yield pa.RecordBatch.from_arrays(
+            [*(b.column(c).take(pa.array(fresh, pa.int64())) for c in ("group", "node", "copies", "blocks")), sets],
+            ["group", "node", "copies", "blocks", "set"],
+        )
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,18 +292,31 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = pa.array([np.setdiff1d(s, o, assume_unique=True).tobytes() for s, o in zip(own, base, strict=True)], pa.binary())
         less = pa.array([np.setdiff1d(o, s, assume_unique=True).tobytes() for s, o in zip(own, base, strict=True)], pa.binary())
         size = pa.array([len(o) for o in base], pa.int64())
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("group", "node", "copies", "blocks")), more, less, size], ["group", "node", "copies", "blocks", "more", "less", "base_size"])
+        yield pa.RecordBatch.from_arrays(
+            [*(b.column(c) for c in ("group", "node", "copies", "blocks")), more, less, size],
+            ["group", "node", "copies", "blocks", "more", "less", "base_size"],
+        )
 
 
 def _tiles_of(sets: DataFrame) -> DataFrame:
     """Tiles of the candidate groups; each base is dealt out once for each block of its group."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     names = ["group", "node", "copies", "blocks", "more", "less", "base_size"]
-    small = sets.where("blocks = 1").select("group", "node", "copies", "blocks", F.col("set").alias("more"), F.lit(b"").alias("less"), F.lit(0).cast("long").alias("base_size"))
+    small = sets.where("blocks = 1").select(
+        "group",
+        "node",
+        "copies",
+        "blocks",
+        F.col("set").alias("more"),
+        F.lit(b"").alias("less"),
+        F.lit(0).cast("long").alias("base_size"),
+    )
     large = sets.where("blocks > 1").withColumn("_block", block)
     base = large.where(F.col("node") == F.col("group")).groupBy("group", "blocks").agg(F.max("set").alias("base"))
     base = base.select("group", "base", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_block"))
-    large = large.join(base, ["group", "_block"]).mapInArrow(_differences, "group long, node long, copies long, blocks int, more binary, less binary, base_size long")
+    large = large.join(base, ["group", "_block"]).mapInArrow(
+        _differences, "group long, node long, copies long, blocks int, more binary, less binary, base_size long"
+    )
     tiles = into_tiles(small.select(*names).unionByName(large), F.col("blocks"), F.xxhash64("node")).drop("blocks")
     return tiles.repartition("group", "_t1", "_t2").sortWithinPartitions("group", "_t1", "_t2")
 
@@ -273,20 +325,39 @@ def ngram_jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """doc_id, n_links (documents linked directly, copies included), component_id (the smallest
     doc_id that links reach, its own included), kept (whether that is its own and, of texts with
     that id, its text has the smallest digest), and `key`, the text's digest: one row per row of docs."""
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).select("doc_id", "_text", F.unhex(F.md5("_text")).alias("key"))
-    rows = stage(named.select("key", F.col("doc_id").alias("rep"), "_text", F.length("_text").cast("long").alias("chars")).mapInArrow(_signatures, "key binary, rep long, sig binary, chars long"), "signatures")
-    classes = rows.groupBy("key").agg(F.min("rep").alias("rep"), F.count("*").alias("copies"), F.max("sig").alias("sig"), F.max("chars").alias("chars"))
+    named = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")
+    ).select("doc_id", "_text", F.unhex(F.md5("_text")).alias("key"))
+    rows = stage(
+        named.select(
+            "key", F.col("doc_id").alias("rep"), "_text", F.length("_text").cast("long").alias("chars")
+        ).mapInArrow(_signatures, "key binary, rep long, sig binary, chars long"),
+        "signatures",
+    )
+    classes = rows.groupBy("key").agg(
+        F.min("rep").alias("rep"),
+        F.count("*").alias("copies"),
+        F.max("sig").alias("sig"),
+        F.max("chars").alias("chars"),
+    )
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "text-classes")
 
     runs = _matched(classes)
     sizes = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
     members = runs.join(sizes, "run").join(classes.select("node", "sig"), "node")
     tiles = into_tiles(members, F.ceil(F.col("n") / GROUP_BLOCK), F.xxhash64("node"))
-    tiles = tiles.select("run", "_t1", "_t2", "node", "sig").repartition("run", "_t1", "_t2").sortWithinPartitions("run", "_t1", "_t2", "node")
+    tiles = tiles.select(
+        "run", "_t1", "_t2", "node", "sig"
+    ).repartition("run", "_t1", "_t2").sortWithinPartitions("run", "_t1", "_t2", "node")
     candidates = components(tiles.mapInArrow(_run_forest, "a long, b long"))
 
     # exact verification of all pairs in a candidate group
-    found = stage(candidates.withColumnRenamed("component", "group").join(classes.select("node", "key", "rep", "copies", "chars"), "node"), "candidates")
+    found = stage(
+        candidates.withColumnRenamed("component", "group").join(
+            classes.select("node", "key", "rep", "copies", "chars"), "node"
+        ),
+        "candidates",
+    )
     unstage(runs)
     total = rows.count()
     weight = found.groupBy("group").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
@@ -296,8 +367,12 @@ def ngram_jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     # of a class's rows those with its smallest id alone meet it; the id is part of the join's key. The candidates
     # grow with the rows, so that they are shuffled at every size and never broadcast.
     rid = lambda c: F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("rid")
-    bodies = named.select("key", "doc_id", "_text", rid("doc_id")).join(found.select("*", rid("rep")).hint("merge"), ["key", "rid"]).where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = bodies.select("group", "node", "copies", "blocks", "_text").mapInArrow(_sets, "group long, node long, copies long, blocks int, set binary")
+    bodies = named.select("key", "doc_id", "_text", rid("doc_id")).join(
+        found.select("*", rid("rep")).hint("merge"), ["key", "rid"]
+    ).where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    sets = bodies.select("group", "node", "copies", "blocks", "_text").mapInArrow(
+        _sets, "group long, node long, copies long, blocks int, set binary"
+    )
     sets = stage(sets, "candidate-sets")
     verified = stage(_tiles_of(sets).mapInArrow(_verify, "node long, links long, a long, b long"), "verified")
     unstage(sets, weight)
@@ -307,12 +382,33 @@ def ngram_jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     linked = stage(linked.join(classes.select("node", "key", "rep"), "node"), "linked")
     # a component's smallest member by (id, text), null ids last, so that one text leads where ids repeat or lack
     least = linked.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("_m"), F.count("*").alias("n"))
-    answer = join_by_size(linked, stage(least, "component-leads"), ["component"], "n", total).join(links, "node").select("node", F.col("_m.rep").alias("component_id"), (F.col("key") == F.col("_m.key")).alias("_leads"), "links")
-    judged = classes.join(answer, "node", "left").select("key", "copies", F.col("sig").isNull().alias("_bare"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("_leads", F.lit(True)).alias("_leads"))
+    answer = join_by_size(linked, stage(least, "component-leads"), ["component"], "n", total).join(links, "node").select(
+        "node", F.col("_m.rep").alias("component_id"), (F.col("key") == F.col("_m.key")).alias("_leads"), "links"
+    )
+    judged = classes.join(answer, "node", "left").select(
+        "key",
+        "copies",
+        F.col("sig").isNull().alias("_bare"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component_id", "rep").alias("component_id"),
+        F.coalesce("_leads", F.lit(True)).alias("_leads"),
+    )
     whole = join_by_size(rows.select("key", F.col("rep").alias("doc_id")), stage(judged, "judged-classes"), ["key"], "copies", total)
     own = lambda bare, other: F.when(F.col("_bare"), bare).otherwise(other)
-    out = whole.select("doc_id", own(F.lit(0).cast("long"), F.col("n_links")).alias("n_links"), own(F.col("doc_id"), F.col("component_id")).alias("component_id"), "_leads", F.lower(F.hex("key")).alias("key"))
-    return out.select("doc_id", "n_links", "component_id", (F.col("_leads") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), "key")
+    out = whole.select(
+        "doc_id",
+        own(F.lit(0).cast("long"), F.col("n_links")).alias("n_links"),
+        own(F.col("doc_id"), F.col("component_id")).alias("component_id"),
+        "_leads",
+        F.lower(F.hex("key")).alias("key"),
+    )
+    return out.select(
+        "doc_id",
+        "n_links",
+        "component_id",
+        (F.col("_leads") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
+        "key",
+    )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -320,14 +416,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stays (null ids last), and one row of those that repeat it; texts without words all stay. Columns are unchanged."""
     # rows get names of their own, so that of repeated rows exactly one stays
     names = docs.columns
-    packed = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_key"))
+    packed = docs.select(
+        F.struct(*names).alias("_row"),
+        F.col("doc_id").cast("long").alias("_id"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("_key"),
+    )
     judged = ngram_jaccard_join(docs)
     stays = stage(judged.where("kept").groupBy("doc_id", "key").agg(F.count("*").alias("_n"), F.max("n_links").alias("_l")), "stays")
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))
     alone = packed.join(stays.where("_n = 1 or _l = 0").hint("merge"), same, "left_semi").select("_row.*")  # grows with the rows
     if stays.where("_n > 1 and _l > 0").isEmpty():  # no row repeats a kept one: its texts need not move again
         return alone
-    again = packed.join(stays.where("_n > 1 and _l > 0").hint("merge"), same).groupBy("_id", "_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    again = packed.join(
+        stays.where("_n > 1 and _l > 0").hint("merge"), same
+    ).groupBy("_id", "_key").agg(F.first("_row").alias("_row")).select("_row.*")
     return alone.unionByName(again)
 
 

@@ -87,7 +87,9 @@ class Tokens:
         vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not model.get("dropout")
         letters = _byte_letters()
-        if plain and all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(merges)) and sorted(vocab[c] for c in letters) == list(range(256)):
+        if plain and all(
+            vocab[a + b] == 256 + i for i, (a, b) in enumerate(merges)
+        ) and sorted(vocab[c] for c in letters) == list(range(256)):
             special = {t["content"] for t in spec.get("added_tokens", ())}
             table = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
             self.encode, most = ByteBpe(table).encode, max(table.values())
@@ -421,7 +423,16 @@ def place(table: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) ->
 # ---------------------------------------------------------------- the operator
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, *, doc_id: str = "doc_id", text: str = "text", nodes: int = NODES, keep_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame,
+    capacity: int = CAPACITY,
+    tokenizer: str | None = None,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    nodes: int = NODES,
+    keep_ids: bool = False,
+) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (, ids), and for the whole
     packing n_sequences and a proven lower bound of it, n_sequences_least: their difference is the search's gap."""
     path = tokenizer or default_tokenizer()
@@ -447,7 +458,10 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _rank long, _task int" + ", ids binary" * keep_ids
     pieces = stage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, schema), "pieces")
     per_task = pieces.groupBy("length", "_task").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(
+        F.sum("_n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0),
+    )
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in per_task.groupBy("length").agg(F.sum("_n")).collect():
         counts[size] = n
@@ -457,16 +471,31 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
     def unpacked(column: pa.Array, length: np.ndarray) -> pa.Array:
         bodies = column.to_pylist()
         wide = len(bodies[0]) // int(length[0]) if bodies else 4  # a piece has its end id at least
-        return pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(length)], np.frombuffer(b"".join(bodies), f"<u{wide}").astype(np.int32)).cast(pa.list_(pa.int32()))
+        return pa.LargeListArray.from_arrays(
+            np.r_[0, np.cumsum(length)], np.frombuffer(b"".join(bodies), f"<u{wide}").astype(np.int32)
+        ).cast(pa.list_(pa.int32()))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
             sequence, offset = place(table, length, rank)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset), *[unpacked(b.column(c), length) for c in ["ids"] * keep_ids]], [*names[:5], "sequence_id", "offset", *["ids"] * keep_ids])
-
-    ranked = pieces.join(per_task.select("length", "_task", before.alias("_before")), ["length", "_task"]).select(*names[:5], (F.col("_rank") + F.col("_before")).alias("_rank"), *["ids"] * keep_ids)
-    placed = ranked.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * keep_ids)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *b.columns[:5],
+                    pa.array(sequence),
+                    pa.array(offset),
+                    *[unpacked(b.column(c), length) for c in ["ids"] * keep_ids],
+                ],
+                [*names[:5], "sequence_id", "offset", *["ids"] * keep_ids],
+            )
+
+    ranked = pieces.join(per_task.select("length", "_task", before.alias("_before")), ["length", "_task"]).select(
+        *names[:5], (F.col("_rank") + F.col("_before")).alias("_rank"), *["ids"] * keep_ids
+    )
+    placed = ranked.mapInArrow(
+        put,
+        "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * keep_ids,
+    )
     return placed.withColumns({"n_sequences": F.lit(bins).cast("long"), "n_sequences_least": F.lit(least).cast("long")})
 
 

@@ -186,7 +186,10 @@ def redact_pii(docs: DataFrame) -> DataFrame:
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest columns, derived from the operator's spans with column functions."""
     found = pii_spans(read_table(spark, sf_dir, "documents"))
-    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
+        ",",
+    )
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")

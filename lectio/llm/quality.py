@@ -180,7 +180,10 @@ def score_quality(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
         for b in small(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_score(shared.value, texts(b.column(1)), kept), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(_score(shared.value, texts(b.column(1)), kept), pa.float64())],
+                ["doc_id", "score"],
+            )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, score double")
 

@@ -82,17 +82,38 @@ def shard_documents(docs: DataFrame, shards: int = 16, *, key: str = "doc_id", t
         F.crc32(body).alias("text_crc32"),
         jump_shards(F.col(key), [shards, shards + 1]).alias("to"),
     )
-    rows = stage(placed.select("doc_id", "size", "text_crc32", F.col("to.s0").alias("shard"), F.col("to.s1").alias("grown_shard"), F.monotonically_increasing_id().alias("_row")), "shards")
+    rows = stage(
+        placed.select(
+            "doc_id",
+            "size",
+            "text_crc32",
+            F.col("to.s0").alias("shard"),
+            F.col("to.s1").alias("grown_shard"),
+            F.monotonically_increasing_id().alias("_row"),
+        ),
+        "shards",
+    )
     part = F.pmod(F.xxhash64("doc_id", "_row"), F.lit(slices(rows, shards))).alias("_slice")
     rows = rows.select("*", part)
     sums = rows.groupBy("shard", "_slice").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(
+        F.sum("_n").over(Window.partitionBy("shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0),
+    )
     sums = sums.select("shard", "_slice", before.alias("_before"))
     within = F.row_number().over(Window.partitionBy("shard", "_slice").orderBy("doc_id", "text_crc32", "size", "_row")) - 1
     return (
         rows.withColumn("_within", within)
         .join(sums, ["shard", "_slice"])
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_within")).cast("long").alias("slot"), "grown_shard")
+        .select(
+            "doc_id",
+            "size",
+            "text_crc32",
+            F.lit("key").alias("law"),
+            "shard",
+            (F.col("_before") + F.col("_within")).cast("long").alias("slot"),
+            "grown_shard",
+        )
     )
 
 

@@ -133,7 +133,9 @@ class Vocabulary:
             while to < len(fresh) and (to == at or chars + len(fresh[to]) <= PART):
                 chars += len(fresh[to])
                 to += 1
-            h, f, own = long_features(fresh[at], self.buckets, self.grams) if chars > PART else features(fresh[at:to], self.buckets, self.grams)
+            h, f, own = long_features(fresh[at], self.buckets, self.grams) if chars > PART else features(
+                fresh[at:to], self.buckets, self.grams
+            )
             hashes.append(h)
             found.append(f)
             sizes.append(np.bincount(own, minlength=to - at))

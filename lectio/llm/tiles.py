@@ -19,7 +19,9 @@ def into_tiles(rows: DataFrame, blocks: Column, mix: Column) -> DataFrame:
     """
     placed = rows.withColumn("_blocks", blocks.cast("int")).withColumn("_block", F.pmod(mix, F.col("_blocks").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    return placed.select("*", other).select(*placed.columns, F.least("_block", "_other").alias("_t1"), F.greatest("_block", "_other").alias("_t2")).drop("_blocks")
+    return placed.select("*", other).select(
+        *placed.columns, F.least("_block", "_other").alias("_t1"), F.greatest("_block", "_other").alias("_t2")
+    ).drop("_blocks")
 
 
 def each_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

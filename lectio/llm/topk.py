@@ -203,7 +203,14 @@ def _blocks(scale: int, block: int):
             ids, rows, x = zip(*held.pop(key), strict=True)
             kind, body = pack(np.floor(np.array(x, np.float64).reshape(len(ids), key[1]) * scale))
             cols = [[key[0]], [key[1]], [np.array(ids, "<i8").tobytes()], [np.array(rows, "<i8").tobytes()], [kind], [body]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary()], strict=True)], names)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c, t) for c, t in zip(
+                        cols, [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary()], strict=True
+                    )
+                ],
+                names,
+            )
 
         for b in batches:
             for i, q, v in zip(b.column("vec_id").to_pylist(), b.column("_q").to_pylist(), b.column("_v").to_pylist(), strict=True):
@@ -232,9 +239,16 @@ def _search(k: int):
 
         def answer() -> pa.RecordBatch:
             ids = np.concatenate([i for i, _, _ in queries]).tolist()
-            rows = [(int(best.rows[i]), ids[i], v, r, max(-_LONG, min(_LONG - 1, -s)), float(-s)) for i, found in enumerate(best.found) for s, v, r in found]
+            rows = [
+                (
+                    int(best.rows[i]), ids[i], v, r, max(-_LONG, min(_LONG - 1, -s)), float(-s)
+                ) for i, found in enumerate(best.found) for s, v, r in found
+            ]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n != "_near" else pa.float64()) for c, n in zip(cols, names, strict=True)], names)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64() if n != "_near" else pa.float64()) for c, n in zip(cols, names, strict=True)],
+                names,
+            )
 
         for b in batches:
             for r in b.to_pylist():
@@ -258,14 +272,27 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, *, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK, band: int = BAND, span: int = SPAN) -> DataFrame:
+def top_k(
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = K,
+    scale: int = SCALE,
+    *,
+    vec_id: str = "vec_id",
+    vector: str = "embedding",
+    block: int = BLOCK,
+    band: int = BAND,
+    span: int = SPAN,
+) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best candidates.
 
     is_query: a condition on the column vec_id.
     """
     v = F.col("_v")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("_v")).where(F.col("vec_id").isNotNull() & F.coalesce(v.isNotNull() & sound, F.lit(False)))
+    rows = vectors.select(
+        F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("_v")
+    ).where(F.col("vec_id").isNotNull() & F.coalesce(v.isNotNull() & sound, F.lit(False)))
     rows = rows.select("vec_id", "_v", F.coalesce(is_query, F.lit(False)).alias("_q"))
     blocks = rows.mapInArrow(_blocks(scale, block), "side int, width int, ids binary, rows binary, kind string, body binary")
     blocks = stage(blocks.withColumn("name", F.monotonically_increasing_id()), "vector-blocks")
@@ -279,10 +306,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     cols = ["_band", "_span", "width", "side", "name", "ids", "rows", "kind", "body"]
     as_q = blocks.where("side = 0").withColumn("_band", deal(bands)).withColumn("_span", every(spans))
     as_c = blocks.where("side = 1").withColumn("_span", deal(spans)).withColumn("_band", every(bands))
-    met = as_q.select(cols).unionByName(as_c.select(cols)).repartition(bands * spans, "_band", "_span").sortWithinPartitions("_band", "_span", "width", "side", "name")
+    met = as_q.select(cols).unionByName(as_c.select(cols)).repartition(bands * spans, "_band", "_span").sortWithinPartitions(
+        "_band", "_span", "width", "side", "name"
+    )
     near = met.mapInArrow(_search(k), "_query long, query_id long, vec_id long, _row long, score long, _near double")
     rank = F.row_number().over(Window.partitionBy("_query").orderBy(F.desc("score"), F.desc("_near"), "vec_id", "_row"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
+    )
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

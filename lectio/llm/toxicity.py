@@ -154,7 +154,9 @@ def pool_terms(par: dict, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return np.exp(hidden @ par["v"]), states @ par["o"], hidden
 
 
-def window_logits(weight: np.ndarray, value: np.ndarray, size: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_logits(
+    weight: np.ndarray, value: np.ndarray, size: np.ndarray, c: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Logits of all windows of consecutive texts of size[i] words, their texts, begins and ends.
 
     Pooling and the logistic layer are one weighted mean: sum(weight * value) / sum(weight) + c.
@@ -268,12 +270,36 @@ def fit(rows: list[tuple[str, int]], seed: int = 11, epochs: int = EPOCHS) -> Mo
             pick = order[k : k + BATCH]
             part = done / max(1, steps - 1)
             done += 1
-            _train(model, words, [split[i][0] for i in pick], labels[pick], gain[pick], BETA[0] * (BETA[1] / BETA[0]) ** part, adam, squares, done, 1 - 0.9 * part, rng)
+            _train(
+                model,
+                words,
+                [split[i][0] for i in pick],
+                labels[pick],
+                gain[pick],
+                BETA[0] * (BETA[1] / BETA[0]) ** part,
+                adam,
+                squares,
+                done,
+                1 - 0.9 * part,
+                rng,
+            )
     _calibrate(model, [t for t, _ in rows], np.array([y for _, y in rows], np.float64))
     return model
 
 
-def _train(model: Model, words: Vocabulary, texts_: list[np.ndarray], target: np.ndarray, gain: np.ndarray, beta: float, adam: dict, squares, step: int, pace: float, rng: np.random.Generator) -> None:
+def _train(
+    model: Model,
+    words: Vocabulary,
+    texts_: list[np.ndarray],
+    target: np.ndarray,
+    gain: np.ndarray,
+    beta: float,
+    adam: dict,
+    squares,
+    step: int,
+    pace: float,
+    rng: np.random.Generator,
+) -> None:
     """One step of Adam (Kingma and Ba, 2015) on the parameters, of Adagrad on the vectors."""
     rows, size = [], []
     for ids in texts_:
@@ -391,7 +417,9 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(np.round(m.scale * z + m.shift, 3), -60, 60)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=None, *, per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, keep=None, *, per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS
+) -> Model:
     return fit_in_task(training_rows(docs, labels, "toxic", keep, per_class, max_chars), fit)
 
 
@@ -408,7 +436,10 @@ def score_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
         for b in small(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_score(shared.value, texts(b.column(1)), kept), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(_score(shared.value, texts(b.column(1)), kept), pa.float64())],
+                ["doc_id", "score"],
+            )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, score double")
 

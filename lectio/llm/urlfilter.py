@@ -69,7 +69,10 @@ def _sweep(default: str):
         now, stack, memo_at, memo = None, [], None, None
         for batch in batches:
             ids, hosts, outs, rules, verdicts = [], [], [], [], []
-            for pid, kind, key, page, host, path, verdict in zip(*(batch.column(c).to_pylist() for c in ("pid", "kind", "key", "page_id", "host", "path", "verdict")), strict=True):
+            for pid, kind, key, page, host, path, verdict in zip(
+                *(batch.column(c).to_pylist() for c in ("pid", "kind", "key", "page_id", "host", "path", "verdict")),
+                strict=True,
+            ):
                 if pid != now:
                     now, stack, memo_at = pid, [], None
                 while stack and not key.startswith(stack[-1][0]):
@@ -91,7 +94,16 @@ def _sweep(default: str):
                 outs.append(path)
                 rules.append(memo[0])
                 verdicts.append(memo[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(outs, pa.string()), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.array(hosts, pa.string()),
+                    pa.array(outs, pa.string()),
+                    pa.array(rules, pa.string()),
+                    pa.array(verdicts, pa.string()),
+                ],
+                ["page_id", "host", "path", "rule", "verdict"],
+            )
 
     return run
 
@@ -105,7 +117,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", *, p
     host, path = url_host_path(F.col(url))
     parsed = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     mix = F.lpad(F.hex(F.xxhash64("page_id", "host", "path")), 16, "0")
-    parsed = parsed.select("*", reversed_host(F.col("host")).alias("key")).select("*", F.concat_ws(" ", "key", F.substring("path", 1, PATH_SHOWN), mix).alias("place"))
+    parsed = parsed.select("*", reversed_host(F.col("host")).alias("key")).select(
+        "*", F.concat_ws(" ", "key", F.substring("path", 1, PATH_SHOWN), mix).alias("place")
+    )
 
     ranges = min(MOST_RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     share = max(1, parsed.count() // (SAMPLE_PER_RANGE * ranges))  # about SAMPLE_PER_RANGE * ranges keys come back
@@ -123,17 +137,50 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", *, p
                 last = bisect_right(bounds, key, key=lambda x, n=len(key): x[:n])
                 out += [(h, p, key, key, verdict, pid) for pid in range(bisect_right(bounds, key), last + 1)]
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 5 + [pa.int32()], strict=True)], ["host", "path", "key", "place", "verdict", "pid"])
-
-    urls = parsed.mapInArrow(locate, "page_id long, host string, path string, key string, place string, pid int").select("pid", F.lit(1).alias("kind"), "key", "place", "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
-    ruled = rules.where(F.col("host").isNotNull()).select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce(F.col("path"), F.lit("")).alias("path"), F.col("verdict"))
-    ruled = ruled.select("host", "path", reversed_host(F.col("host")).alias("key"), "verdict").mapInArrow(spread, "host string, path string, key string, place string, verdict string, pid int")
-    ruled = ruled.select("pid", F.lit(0).alias("kind"), "key", "place", F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, [pa.string()] * 5 + [pa.int32()], strict=True)],
+                ["host", "path", "key", "place", "verdict", "pid"],
+            )
+
+    urls = parsed.mapInArrow(locate, "page_id long, host string, path string, key string, place string, pid int").select(
+        "pid",
+        F.lit(1).alias("kind"),
+        "key",
+        "place",
+        "page_id",
+        "host",
+        "path",
+        F.lit(None).cast("string").alias("verdict"),
+    )
+    ruled = rules.where(F.col("host").isNotNull()).select(
+        F.translate("host", UPPER, LOWER).alias("host"),
+        F.coalesce(F.col("path"), F.lit("")).alias("path"),
+        F.col("verdict"),
+    )
+    ruled = ruled.select("host", "path", reversed_host(F.col("host")).alias("key"), "verdict").mapInArrow(
+        spread, "host string, path string, key string, place string, verdict string, pid int"
+    )
+    ruled = ruled.select(
+        "pid",
+        F.lit(0).alias("kind"),
+        "key",
+        "place",
+        F.lit(None).cast("long").alias("page_id"),
+        "host",
+        "path",
+        "verdict",
+    )
     return urls.unionByName(ruled).repartition(ranges, "pid").sortWithinPartitions("pid", "place", "kind").mapInArrow(_sweep(default), OUT)
 
 
 #: The rules that the query's contract fixes: host, path, verdict.
-CONTRACT_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+CONTRACT_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body = single if (single.astype(np.float64) == x).all() else x.astype("<f8")
         own = [[t.column(c)[0].as_py()] for c in ("width", "cell", "s")]
         held = [[t.column(c).to_numpy().astype("<i8").tobytes()] for c in ("node", "copies")]
-        yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.int32()) for v in own], *[pa.array(v, pa.binary()) for v in held], pa.array([body.tobytes()], pa.binary())], ["width", "cell", "s", "nodes", "copies", "body"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[pa.array(v, pa.int32()) for v in own],
+                *[pa.array(v, pa.binary()) for v in held],
+                pa.array([body.tobytes()], pa.binary()),
+            ],
+            ["width", "cell", "s", "nodes", "copies", "body"],
+        )
 
 
 def _tile(threshold: float):
@@ -116,8 +123,12 @@ def _tile(threshold: float):
             got = np.flatnonzero(links)
             a, b = (np.concatenate([p[k] for p in pairs] or [np.empty(0, np.int64)]) for k in (0, 1))
             a, b = _forest_of(a, b, len(node))
-            yield pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(links[got]), none(len(got)), none(len(got))], ["node", "links", "a", "b"])
-            yield pa.RecordBatch.from_arrays([none(len(a)), none(len(a)), pa.array(node[a]), pa.array(node[b])], ["node", "links", "a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[got]), pa.array(links[got]), none(len(got)), none(len(got))], ["node", "links", "a", "b"]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [none(len(a)), none(len(a)), pa.array(node[a]), pa.array(node[b])], ["node", "links", "a", "b"]
+            )
 
     return run
 
@@ -137,7 +148,15 @@ def _forest_of(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return out, label[out]
 
 
-def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, *, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK, pivots: int | None = None) -> DataFrame:
+def dedup_vectors(
+    vectors: DataFrame,
+    threshold: float = THRESHOLD,
+    *,
+    vec_id: str = "vec_id",
+    vector: str = "embedding",
+    block: int = BLOCK,
+    pivots: int | None = None,
+) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of `vectors`."""
     spark = vectors.sparkSession
     read = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("e"))
@@ -145,8 +164,15 @@ def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, *, vec_id: s
     clean = F.transform("e", lambda x: x.cast("double") + F.lit(0.0))
     rows = read.select("vec_id", F.when(usable("e"), clean).alias("e"))
     named = rows.select("vec_id", "e", F.xxhash64("e").alias("h1"), F.xxhash64(F.lit(1), "e").alias("h2"))
-    classes = named.where(F.col("e").isNotNull()).groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("e").alias("e"))
-    classes = stage(classes.select("h1", "h2", "rep", "copies", "e", F.size("e").alias("width"), F.monotonically_increasing_id().alias("node")), "vector-classes")
+    classes = named.where(F.col("e").isNotNull()).groupBy("h1", "h2").agg(
+        F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("e").alias("e")
+    )
+    classes = stage(
+        classes.select(
+            "h1", "h2", "rep", "copies", "e", F.size("e").alias("width"), F.monotonically_increasing_id().alias("node")
+        ),
+        "vector-classes",
+    )
 
     total = classes.count()
     block = max(1, min(block, -(-total // FEW)))
@@ -165,7 +191,10 @@ def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, *, vec_id: s
                 cos = unit(_matrix(pa.chunked_array([b.column("e").take(pa.array(at))]), w)) @ centres[w].T
                 cell[at] = cos.argmax(axis=1)
                 angle[at] = np.arccos(np.clip(cos.max(axis=1), -1, 1))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "copies", "e", "width", "h1")), pa.array(cell), pa.array(angle)], ["node", "copies", "e", "width", "h1", "cell", "angle"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in ("node", "copies", "e", "width", "h1")), pa.array(cell), pa.array(angle)],
+                ["node", "copies", "e", "width", "h1", "cell", "angle"],
+            )
 
     cells = classes.mapInArrow(to_cells, "node long, copies long, e array<double>, width int, h1 long, cell int, angle double")
     cells = stage(cells, "vector-cells")
@@ -192,18 +221,37 @@ def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, *, vec_id: s
     # each block goes to every tile of its own; a tile is named by its cells and blocks
     tile = F.concat_ws(",", "width", "c", "d", "s", "t").alias("_tile")
     cols = [tile, "_side", "width", "nodes", "copies", "body"]
-    as_c = blocks.withColumnRenamed("cell", "c").join(table, ["width", "c"]).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("nd") - 1))).where("c <> d or s <= t")
-    as_d = blocks.withColumnRenamed("cell", "d").withColumnRenamed("s", "t").join(table, ["width", "d"]).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).where("c <> d or s < t")
-    tiles = as_c.withColumn("_side", F.lit(0)).select(*cols).unionByName(as_d.withColumn("_side", F.lit(1)).select(*cols)).repartition("_tile").sortWithinPartitions("_tile", "_side")
+    as_c = blocks.withColumnRenamed("cell", "c").join(table, ["width", "c"]).withColumn(
+        "t", F.explode(F.sequence(F.lit(0), F.col("nd") - 1))
+    ).where("c <> d or s <= t")
+    as_d = blocks.withColumnRenamed("cell", "d").withColumnRenamed("s", "t").join(table, ["width", "d"]).withColumn(
+        "s", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))
+    ).where("c <> d or s < t")
+    tiles = as_c.withColumn("_side", F.lit(0)).select(*cols).unionByName(
+        as_d.withColumn("_side", F.lit(1)).select(*cols)
+    ).repartition("_tile").sortWithinPartitions("_tile", "_side")
     found = stage(tiles.mapInArrow(_tile(threshold), "node long, links long, a long, b long"), "vector-links")
     unstage(cells, blocks)
 
     links = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where(F.col("a").isNotNull()).select("a", "b")).withColumnRenamed("component", "root")
     per_class = classes.select("h1", "h2", "rep", "copies", "node").join(links, "node", "left").join(joined, "node", "left")
-    per_class = stage(per_class.select("h1", "h2", "rep", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "vector-roots")
+    per_class = stage(
+        per_class.select(
+            "h1",
+            "h2",
+            "rep",
+            "copies",
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.coalesce("root", "node").alias("root"),
+        ),
+        "vector-roots",
+    )
     least = stage(per_class.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("_n")), "vector-components")
-    answer = stage(join_by_size(per_class, least, ["root"], "_n", total).select("h1", "h2", "copies", "n_links", "component_id"), "vector-answers")
+    answer = stage(
+        join_by_size(per_class, least, ["root"], "_n", total).select("h1", "h2", "copies", "n_links", "component_id"),
+        "vector-answers",
+    )
     sound, rest = named.where(F.col("e").isNotNull()).select("vec_id", "h1", "h2"), named.where(F.col("e").isNull()).select("vec_id")
     done = join_by_size(sound, answer, ["h1", "h2"], "copies", vectors.count()).select("vec_id", "n_links", "component_id")
     done = done.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))

@@ -13,7 +13,18 @@ from pyspark.sql import functions as F
 from lectio.llm import bpe, common, graph, ngram_join, packing, pii, quality, sharding, subword, tiles, topk, toxicity, urlfilter, vecdedup
 
 LONG = "wordy " * 20_000
-AWKWARD = [(1, None), (2, ""), (3, "the cat sat on the mat today"), (4, "the cat sat on the mat today"), (4, "the cat sat on the mat today"), (5, LONG), (None, "mail a.b@c.org or +1 (555) 010-9999 now"), (6, " \n "), (7, "x" * 30_000), (8, "Tür 日本 <|endoftext|> \x1c\x85")]
+AWKWARD = [
+    (1, None),
+    (2, ""),
+    (3, "the cat sat on the mat today"),
+    (4, "the cat sat on the mat today"),
+    (4, "the cat sat on the mat today"),
+    (5, LONG),
+    (None, "mail a.b@c.org or +1 (555) 010-9999 now"),
+    (6, " \n "),
+    (7, "x" * 30_000),
+    (8, "Tür 日本 <|endoftext|> \x1c\x85"),
+]
 #: Names that the operators use themselves.
 CLASHING = "size shard slot _slice key rep _text sig group node component score label _rank length spans ids _key _row _n chars copies links".split()
 
@@ -51,11 +62,17 @@ def jump(key, n):
 
 def test_sharding(spark, awkward, empty, documents):
     keys = [0, 1, -1, 2**63 - 1, -(2**63), *[random.Random(3).randrange(-(2**63), 2**63) for _ in range(500)]]
-    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", sharding.jump_shards(F.col("k"), [1, 16, 17, 100]).alias("s")).collect()
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select(
+        "k", sharding.jump_shards(F.col("k"), [1, 16, 17, 100]).alias("s")
+    ).collect()
     assert all([r.s.s0, r.s.s1, r.s.s2, r.s.s3] == [jump(r.k, n) for n in (1, 16, 17, 100)] for r in got)
     for table, rows in ((awkward, [(i, t) for i, t in AWKWARD]), (documents, documents.select("doc_id", "text").collect())):
         got = sharding.shard_documents(table).collect()
-        want = sorted((i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), jump(i or 0, 16), jump(i or 0, 17)) for i, t in rows)
+        want = sorted(
+            (
+                i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), jump(i or 0, 16), jump(i or 0, 17)
+            ) for i, t in rows
+        )
         assert sorted((r.doc_id or -1, r.size, r.text_crc32, r.shard, r.grown_shard) for r in got) == want
         assert all(r.grown_shard in (r.shard, 16) for r in got)
         for s in range(16):
@@ -89,10 +106,32 @@ def test_urls(spark, sf_dir):
     labels = ["a", "b", "example", "org", "com", "www"]
     host = lambda: ".".join(rng.choice(labels) for _ in range(rng.randrange(1, 4)))
     path = lambda: "/" + "/".join(rng.choice(["x", "y", "xy", ""]) for _ in range(rng.randrange(0, 4)))
-    rules = list({(h, p): (h, p, rng.choice(["allow", "block"])) for h, p in ((host(), path()[: rng.randrange(0, 6)]) for _ in range(60))}.values())
+    rules = list(
+        {
+            (h, p): (h, p, rng.choice(["allow", "block"])) for h, p in (
+                (host(), path()[: rng.randrange(0, 6)]) for _ in range(60)
+            )
+        }.values()
+    )
     rules += [("org", "", "allow"), ("org", "", "block")] if not any(r[:2] == ("org", "") for r in rules) else []
-    urls = [f"http://{host()}{path()}" for _ in range(800)] + [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/ES/?q#f", "http://a.org?x", "://org", "http://É.org:80/x", "http://org./x", "http://x..org/", "http://a\nb.org/y\nz", "http://a.org/" + "x" * 5000, "http://" + "a." * 400 + "org/y"] + ["http://hot.org/x"] * 500
-    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"key": F.lit(1), "place": F.lit(2), "pid": F.lit(3), "kind": F.lit(4)})
+    urls = [f"http://{host()}{path()}" for _ in range(800)] + [
+        None,
+        "",
+        "no scheme",
+        "http://",
+        "HTTP://WWW.Example.ORG/ES/?q#f",
+        "http://a.org?x",
+        "://org",
+        "http://É.org:80/x",
+        "http://org./x",
+        "http://x..org/",
+        "http://a\nb.org/y\nz",
+        "http://a.org/" + "x" * 5000,
+        "http://" + "a." * 400 + "org/y",
+    ] + ["http://hot.org/x"] * 500
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns(
+        {"key": F.lit(1), "place": F.lit(2), "pid": F.lit(3), "kind": F.lit(4)}
+    )
     got = urlfilter.filter_urls(table, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
     assert len(got) == len(urls)
     for r in got:
@@ -126,7 +165,30 @@ def plain_base(text):
 
 def test_personal_data_base():
     rng = random.Random(9)
-    bits = ["a", "b.c", "@", "@", "x@y.z", ".", "-", "+", " ", "1", "23", "4111 1111 1111 1111", "4111111111111111", "192.168.0.1", "999.1.1.1", "0255.001.0.0", "+1 (555) 010-9999", "é", "%", "\n", "00", "5500-0000-0000-0004"]
+    bits = [
+        "a",
+        "b.c",
+        "@",
+        "@",
+        "x@y.z",
+        ".",
+        "-",
+        "+",
+        " ",
+        "1",
+        "23",
+        "4111 1111 1111 1111",
+        "4111111111111111",
+        "192.168.0.1",
+        "999.1.1.1",
+        "0255.001.0.0",
+        "+1 (555) 010-9999",
+        "é",
+        "%",
+        "\n",
+        "00",
+        "5500-0000-0000-0004",
+    ]
     for _ in range(4000):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
         assert [s[:3] for s in pii.find_pii(text) if s[0] in pii.BASE_KINDS] == plain_base(text), text
@@ -147,7 +209,9 @@ def test_personal_data_more(spark, awkward, empty):
     assert [s.kind for s in got[None]] == ["email", "phone"] and not got[1] and len(got) == 9
     kept = pii.redact_pii(awkward)
     assert kept.columns == awkward.columns and kept.dtypes == awkward.dtypes
-    assert {(r.text, r.n_chars) for r in kept.where("doc_id is null or doc_id = 1").collect()} == {("mail [EMAIL] or [PHONE] now", 27), (None, None)}
+    assert {
+        (r.text, r.n_chars) for r in kept.where("doc_id is null or doc_id = 1").collect()
+    } == {("mail [EMAIL] or [PHONE] now", 27), (None, None)}
     assert pii.pii_spans(empty).count() == 0 and pii.redact_pii(empty).count() == 0
 
 
@@ -194,7 +258,13 @@ def test_bpe_parts_change_nothing(monkeypatch):
 def test_bpe_documents(spark, awkward, empty):
     whole, ours = whole_coder(), bpe.load(bpe.default_ranks())
     got = bpe.round_trip(awkward).collect()
-    want = sorted((len(i), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for _, t in AWKWARD for i in [whole.encode_ordinary(t or "")])
+    want = sorted(
+        (
+            len(i),
+            hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest(),
+            hashlib.sha256((t or "").encode()).hexdigest(),
+        ) for _, t in AWKWARD for i in [whole.encode_ordinary(t or "")]
+    )
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     back = bpe.decode_documents(bpe.encode_documents(awkward)).collect()
     assert sorted(bytes(r.content) for r in back) == sorted((t or "").encode() for _, t in AWKWARD)
@@ -339,9 +409,17 @@ def test_packing(spark, awkward, empty, documents):
 
 def plain_links(rows):
     """(links, component) by row, from all pairs."""
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.findall(r"\w+", (t or "").lower())) else set() for _, t in rows]
+    sets = [
+        {
+            tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))
+        } if (w := re.findall(r"\w+", (t or "").lower())) else set() for _, t in rows
+    ]
     n = len(rows)
-    near = [[i != j and bool(sets[i]) and bool(sets[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-12 for j in range(n)] for i in range(n)]
+    near = [
+        [
+            i != j and bool(sets[i]) and bool(sets[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-12 for j in range(n)
+        ] for i in range(n)
+    ]
     component = list(range(n))
     changed = True
     while changed:
@@ -444,16 +522,35 @@ def test_runs_are_cut_at_their_own_depth(spark):
     lengths = set()
     for members in run_of.values():  # a run is all texts that share a prefix in one tree
         members = sorted(members)
-        fits = [(j, d) for j in range(ngram_join.TREES) for d in range(ngram_join.LEVELS, ngram_join.depth() - 1, -1) if set(members) == set(np.flatnonzero((sig[:, j, :d] == sig[members[0], j, :d]).all(axis=1)).tolist())]
+        fits = [
+            (j, d) for j in range(ngram_join.TREES) for d in range(ngram_join.LEVELS, ngram_join.depth() - 1, -1) if set(members) == set(
+                np.flatnonzero((sig[:, j, :d] == sig[members[0], j, :d]).all(axis=1)).tolist()
+            )
+        ]
         assert fits
         lengths.add(max(d for _, d in fits))
     assert len(lengths) > 1
     for i in range(300):  # each text reaches the target by the depths of its runs, alone counting as the shortest
         depths = []
         for j in range(ngram_join.TREES):
-            runs = [m for m in run_of.values() if i in m and any(set(m) == set(np.flatnonzero((sig[:, j, :d] == sig[i, j, :d]).all(axis=1)).tolist()) for d in range(ngram_join.depth(), ngram_join.LEVELS + 1))]
-            sizes = [set(np.flatnonzero((sig[:, j, :d] == sig[i, j, :d]).all(axis=1)).tolist()) for d in range(ngram_join.depth(), ngram_join.LEVELS + 1)]
-            depths.append(min([d + ngram_join.depth() for d, m in enumerate(sizes) if m in runs], default=ngram_join.LEVELS if len(sizes[0]) > 1 else ngram_join.depth()))
+            runs = [
+                m for m in run_of.values() if i in m and any(
+                    set(m) == set(
+                        np.flatnonzero((sig[:, j, :d] == sig[i, j, :d]).all(axis=1)).tolist()
+                    ) for d in range(ngram_join.depth(), ngram_join.LEVELS + 1)
+                )
+            ]
+            sizes = [
+                set(
+                    np.flatnonzero((sig[:, j, :d] == sig[i, j, :d]).all(axis=1)).tolist()
+                ) for d in range(ngram_join.depth(), ngram_join.LEVELS + 1)
+            ]
+            depths.append(
+                min(
+                    [d + ngram_join.depth() for d, m in enumerate(sizes) if m in runs],
+                    default=ngram_join.LEVELS if len(sizes[0]) > 1 else ngram_join.depth(),
+                )
+            )
         assert np.prod([1 - 0.8**d for d in depths]) <= 1 - ngram_join.TARGET + 1e-12
         if i > 20:
             break
@@ -461,7 +558,9 @@ def test_runs_are_cut_at_their_own_depth(spark):
 
 def test_components(spark):
     rng = random.Random(8)
-    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [
+        (rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)
+    ]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {x: x for e in edges for x in e}
 
@@ -481,9 +580,28 @@ def test_components(spark):
 def vector_rows(seed=6, n=400, d=16):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(12, d))
-    x = np.concatenate([rng.normal(size=(n, d)), (centres[:, None] + 0.18 * rng.normal(size=(12, 14, d))).reshape(-1, d)]).astype(np.float32)
+    x = np.concatenate(
+        [rng.normal(size=(n, d)), (centres[:, None] + 0.18 * rng.normal(size=(12, 14, d))).reshape(-1, d)]
+    ).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    return rows + [(900, rows[5][1]), (901, rows[5][1]), (901, rows[5][1]), (902, [2 * a for a in rows[5][1]]), (903, None), (904, [0.0] * d), (905, [None] + [1.0] * (d - 1)), (906, [float("nan")] * d), (907, [float("inf")] * d), (908, []), (909, [1e-30] * d), (910, [1e30] * d), (911, [1.0, 2.0]), (912, [2.0, 4.0]), (913, [-0.0] + [1.0] * (d - 1)), (914, [0.0] + [1.0] * (d - 1))]
+    return rows + [
+        (900, rows[5][1]),
+        (901, rows[5][1]),
+        (901, rows[5][1]),
+        (902, [2 * a for a in rows[5][1]]),
+        (903, None),
+        (904, [0.0] * d),
+        (905, [None] + [1.0] * (d - 1)),
+        (906, [float("nan")] * d),
+        (907, [float("inf")] * d),
+        (908, []),
+        (909, [1e-30] * d),
+        (910, [1e30] * d),
+        (911, [1.0, 2.0]),
+        (912, [2.0, 4.0]),
+        (913, [-0.0] + [1.0] * (d - 1)),
+        (914, [0.0] + [1.0] * (d - 1)),
+    ]
 
 
 def sound(v):
@@ -494,7 +612,11 @@ def plain_vectors(rows, t=0.95):
     good = [sound(v) and any(v) for _, v in rows]
     unit = [vecdedup.unit(np.array([v], np.float64))[0] if g else None for (_, v), g in zip(rows, good)]
     n = len(rows)
-    near = [[j for j in range(n) if i != j and good[i] and good[j] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= t] for i in range(n)]
+    near = [
+        [
+            j for j in range(n) if i != j and good[i] and good[j] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= t
+        ] for i in range(n)
+    ]
     label = list(range(n))
     for _ in range(n):
         new = [min([label[i], *[label[j] for j in near[i]]]) for i in range(n)]
@@ -510,7 +632,9 @@ def plain_vectors(rows, t=0.95):
 @pytest.mark.parametrize(("block", "pivots"), [(4096, None), (40, 6)])
 def test_vector_dedup(spark, block, pivots):
     rows = vector_rows()
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"e": F.lit(1), "h1": F.lit(2), "node": F.lit(3), "label": F.lit(4), "cell": F.lit(5)})
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns(
+        {"e": F.lit(1), "h1": F.lit(2), "node": F.lit(3), "label": F.lit(4), "cell": F.lit(5)}
+    )
     got = vecdedup.dedup_vectors(table, block=block, pivots=pivots).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == plain_vectors(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
@@ -543,7 +667,9 @@ def plain_top(rows, query, k):
 @pytest.mark.parametrize(("block", "band", "span"), [(4096, 8192, 16), (50, 3, 2), (7, 100, 1)])
 def test_top_k(spark, block, band, span):
     rows = [r for r in vector_rows() if r[0] != 910]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"x": F.lit(1), "score": F.lit(2), "_row": F.lit(3), "rank": F.lit(4), "side": F.lit(5), "name": F.lit(6)})
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns(
+        {"x": F.lit(1), "score": F.lit(2), "_row": F.lit(3), "rank": F.lit(4), "side": F.lit(5), "name": F.lit(6)}
+    )
     got = topk.top_k(table, F.col("vec_id") % 50 == 0, block=block, band=band, span=span)
     assert sorted(map(tuple, got.collect())) == plain_top(rows, lambda i: i % 50 == 0, 5)
 
@@ -552,9 +678,13 @@ def test_top_k_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema), F.lit(True)).count() == 0
     few = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [3.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5])]
-    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(few, schema), F.col("vec_id") % 50 == 0).collect())) == plain_top(few, lambda i: i % 50 == 0, 5)
+    assert sorted(
+        map(tuple, topk.top_k(spark.createDataFrame(few, schema), F.col("vec_id") % 50 == 0).collect())
+    ) == plain_top(few, lambda i: i % 50 == 0, 5)
     bare = [(0, []), (3, []), (50, []), (None, [])]
-    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(bare, schema), F.col("vec_id") % 50 == 0).collect())) == [(0, 1, 3, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 3, 0)]
+    assert sorted(
+        map(tuple, topk.top_k(spark.createDataFrame(bare, schema), F.col("vec_id") % 50 == 0).collect())
+    ) == [(0, 1, 3, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 3, 0)]
 
 
 def test_top_k_of_huge_numbers(spark):
@@ -585,7 +715,9 @@ def test_segment_bounds():
     for k in range(3):
         parts = np.stack(np.split(x, 2**k, axis=1), axis=1)
         m = 16 // 2**k
-        assert np.allclose((a.all[:, : a.ends[k]] ** 2).sum(1), (m * parts.mean(2) ** 2).sum(1)) and np.allclose(a.left[k], np.sqrt(m) * parts.std(2))
+        assert np.allclose(
+            (a.all[:, : a.ends[k]] ** 2).sum(1), (m * parts.mean(2) ** 2).sum(1)
+        ) and np.allclose(a.left[k], np.sqrt(m) * parts.std(2))
 
 
 def test_levels_spare_work():
@@ -698,8 +830,12 @@ def test_features_of_long_words(monkeypatch):
 
 def test_long_texts_are_fitted_too(spark):
     rows = [(i, f"t{i} " * (20 if i % 2 else 5)) for i in range(40)]
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
-    pick = lambda per_class, max_chars: [(r.text, r.label) for r in common.training_rows(docs, labels, "toxic", None, per_class, max_chars).collect()]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(
+        [(i, i % 2) for i, _ in rows], "doc_id long, toxic int"
+    )
+    pick = lambda per_class, max_chars: [
+        (r.text, r.label) for r in common.training_rows(docs, labels, "toxic", None, per_class, max_chars).collect()
+    ]
     got = pick((8, 10), 40)  # class 1 has long texts only: whole ones up to 10 * 40 characters
     assert sum(y == 0 for _, y in got) == 8 and 5 <= sum(y for _, y in got) <= 7 and all(t in dict(rows).values() for t, _ in got)
     assert {y for _, y in pick((1, 1), 10)} == {0, 1} and all(len(t) <= 10 for t, _ in pick((1, 1), 10))
@@ -707,7 +843,9 @@ def test_long_texts_are_fitted_too(spark):
     got = [(r.text, r.label) for r in common.training_rows(mixed.union(mixed), labels, "toxic", None, (8, 8), 100).collect()]  # the short ones fill the classes, each once
     assert [sum(y == k for _, y in got) for k in (0, 1)] == [8, 8]
     assert common.training_rows(docs.limit(0), labels, "toxic", None, (1, 1), 10).count() == 0
-    assert common.fit_in_task(common.training_rows(docs, labels.limit(0), "toxic", None, (1, 1), 10), len) == 0 and common.fit_in_task(common.training_rows(docs, labels, "toxic", None, (3, 4), 400), len) == 7
+    assert common.fit_in_task(
+        common.training_rows(docs, labels.limit(0), "toxic", None, (1, 1), 10), len
+    ) == 0 and common.fit_in_task(common.training_rows(docs, labels, "toxic", None, (3, 4), 400), len) == 7
 
 
 def test_toxicity_gradient():
@@ -753,11 +891,21 @@ def plain_quality(model, text):
     words, parts = text.split(), []
     h = lambda x: int(subword.bucket(x, quality.BUCKETS)[0])
     whole = [subword.features([w], quality.BUCKETS, quality.GRAMS) for w in words]
-    ends = [subword.mix(subword.mix(np.array([int.from_bytes(w.encode()[-quality.ENDING :], "little")], np.uint64) + np.uint64(1)) + np.uint64(2)) for w in words]
+    ends = [
+        subword.mix(
+            subword.mix(
+                np.array([int.from_bytes(w.encode()[-quality.ENDING :], "little")], np.uint64) + np.uint64(1)
+            ) + np.uint64(2)
+        ) for w in words
+    ]
     for w, g, _ in whole:
         parts.append(model.vectors[[h(w), *g]].mean(axis=0))
     for i in range(1, len(words)):
-        pair = [subword.mix(subword.mix(x[0] + np.uint64(of)) + x[1]) for x, of in (((whole[i - 1][0], whole[i][0]), 3), ((ends[i - 1], ends[i]), 4))]
+        pair = [
+            subword.mix(subword.mix(x[0] + np.uint64(of)) + x[1]) for x, of in (
+                ((whole[i - 1][0], whole[i][0]), 3), ((ends[i - 1], ends[i]), 4)
+            )
+        ]
         parts.append(model.vectors[[quality.BUCKETS + int(subword.bucket(x, quality.PAIRS)[0]) for x in pair]].mean(axis=0))
     z = np.mean(parts, axis=0) @ model.weights + model.bias if parts else model.bias
     e = np.exp(z - z.max())

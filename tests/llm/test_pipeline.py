@@ -49,8 +49,12 @@ def test_run_on_awkward_tables(spark, tmp_path, labelled):
     from test_operators import AWKWARD, check_packed, clashing, insult, toy
 
     bad = "Ndnt " * 30
-    rows = AWKWARD + [(100 + i, t) for i, (t, _) in enumerate(toy(60, 3, insult))] + [(200 + i, bad + t) for i, (t, _) in enumerate(toy(30, 4, lambda rng, w: " ".join(w)))]
-    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string")).withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+    rows = AWKWARD + [(100 + i, t) for i, (t, _) in enumerate(toy(60, 3, insult))] + [
+        (200 + i, bad + t) for i, (t, _) in enumerate(toy(30, 4, lambda rng, w: " ".join(w)))
+    ]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string")).withColumns(
+        {"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")}
+    )
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     marks = [(i, int(i < 200), int(100 <= i < 200 and i % 2)) for i, _ in rows if i and i >= 100]
     spark.createDataFrame(marks if labelled else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -61,6 +65,8 @@ def test_run_on_awkward_tables(spark, tmp_path, labelled):
 
 
 def test_run_on_empty_tables(spark, tmp_path):
-    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [], "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
