@@ -108,6 +108,8 @@ def _tile(threshold: float):
         none = lambda n: pa.nulls(n, pa.int64())
         for t in each_group(batches, ["_tile"]):
             blocks = []
+            if t.num_rows == 1 and not t.column("_same")[0].as_py():
+                continue  # no class is in the other block
             for r in t.to_pylist():
                 node = np.frombuffer(r["nodes"], "<i8")
                 x = np.frombuffer(r["body"], "<f4" if len(r["body"]) == 4 * len(node) * r["width"] else "<f8").astype(np.float64)
@@ -220,7 +222,7 @@ def dedup_vectors(
 
     # each block goes to every tile of its own; a tile is named by its cells and blocks
     tile = F.concat_ws(",", "width", "c", "d", "s", "t").alias("_tile")
-    cols = [tile, "_side", "width", "nodes", "copies", "body"]
+    cols = [tile, "_side", ((F.col("c") == F.col("d")) & (F.col("s") == F.col("t"))).alias("_same"), "width", "nodes", "copies", "body"]
     as_c = blocks.withColumnRenamed("cell", "c").join(table, ["width", "c"]).withColumn(
         "t", F.explode(F.sequence(F.lit(0), F.col("nd") - 1))
     ).where("c <> d or s <= t")
