@@ -19,7 +19,18 @@ from ..sources.files import read_table as read_parquet
 LOCAL_STAGE = "file:///tmp/checkpoints"
 
 
+#: Bytes of an Arrow batch, where the session doesn't say: a worker and its JVM hold a few at a time.
+ARROW_BATCH = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_BATCH)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +42,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     session's file system closes.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):

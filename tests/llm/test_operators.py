@@ -482,6 +482,26 @@ def test_one_text_stays_where_ids_lack_or_repeat(spark):
     assert len({r.key for r in judged if r.kept}) == 4 and [r.kept for r in judged if r.doc_id == 9] == [False]
 
 
+def test_common_keys_are_joined_whole(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
+    side = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = common.join_by_size(rows, side, ["k"], "n", 5000).select("k", "id", "n", "least").collect()
+    assert sorted(map(tuple, got)) == [(0 if i < 3000 else i, i, 3000 if i < 3000 else 1, 0 if i < 3000 else i) for i in sorted(range(5000), key=lambda i: (0 if i < 3000 else i, i))]
+
+
+def test_many_copies(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:59], "other"])
+    rows = [(i, text) for i in range(1500)] + [(1500 + i, near) for i in range(3)] + [(7, text)] * 300 + [(9999, "alone in here")]
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r.n_links, r.component_id) for r in got if r.doc_id != 9999} == {(1802, 0)}
+    assert sorted(r.doc_id for r in got if r.kept) == [0, 9999]
+    vectors = [(i, [1.0, 0.0, 2.0]) for i in range(1500)] + [(2000, [1.0, 0.01, 2.0]), (2001, [0.0, 1.0, 0.0])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = vecdedup.dedup_vectors(table).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(1500, 0), (0, 2001)} and sorted(r.vec_id for r in got if r.kept) == [0, 2001]
+
+
 def test_ngram_join_on_the_corpus(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     got = ngram_join.ngram_jaccard_join(documents).collect()
@@ -556,6 +576,13 @@ def test_runs_are_cut_at_their_own_depth(spark):
             break
 
 
+def test_components_of_a_hub(spark):
+    star = spark.range(1, 3001).select("id", F.lit(0).cast("long").alias("b")).toDF("a", "b")
+    chain = spark.range(5000, 5060).select("id", F.col("id") + 1).toDF("a", "b")
+    got = {r.node: r.component for r in graph.components(star.unionByName(chain)).collect()}
+    assert got == dict.fromkeys(range(3001), 0) | dict.fromkeys(range(5000, 5061), 5000)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [
