@@ -132,7 +132,7 @@ def q_doc_id(spark, sf_dir):
 
 
 FOLLOW_UP = r"""
-SELECT conv_id, turn, len(w) > 0 AND (w[1] IN ('and', 'but', 'or', 'so', 'then', 'also', 'plus') OR len(w) <= 4 OR len(list_intersect(w, string_split('""" + " ".join(X.REFERRING_WORDS) + r"""', ' '))) > 0) AS follows
+SELECT conv_id, turn, len(w) > 0 AND (list_contains(string_split('""" + " ".join(X.CONTINUATIONS) + r"""', ' '), w[1]) OR len(w) <= 4 OR len(list_intersect(w, string_split('""" + " ".join(X.REFERRING_WORDS) + r"""', ' '))) > 0) AS follows
 FROM (SELECT conv_id, turn, list_transform(list_filter(string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+'), lambda x: x <> ''), lambda x: lower(trim(x, '.,!?;:'))) AS w FROM conversations)
 """
 
