@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -76,6 +79,44 @@ def unstage(*tables: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        give_back(tables[0].sparkSession)
+
+
+#: Seconds between two collections of the driver's garbage, and when the last one ended.
+GIVE_BACK_S = 4
+_given = [float("-inf")]
+
+
+def give_back(spark: SparkSession) -> bool:
+    """The driver collects its garbage, upon which Spark deletes the shuffle files and broadcasts that nothing
+    refers to any more, and its JVM gives free memory back to the system; not more often than every GIVE_BACK_S
+    seconds. An operator of many small steps else fills the driver's heap, and what compilers and threads of
+    past steps took stays with the allocator. Returns whether free native memory was given back, too."""
+    if time.monotonic() - _given[0] < GIVE_BACK_S:
+        return False
+    jvm = spark.sparkContext._jvm
+    gc.collect()  # Python's references keep the JVM's plans
+    jvm.System.gc()
+    try:  # the bean's class is closed to reflection, its interface isn't
+        kinds = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+        named = jvm.java.lang.Class.forName
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", _array(spark, jvm.Class, [named(k) for k in kinds]))
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(server, _array(spark, jvm.Object, [bean, "systemTrimNativeHeap", None, None]))
+        trimmed = True
+    except Py4JError:  # another JVM or C library
+        trimmed = False
+    _given[0] = time.monotonic()
+    return trimmed
+
+
+def _array(spark: SparkSession, kind, items: list):
+    out = spark.sparkContext._gateway.new_array(kind, len(items))
+    for i, x in enumerate(items):
+        out[i] = x
+    return out
 
 
 def slices(df: DataFrame, groups: int, rows: int = 50_000, least: int = 128) -> int:

@@ -968,3 +968,16 @@ def test_held_out_accuracy(spark, module, query, label, sf, least):
     figures = share(held), share([r for r in held if r[label] == 1]), share([r for r in held if r[label] == 0])
     print(module.__name__, figures)
     assert all(a >= b for a, b in zip(figures, least))
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    from lectio.llm import common, ngram_join
+
+    called, real = [], common.give_back
+    monkeypatch.setattr(common, "GIVE_BACK_S", 0)
+    monkeypatch.setattr(common, "give_back", lambda s: called.append(real(s)))
+    docs = spark.createDataFrame([(i, f"one two three four five six seven {i // 2}") for i in range(8)], "doc_id long, text string")
+    assert ngram_join.keep_one(docs).count() == 4
+    assert len(called) > 2
+    monkeypatch.setattr(common, "GIVE_BACK_S", 1000)
+    assert not real(spark)  # just done
