@@ -17,21 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.files import read_table as read_parquet
+from ..sources.staging import bounded_batches
 
 #: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
 LOCAL_STAGE = "file:///tmp/checkpoints"
 
 
-#: Bytes of an Arrow batch, where the session doesn't say: a worker and its JVM hold a few at a time.
-ARROW_BATCH = "8m"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, ARROW_BATCH)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return read_parquet(spark, f"{sf_dir}/{name}.parquet")

@@ -1,7 +1,10 @@
 """Whole flows, degradation, storage, splits and streaming."""
 
 import json
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -309,6 +312,41 @@ def test_bm25_on_one_chunk_finds_nothing(spark):
     assert retrieval.bm25_search(asked, chunks).count() == 0
 
 
+def test_bm25_moves_no_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(n))
+    chunks = spark.createDataFrame([(i, i, text(rng.randrange(1, 60))) for i in range(300)] + [(300, 300, None), (301, 301, "")], "chunk_id long, ord long, text string")
+    chunks = chunks.repartition(3)
+    asked = spark.createDataFrame([(q, text(5)) for q in range(9)] + [(9, "absent")], "query_id long, text string")
+    tokens = {r.chunk_id: (r.text or "").split() for r in chunks.collect()}
+    n, texts = len(tokens), len(tokens) - 1
+    df = Counter(t for ts in tokens.values() for t in set(ts))
+    raw = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in df.items()}
+    mean, avg = sum(raw.values()) / len(raw), sum(map(len, tokens.values())) / texts
+    weight = {t: 0.25 * mean if v < 0 else v for t, v in raw.items()}
+    want = []
+    for q in asked.collect():
+        found = []
+        for c, ts in tokens.items():
+            tf = Counter(ts)
+            s = sum(weight[t] * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(ts) / avg)) for t in q.text.split() if t in tf)
+            if round(s, 9) > 0:
+                found.append((-round(s, 9), c))
+        want += [(q.query_id, c, i + 1) for i, (_, c) in enumerate(sorted(found)[:4])]
+    stored = retrieval.token_table(chunks)
+    lists = retrieval.postings(stored)
+    df_of = lists.groupBy("term").agg(F.count("*").alias("df"))
+    totals = retrieval.totals_of(stored)
+    index = retrieval.KeywordIndex(lists, retrieval.idf(df_of, totals.select("n")), totals)
+    for band in (2048, 4):  # of more questions than a band holds, each band is searched
+        monkeypatch.setattr(retrieval, "QUERY_BAND", band)
+        for source in (chunks, index):
+            got = retrieval.bm25_search(asked, source, 4)
+            assert sorted((r.query_id, r.chunk_id, r.rank) for r in got.collect()) == sorted(want)
+    plan = retrieval.bm25_search(asked, chunks, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "chunk_id" not in "".join(re.findall(r"hashpartitioning\(([^)]*)\)", plan))  # pairs used to be dealt by chunk
+
+
 def test_two_extractors(spark):
     class Pages:
         def __init__(self, *pages):
