@@ -334,9 +334,11 @@ def q_rerank(spark, sf_dir):
 @query(f"WITH {BM25} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM sparse")
 def q_bm25_stored(spark, sf_dir):
     """As q_bm25_topk, from postings, term statistics and totals that are written first."""
-    tokens = stage(retrieval.token_table(_chunks(spark, sf_dir)), "tokens")
-    lists = stage(retrieval.postings(tokens).sortWithinPartitions("term"), "postings")
-    totals = stage(retrieval.totals_of(tokens), "totals")
+    chunks = _chunks(spark, sf_dir)
+    lists = stage(retrieval.postings(retrieval.token_table(chunks)).sortWithinPartitions("term"), "postings")
+    n = chunks.agg(F.count("*").alias("n"), F.count("text").alias("texts"))
+    mean = F.when(F.col("texts") > 0, F.coalesce("total", F.lit(0)) / F.nullif("texts", F.lit(0))).otherwise(0.0)
+    totals = stage(n.crossJoin(F.broadcast(lists.agg(F.sum("tf").alias("total")))).select("n", mean.alias("avg_len")), "totals")
     terms = stage(retrieval.idf(lists.groupBy("term").agg(F.count("*").alias("df")), totals.select("n")), "terms")
     found = retrieval.KeywordIndex(lists, terms, totals).search(_questions(spark, sf_dir))
     return found.select("query_id", *_long("rank"), "chunk_id", F.round("score", 6).alias("score"))
