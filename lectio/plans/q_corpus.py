@@ -323,7 +323,7 @@ def q_rerank(spark, sf_dir):
     found = retrieval.hybrid_search(
         _asked_vectors(spark, sf_dir), _questions(spark, sf_dir), _vectors(spark, sf_dir), _chunks(spark, sf_dir)
     )
-    rows = found.join(_chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id").join(
+    rows = retrieval.with_texts(found, _chunks(spark, sf_dir)).join(
         _questions(spark, sf_dir).select("query_id", F.col("text").alias("question")), "query_id"
     )
     return retrieval.rerank(rows, LexicalScorer()).select(

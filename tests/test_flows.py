@@ -378,6 +378,23 @@ def test_search_writes_counts_not_tokens(spark, monkeypatch):
     assert written["counted-terms"].where("size(terms) > 5").count()
 
 
+def test_rerank_reads_texts_where_they_are(spark, sf_dir, monkeypatch):
+    from lectio.plans import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["q_rerank"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"BroadcastHashJoin .*LeftSemi, BuildRight", plan)  # else every text is dealt by its id
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    chunks = spark.createDataFrame([(i % 40, f"text {i}") for i in range(60)] + [(None, "none")], "chunk_id long, text string")
+    found = spark.createDataFrame([(q, c) for q in range(5) for c in range(q, 45, 3)] + [(9, None)], "query_id long, chunk_id long")
+    want = sorted(map(repr, found.join(chunks, "chunk_id").collect()))
+    for band in (500_000, 4):
+        monkeypatch.setattr(retrieval, "TEXT_BAND", band)
+        assert sorted(map(repr, retrieval.with_texts(found, chunks).collect())) == want
+
+
 def test_two_extractors(spark):
     class Pages:
         def __init__(self, *pages):
