@@ -395,6 +395,30 @@ def test_rerank_reads_texts_where_they_are(spark, sf_dir, monkeypatch):
         assert sorted(map(repr, retrieval.with_texts(found, chunks).collect())) == want
 
 
+def _shuffled_rows(spark, run):
+    """Rows that run() writes to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        found = sc.statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_weighted_fusion_moves_the_vocabulary_once(spark, sf_dir):
+    from lectio.plans import catalog
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    terms = documents.select(F.explode(F.array_distinct(retrieval.tokenize(F.col("text"))))).distinct().count()
+    moved = _shuffled_rows(spark, lambda: catalog.QUERIES["q_weighted_fusion"](spark, sf_dir).collect())
+    assert terms > 20_000 and terms <= moved < 1.7 * terms
+
+
 def test_two_extractors(spark):
     class Pages:
         def __init__(self, *pages):
